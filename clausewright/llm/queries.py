@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from clausewright.llm.bpe import op7_bpe
+from clausewright.llm.mixing import op6_mixing
+from clausewright.llm.pii import op8_pii
 from clausewright.llm.quality_rules import MAX_REPEATED_PERCENT, MIN_WORDS, RULES, STOP_WORDS, op10_quality_rules
 
 QUERIES = {
+    "op6_mixing": op6_mixing,
+    "op7_bpe": op7_bpe,
+    "op8_pii": op8_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 
