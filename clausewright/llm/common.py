@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -17,6 +18,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of text whose words are coded at a time.
+RUN = 4 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -69,21 +73,39 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit codes of the words of all texts, A-Z lower-cased, one text after the other, and how many words each text has.
 
-    A word's code depends on its bytes alone. Texts are cut into runs of at most 4 MB, but never within a text."""
+    A word's code depends on its bytes alone. Texts are worked on in runs of about 4 MB, long ones cut between words, so memory
+    follows the longest word, not the longest text."""
     codes, counts, run, held = [], np.zeros(len(texts), np.int64), [], 0
-    begin = 0
+
+    def work() -> None:
+        got, n = _codes_of([b for _, b in run])
+        codes.append(got)
+        np.add.at(counts, [i for i, _ in run], n)
+        run.clear()
+
     for i, text in enumerate(texts):
-        b = (text or "").encode("utf-8", "surrogatepass")
-        run.append(b)
-        held += len(b) + 1
-        if held >= 4 << 20 or i == len(texts) - 1:
-            got, n = _codes_of(run)
-            codes.append(got)
-            counts[begin : i + 1] = n
-            begin, run, held = i + 1, [], 0
+        for b in _cut((text or "").encode("utf-8", "surrogatepass")):
+            run.append((i, b))
+            held += len(b) + 1
+            if held >= RUN:
+                work()
+                held = 0
+    if run:
+        work()
     return (np.concatenate(codes) if codes else np.zeros(0, np.uint64)), counts
 
 
+def _cut(b: bytes):
+    at = 0
+    while len(b) - at > RUN:
+        m = _SPACE.search(b, at + RUN)
+        if m is None:
+            break
+        yield b[at : m.start()]
+        at = m.start()
+    yield b[at:]
+
+
 def _codes_of(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join(run) + b"\n", np.uint8)
     space = _IS_SPACE[raw]
