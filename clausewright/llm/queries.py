@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from clausewright.llm.ann import op1_ann
 from clausewright.llm.bpe import op7_bpe
 from clausewright.llm.langid import op9_langid
 from clausewright.llm.lm import op2_lm_score
@@ -11,6 +12,7 @@ from clausewright.llm.pii import op8_pii
 from clausewright.llm.quality_rules import MAX_REPEATED_PERCENT, MIN_WORDS, RULES, STOP_WORDS, op10_quality_rules
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_lm_score": op2_lm_score,
     "op4_near_dup": op4_near_dup,
     "op6_mixing": op6_mixing,
