@@ -5,16 +5,20 @@ from __future__ import annotations
 from clausewright.llm.ann import op1_ann
 from clausewright.llm.bpe import op7_bpe
 from clausewright.llm.langid import op9_langid
+from clausewright.llm.licences import op3_licences
 from clausewright.llm.lm import op2_lm_score
 from clausewright.llm.mixing import op6_mixing
 from clausewright.llm.near_dup import op4_near_dup
 from clausewright.llm.pii import op8_pii
 from clausewright.llm.quality_rules import MAX_REPEATED_PERCENT, MIN_WORDS, RULES, STOP_WORDS, op10_quality_rules
+from clausewright.llm.site_quality import op5_site_quality
 
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_lm_score": op2_lm_score,
+    "op3_licences": op3_licences,
     "op4_near_dup": op4_near_dup,
+    "op5_site_quality": op5_site_quality,
     "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
