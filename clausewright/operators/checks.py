@@ -243,6 +243,10 @@ def temporal_order(df: DataFrame, contract_id: str, before: str, after: str) ->
 
 def strict_nested(df: DataFrame, contract: dict) -> DataFrame:
     """RESULT rows for the clauses of array items, which check_table leaves alone: enum, pattern, format and range of each field."""
+
+    def breaks(kind: str, clause: dict, inner: str, field: T.DataType):
+        return lambda x: F.coalesce(violates(kind, clause, x[inner], field), F.lit(False))
+
     out = []
     for name, clause in contract["schema"].items():
         field = df.schema[name].dataType if name in df.columns else None
@@ -254,7 +258,7 @@ def strict_nested(df: DataFrame, contract: dict) -> DataFrame:
             kind_of = field.elementType[inner].dataType
             for kind, severity in (("required", "CRITICAL"), ("format", "HIGH"), ("pattern", "HIGH"), ("enum", "CRITICAL"), ("range", "HIGH")):
                 if violates(kind, c, F.lit(None).cast(kind_of), kind_of) is not None:
-                    bad = F.size(F.filter(col(name), lambda x, k=kind, c=c, t=kind_of, i=inner: F.coalesce(violates(k, c, x[i], t), F.lit(False))))
+                    bad = F.size(F.filter(col(name), breaks(kind, c, inner, kind_of)))
                     out.append((f"{contract['id']}.{name}[].{inner}.{kind}", f"{name}[*].{inner}", kind, severity, F.coalesce(F.sum(F.when(bad > 0, bad)), F.lit(0))))
     if not out:
         return df.sparkSession.createDataFrame([], RESULT)
