@@ -1,0 +1,318 @@
+"""Quality rules, mixing, BPE, personal data, languages, licences, site quality, vectors, pipeline: small tables against plain versions."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from clausewright.llm import ann, bpe, langid, licences, mixing, pii, quality_rules, site_quality
+from tests.llm import cases
+
+# ---- 10
+
+
+def plain_quality(text):
+    t = text or ""
+    w = cases.WORDS.findall(t)
+    lines = [x for x in t.split("\n") if cases.WORDS.search(x)]
+    windows = list(zip(w, w[1:], w[2:]))
+    covered = {k for i, x in enumerate(windows) if windows.count(x) > 1 for k in (i, i + 1, i + 2)} if len(windows) < 1500 else None
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), None if covered is None else len(covered)
+
+
+def test_quality_measures(spark):
+    given = cases.rows() + [(500, "a b c a b c d a b c\nx\nx\n\n", "en", "a", 1), (501, "# a b# || <x>", "en", "a", 1), (502, "one two three " * 40, "en", "a", 1)]
+    got = quality_rules.measures(cases.documents(spark, given), keep=("doc_id", "text")).collect()
+    assert len(got) == len(given)
+    for r in got:
+        n, chars, symbols, dups, repeated = plain_quality(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (n, chars, symbols, dups)
+        assert repeated is None or r.n_repeat_words == repeated
+
+
+def test_quality_stage_keeps_columns_and_clean_rows(spark, tmp_path):
+    docs = cases.documents(spark)
+    kept = quality_rules.quality_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert {0, 1, 4, None} <= ids and not ids & {5, 6, 7, 8, 9, 11, 99}
+    assert quality_rules.quality_stage(spark, cases.documents(spark, []), str(tmp_path)).count() == 0
+
+
+# ---- 6
+
+
+def plain_targets(sizes, weights=(1, 2, 3), most=3):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        left = total - sum(most * sizes[s] for s in capped)
+        free = sum(w[s] for s in names if s not in capped)
+        t = {s: most * sizes[s] if s in capped else left * w[s] / free for s in names}
+        over = {s for s in names if t[s] > most * sizes[s] + 1e-9}
+        if not over - capped:
+            return t
+        capped |= over
+
+
+@pytest.mark.parametrize("group", [4096, 30])
+def test_mixing(spark, monkeypatch, group):
+    monkeypatch.setattr(mixing, "GROUP", group)
+    r = random.Random(5)
+    n = {None: 4, "a": 400, "b": 40, "c": 3, "d": 200, "é": 60}
+    rows = [(i, s, r.randint(0, 300)) for i, s in enumerate(x for x, k in n.items() for _ in range(k))]
+    given = spark.createDataFrame(rows + rows[:2] + [(None, "a", 5)], "doc_id long, source string, size long")
+    got = mixing.mix(given).collect()
+    assert len(got) == len(rows) + 3
+    sizes: dict = {}
+    for _, s, k in [*rows, *rows[:2], (None, "a", 5)]:
+        sizes[s] = sizes.get(s, 0) + k
+    targets = plain_targets(sizes)
+    for s in n:
+        own = [x for x in got if x.source == s]
+        assert all(math.isclose(x.target, targets[s]) and x.source_size == sizes[s] for x in own)
+        assert abs(sum(x.taken for x in own) - targets[s]) <= max(0.02 * targets[s], 0 if len(own) > 20 else 300)
+        rate = targets[s] / sizes[s]
+        assert all(x.copies in (math.floor(rate), math.ceil(rate)) and x.taken == x.size * x.copies <= 3 * x.size for x in own if x.size)
+    again = mixing.mix(given.repartition(7)).collect()
+    key = lambda x: (str(x.doc_id), str(x.source), x.size, x.copies)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_flight_keeps_sums():
+    r = random.Random(3)
+    sizes, pi = [r.randint(1, 900) for _ in range(500)], [r.random() for _ in range(500)]
+    out = mixing.flight(sizes, pi, r)
+    assert sum(0 < p < 1 for p in out) <= 2
+    assert math.isclose(sum(out), sum(pi), abs_tol=1e-4) and math.isclose(sum(a * b for a, b in zip(sizes, out)), sum(a * b for a, b in zip(sizes, pi)), rel_tol=1e-6)
+
+
+def test_mixing_stage_repeats_rows(spark, tmp_path):
+    docs = cases.documents(spark)
+    out = mixing.mixing_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    sizes = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    assert out.count() == mixing.mix(sizes).agg(F.sum("copies")).first()[0]
+    assert mixing.mixing_stage(spark, cases.documents(spark, []), str(tmp_path)).count() == 0
+
+
+# ---- 7
+
+
+def test_bpe_equals_the_library(spark, tmp_path):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    t.no_padding()
+    odd = ["<|endoftext|>a<|endoftext|>", "aaaa" * 300, "é日本語🎉 don't I'LL ²Ⅷ٣", "  x\t\r\n  ", "_-_" * 50, "\U000e0001﻿a"]
+    given = cases.rows() + [(600 + i, x, "en", "a", 1) for i, x in enumerate(odd)]
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for d in given:
+        ids = t.encode(d[1] or "", add_special_tokens=False).ids
+        want.append((str(d[0]), len(ids), digest(",".join(map(str, ids))), digest(t.decode(ids, skip_special_tokens=False))))
+    got = bpe.op7_bpe(spark, cases.folder(spark, tmp_path, given)).collect()
+    assert sorted(want) == sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got)
+    assert bpe.encode_documents(cases.documents(spark, []), bpe.default_path()).count() == 0
+
+
+def test_bpe_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 3)
+    b = bpe.ByteBPE(bpe.default_path())
+    text = cases.prose(2)
+    assert b.decode(b.encode(text)) == text and len(b.memo) <= 3
+
+
+# ---- 8
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_pii(t):
+    out = []
+    for kind, p in PLAIN.items():
+        for m in re.finditer(p, t):
+            d = re.findall("[0-9]", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(d) <= 19 and pii.luhn("".join(d)), "phone": 9 <= len(d) <= 15}
+            out += [(kind, *m.span())] * ok[kind]
+    return out
+
+
+def test_pii_base_spans():
+    r = random.Random(1)
+    fixed = ["x 4111 1111 1111 1111 y", "a.b@c.d e@f", "é +1 (017) 555-7713", "1.2.3.4.5.6.7.8", "300.1.1.1", "a@b.c@d.e", "0255.001.1.1"]
+    for t in fixed + ["".join(r.choice(a) for _ in range(50)) for a in ("a.@-+ 1239(é", "12 -.4+", "ab@.") for _ in range(3000)]:
+        assert [s[:3] for s in pii.find_spans(t) if s.kind in pii.BASE_KINDS] == plain_pii(t), t
+
+
+def test_pii_query(spark, tmp_path):
+    given = cases.rows() + [(700, "mail x@y.zz iban DE89 3704 0044 0532 0130 00", "en", "a", 1), (701, "ssn: 123-45-6789", "en", "a", 1), (702, "ref 123-45-6789", "en", "a", 1)]
+    got = {r.doc_id: r for r in pii.op8_pii(spark, cases.folder(spark, tmp_path, given)).collect()}
+    assert got[700].spans == "email:5:11,iban:17:44" and got[700].n_email == 1
+    assert got[700].base_sha256 == hashlib.sha256(b"email:5:11").hexdigest()
+    assert got[701].spans == "ssn:5:16" and got[702].spans == ""
+    assert got[5].spans == "" and got[5].base_sha256 == hashlib.sha256(b"").hexdigest()
+    stage = {r.doc_id: r for r in pii.pii_stage(spark, cases.documents(spark, given), "").collect()}
+    assert stage[700].text == "mail <EMAIL> iban <IBAN>" and stage[700].n_chars == len(stage[700].text) and stage[5].text is None
+    assert len(stage) == len(got)
+
+
+def test_pii_is_linear_in_odd_texts():
+    pii.find_spans("a" * 200_000 + "@" + "1" * 200_000 + "+1" + "." * 200_000 + "@" * 1000)
+
+
+# ---- 9
+
+
+def test_langid(spark, tmp_path):
+    r = random.Random(2)
+    parts = {"de": ["sch", "ein", "keit", "ung", "ü"], "en": ["th", "ing", "ed", "er", "ou"], "fr": ["eau", "ment", "é", "tion", "que"]}
+    text = lambda x: " ".join("".join(r.choice(parts[x]) for _ in range(3)) for _ in range(40))
+    given = [(i, text(x), x, "a", 1) for i, x in enumerate(list(parts) * 60)] + [(900, None, "en", "a", 1), (901, "123 ...", "en", "a", 1), (902, "", None, "a", 1), (None, text("de"), None, "a", 1)]
+    got = langid.op9_langid(spark, cases.folder(spark, tmp_path, given)).collect()
+    lang = {d[0]: d[2] for d in given}
+    held = [x for x in got if x.held_out]
+    assert len(got) == len(given) and held and all(x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in got)
+    assert np.mean([x.lang_pred == lang[x.doc_id] for x in held if x.doc_id < 900]) > 0.98
+    assert {x.doc_id: (x.lang_pred, x.score) for x in got if x.doc_id in (900, 901, 902)} == dict.fromkeys((900, 901, 902), ("und", 0.0))
+    assert all(0 <= x.score <= 1 for x in got)
+    nothing = langid.op9_langid(spark, cases.folder(spark, tmp_path / "n", [(1, "abc", None, "a", 1)])).collect()
+    assert [(x.lang_pred, x.score) for x in nothing] == [("und", 0.0)]
+
+
+def test_langid_code_lengths():
+    import pandas as pd
+
+    counts = pd.concat([langid.count_grams([cases.prose(s, 80)]).assign(lang=x) for s, x in ((1, "x"), (2, "y"))])
+    model = langid.Model(counts)
+
+    def plain(text, lang):
+        own = counts[counts["lang"] == lang]
+        n = {(k, g): c for k, g, c in zip(own["order"], own["gram"], own["n"])}
+        context: dict = {}
+        for (k, g), c in n.items():
+            a = context.setdefault((k, g >> 8), [0, 0])
+            a[0] += c
+            a[1] += 1
+        b, bits = b"\n\n\n" + text.encode(), 0.0
+        for i in range(3, len(b)):
+            for k in range(3, -1, -1):
+                g = int.from_bytes(b[i - k : i + 1], "big")
+                if (k, g) in n:
+                    t, d = context[k, g >> 8]
+                    bits -= math.log2(n[k, g] / (t + d))
+                    break
+                if (k, g >> 8) in context:
+                    t, d = context[k, g >> 8]
+                    bits -= math.log2(d / (t + d))
+            else:
+                bits += 8
+        return bits
+
+    texts = ["hello thé wörld 日本", "Q", cases.prose(9, 30)]
+    for t, row in zip(texts, model.lengths(texts)):
+        assert np.allclose(row, [plain(t, x) for x in model.langs], rtol=1e-5)
+
+
+# ---- 3
+
+
+def test_licences(spark):
+    mit = dict(licences.TEXTS)["MIT"]
+    given = cases.rows() + [(800, "Copyright (c) 2020 Some One\n\n" + mit.upper().replace(",", " ;"), "en", "a", 1), (801, "words\nReleased under the MIT Licence!\nLICENSED UNDER CC BY-NC 4.0", "en", "a", 1), (802, mit + " more", "en", "a", 1)]
+    got = {r.doc_id: r for r in licences.scan(cases.documents(spark, given)).collect()}
+    assert got[800].license == "MIT" and got[802].license is None
+    assert got[801].license is None and got[801].notices == ["CC-BY-NC-4.0", "MIT"]
+    assert got[5].digest == hashlib.sha256(b"").hexdigest() and got[5].notices == []
+    assert licences.scan(cases.documents(spark, given)).count() == len(given) and licences.scan(cases.documents(spark, [])).count() == 0
+
+
+# ---- 5
+
+
+def test_site_quality(spark, tmp_path):
+    good, bad = (lambda s: cases.prose(s, 90)), (lambda s: " ".join(w + "$$$" for w in cases.prose(s, 90).split()))
+    given = [(i, good(i) if i % 4 else bad(i), "en", f"s{i % 3}", 1) for i in range(160)] + [(900, None, None, None, None), (901, good(3), "fr", "new", 1), (None, good(4), "en", "s1", 1)]
+    labels = [(i, int(i % 4 > 0), 0) for i in range(80)] + [(3, 1, 0), (None, 1, 0), (7, None, 0)]
+    got = {r.doc_id: r for r in site_quality.op5_site_quality(spark, cases.folder(spark, tmp_path, given, labels)).collect()}
+    assert len(got) == len(given)
+    assert all(got[i].kept == (i % 4 > 0) for i in range(160))
+    assert all(0 <= r.quality <= 1 for r in got.values())
+    assert got[901].host_rate == got[900].host_rate == got[901].path_rate
+    none = site_quality.op5_site_quality(spark, cases.folder(spark, tmp_path / "n", given[:4], [])).collect()
+    assert len(none) == 4 and all(r.host_rate == 0.5 for r in none)
+
+
+def test_sites_shrink_towards_parents(spark):
+    rows = [("big", "p", 1.0)] * 90 + [("big", "p", 0.0)] * 10 + [("small", "p", 0.0)] + [("mid", "p", 1.0)] * 20 + [("mid", "q", 0.0)] * 20
+    hosts, paths, overall = site_quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, good double"))
+    h = {r.host: r.host_rate for r in hosts.collect()}
+    assert 0.0 < h["small"] < overall and abs(h["big"] - 0.9) < abs(h["small"] - 0.0)
+
+
+# ---- 1
+
+
+def plain_nearest(rows, k=5):
+    ok = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for i, v in ok:
+        if i % 50 == 0:
+            s = sorted((-np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w), j) for j, w in ok if j != i and len(w) == len(v))
+            out[i] = [(j, -c) for c, j in s[:k]]
+    return out
+
+
+def test_ann_small_is_exact(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(300 + i, [1.0] * 8) for i in range(40)] + [(400, None), (450, [0.0] * 8), (500, [float("nan")] * 8), (550, [None] + [1.0] * 7), (None, [1.0] * 8), (600, [1.0, 2.0]), (601, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    got: dict = {}
+    for r in ann.op1_ann(spark, cases.folder(spark, tmp_path, [], embeddings=df)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = plain_nearest(rows)
+    assert {q: [v for v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
+    assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(got[q], want[q]))
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert ann.op1_ann(spark, cases.folder(spark, tmp_path / "e", [], embeddings=empty)).count() == 0
+
+
+def test_graph_recall():
+    x = np.random.default_rng(2).normal(size=(3000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, order = ann.Graph.build(x)
+    q = x[::60]
+    found, best = graph.search(q)[:, :6], np.argsort(-(q @ graph.x.T), 1)[:, :6]
+    assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(found.tolist(), best.tolist())]) > 0.95
+    assert (x[order] == graph.x).all()
+
+
+# ---- pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    d = cases.folder(spark, tmp_path)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, d)
+    assert last.count() == docs.count()
+    assert corpus_pipeline.run(spark, d).count() == docs.count()
+    assert corpus_pipeline.run(spark, cases.folder(spark, tmp_path / "empty", [])).count() == 0
