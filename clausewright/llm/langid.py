@@ -94,12 +94,14 @@ class Model:
 
     def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
-        place = {x: i for i, x in enumerate(self.langs)}
-        n_langs = len(self.langs)
         self.grams: list[Lookup] = []
         self.bits: list[np.ndarray] = []
         self.contexts: list[Lookup] = []
         self.escape: list[np.ndarray] = []
+        place = {x: i for i, x in enumerate(self.langs)}
+        n_langs = len(self.langs)
+        if not n_langs:
+            return
         for k in range(ORDER + 1):
             own = counts[counts["order"] == k]
             gram = own["gram"].to_numpy().astype(np.uint32)

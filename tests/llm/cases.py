@@ -14,7 +14,7 @@ def words(text):
 
 def prose(seed, n=120, vocabulary=400):
     r = random.Random(seed)
-    known = ["the", "of", "and", "to", "in"] + ["".join(r.choice(["an", "er", "th", "ou", "re", "st"]) for _ in range(r.randint(1, 4))) + str(k % 7 and "" or "é") for k in range(vocabulary)]
+    known = ["the", "of", "and", "to", "in"] * 10 + ["".join(r.choice(["an", "er", "th", "ou", "re", "st"]) for _ in range(r.randint(1, 4))) + ("" if k % 7 else "é") for k in range(vocabulary)]
     return " ".join(r.choice(known) for _ in range(n))
 
 
