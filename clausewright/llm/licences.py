@@ -2,8 +2,8 @@
 
 A text is lower-cased, loses its copyright lines, takes one of each pair of equivalent spellings and keeps only letters, digits and
 line ends; the digest of what is left is hash-joined to the digests of known texts. Each line is looked up in the same way among
-one-line notices. All of it is built-in functions over a scan; the known digests are a fixed list of a few rows, so they are the
-side that is broadcast."""
+one-line notices, a fixed list of a dozen digests that is part of the expression. All of it is built-in functions over a scan; the
+known texts are a fixed list of a few rows, so they are the side that is broadcast."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from clausewright.llm.common import read
 from clausewright.llm.licence_texts import NOTICES, SPELLINGS, TEXTS
 
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
+COPYRIGHT = r"(?md)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
 
@@ -42,10 +42,10 @@ def scan(docs: DataFrame, text: str = "text", texts: list[tuple[str, str]] = TEX
     name, without repeats, in the order of their names. A null text counts as empty. An empty text has the digest of the empty
     string and no licence. Null and repeated doc_ids stay; other columns are left out."""
     lines = docs.select("doc_id", canonical_lines(F.coalesce(F.col(text), F.lit(""))).alias("lines"))
-    named = F.broadcast(known_digests(docs.sparkSession, notices).agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("by_digest")))
-    digests = F.transform("lines", lambda x: F.sha2(x, 256))
-    hits = F.filter(F.transform(F.array_distinct(digests), lambda d: F.try_element_at("by_digest", d)), lambda x: x.isNotNull())
-    whole = lines.join(named, F.lit(True), "left").select("doc_id", F.sha2(canonical(F.col("lines")), 256).alias("digest"), F.sort_array(F.array_distinct(F.coalesce(hits, F.array().cast("array<string>")))).alias("notices"))
+    named = F.create_map(*[F.lit(x) for r in known_digests(docs.sparkSession, notices).collect() for x in (r["digest"], r["license"])])
+    hits = F.transform(F.array_distinct(F.transform("lines", lambda x: F.sha2(x, 256))), lambda d: F.try_element_at(named, d))
+    found = F.sort_array(F.array_distinct(F.filter(hits, lambda x: x.isNotNull())))
+    whole = lines.select("doc_id", F.sha2(canonical(F.col("lines")), 256).alias("digest"), found.alias("notices"))
     return whole.join(F.broadcast(known_digests(docs.sparkSession, texts)), "digest", "left").select("doc_id", "digest", "license", "notices")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from clausewright.llm.ann import op1_ann
 from clausewright.llm.bpe import op7_bpe
 from clausewright.llm.langid import op9_langid
-from clausewright.llm.licences import op3_licences
+from clausewright.llm.licence_texts import NOTICES, SPELLINGS, TEXTS
+from clausewright.llm.licences import COPYRIGHT, PUNCTUATION, op3_licences
 from clausewright.llm.lm import op2_lm_score
 from clausewright.llm.mixing import op6_mixing
 from clausewright.llm.near_dup import op4_near_dup
@@ -29,7 +30,32 @@ QUERIES = {
 _STOPS = ", ".join(f"'{x}'" for w in dict.fromkeys(STOP_WORDS) for x in dict.fromkeys((w, w.capitalize())))
 _VERDICT = " AND ".join([f"{m} >= {a}" for m, a, _ in RULES if a is not None] + [f"{m} <= {b}" for m, _, b in RULES if b is not None])
 
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licence_sql() -> str:
+    spelled = "t"
+    for a, b in SPELLINGS:
+        spelled = f"replace({spelled}, '{a}', '{b}')"
+    rows = lambda known: ", ".join(f"({_literal(k)}, {_literal(t)})" for k, t in known)
+    return rf"""
+WITH src AS (SELECT 'd' AS kind, doc_id, CAST(NULL AS VARCHAR) AS license, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'k', NULL, l, t FROM (VALUES {rows(TEXTS)}) AS k(l, t) UNION ALL SELECT 'n', NULL, l, t FROM (VALUES {rows(NOTICES)}) AS n(l, t)),
+cut AS (SELECT kind, doc_id, license, regexp_replace(lower(text), '{COPYRIGHT.replace("(?md)", "(?m)")}', '', 'g') AS t FROM src),
+lines AS (SELECT kind, doc_id, license, list_filter(list_transform(string_split(regexp_replace({spelled}, '{PUNCTUATION}', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM cut),
+whole AS (SELECT kind, doc_id, license, lines, sha256(array_to_string(lines, ' ')) AS digest FROM lines),
+known AS (SELECT digest, min(license) AS license FROM whole WHERE kind = 'k' GROUP BY digest),
+named AS (SELECT DISTINCT array_to_string(lines, ' ') AS line, license FROM whole WHERE kind = 'n'),
+hits AS (SELECT u.doc_id, string_agg(DISTINCT n.license, ',' ORDER BY n.license) AS notices FROM (SELECT doc_id, unnest(lines) AS line FROM whole WHERE kind = 'd') u JOIN named n ON n.line = u.line GROUP BY u.doc_id)
+SELECT w.doc_id AS doc_id, w.digest AS digest, k.license AS license, coalesce(h.notices, '') AS notices FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN hits h ON h.doc_id = w.doc_id WHERE w.kind = 'd'
+"""
+
+
 ORACLE_SQL = {
+    "op3_licences": _licence_sql(),
     "op10_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
