@@ -23,6 +23,8 @@ ORDER = 3
 SAMPLE_BYTES = 4_000_000
 #: A language's share of this many bins, drawn by hash.
 BINS = 1_000_000
+#: Groups of a language's training text that are counted apart and then added up.
+PARTS = 16
 
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"\n" * ORDER
@@ -197,12 +199,12 @@ def train(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> pd.DataFrame
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
     keep = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(BINS)) < F.ceil(F.lit(float(sample_bytes) * BINS) / F.greatest(F.col("bytes"), F.lit(1)))
-    drawn = usable.join(sizes, "lang").where(keep).select("lang", "text")
-    counted = drawn.groupBy("lang").applyInPandas(
+    drawn = usable.join(sizes, "lang").where(keep).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
+    counted = drawn.groupBy("lang", "part").applyInPandas(
         lambda pdf: count_grams(pdf["text"].tolist()).assign(lang=pdf["lang"].iloc[0])[["lang", "order", "gram", "n"]],
         "lang string, order int, gram long, n long",
     )
-    return counted.toPandas()
+    return counted.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).toPandas()
 
 
 def identify(docs: DataFrame, counts: pd.DataFrame) -> DataFrame:
