@@ -40,10 +40,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
