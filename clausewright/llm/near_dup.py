@@ -230,7 +230,8 @@ def _blocks(members: DataFrame, full: DataFrame) -> DataFrame:
         kinds.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("big"), F.max("c").alias("n_big"), F.sum("c").alias("n"))
         .where("n > n_big").select("key", "big", F.ceil((F.col("n") - F.col("n_big")) / BLOCK).cast("int").alias("k_rest"), F.ceil(F.col("n_big") / BLOCK).cast("int").alias("k_big"))
     )
-    rows = members.join(buckets, "key").withColumn("inside", F.col("component") == F.col("big"))
+    # Written first, so that the join's sides are plain exchanges, of which Spark can split a hot bucket's.
+    rows = members.join(staged(buckets, "buckets"), "key").withColumn("inside", F.col("component") == F.col("big"))
     chunk = F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("k_big")).otherwise(F.col("k_rest"))).cast("int")
     rows = rows.withColumn("chunk", chunk)
     others = F.sequence(F.lit(0), F.col("k_rest") - 1)
