@@ -344,4 +344,10 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that of the smallest doc_id, with its own columns; one row of each repeated doc_id. Rows of null doc_id all stay."""
     dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*columns)
+    repeated = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(once)
