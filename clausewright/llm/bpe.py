@@ -20,7 +20,7 @@ from clausewright.llm.common import read
 #: The published split of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers at most; beyond it the memo starts anew.
-MEMO = 600_000
+MEMO = 300_000
 
 
 def byte_symbols() -> dict[str, int]:
