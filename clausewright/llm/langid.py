@@ -199,7 +199,8 @@ def train(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> pd.DataFrame
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
     keep = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(BINS)) < F.ceil(F.lit(float(sample_bytes) * BINS) / F.greatest(F.col("bytes"), F.lit(1)))
-    drawn = usable.join(sizes, "lang").where(keep).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
+    # A row of two numbers for each language, far less than the model that is broadcast anyway; a shuffled join would send every text to its language's task before the draw.
+    drawn = usable.join(F.broadcast(sizes), "lang").where(keep).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
     counted = drawn.groupBy("lang", "part").applyInPandas(
         lambda pdf: count_grams(pdf["text"].tolist()).assign(lang=pdf["lang"].iloc[0])[["lang", "order", "gram", "n"]],
         "lang string, order int, gram long, n long",
