@@ -316,3 +316,44 @@ def test_pipeline(spark, tmp_path):
     assert last.count() == docs.count()
     assert corpus_pipeline.run(spark, d).count() == docs.count()
     assert corpus_pipeline.run(spark, cases.folder(spark, tmp_path / "empty", [])).count() == 0
+
+
+def test_pipeline_equals_plain_version(spark, tmp_path):
+    """Each stage done plainly in Python; only the mix's draw is taken from the operator, whose targets and sums other tests hold."""
+    import corpus_pipeline
+    from tests.llm.test_near_dup import brute, edited
+
+    r = random.Random(9)
+    given = [(i, cases.prose(i, 70 + i), "en", f"s{i % 4}", 1) for i in range(40)]
+    given += [(100 + i, edited(given[i % 10][1], i % 9, i), "en", f"s{i % 3}", 1) for i in range(40)]
+    given += [(200 + i, cases.prose(300 + i, 80) + f" mail x{i}@y.zz or +1 (017) 555-77{i:02d} at 10.0.0.{i} card 4111 1111 1111 1111", "en", "s1", 1) for i in range(8)]
+    given += [(300 + i, " ".join(w + "$$$" for w in cases.prose(400 + i, 90).split()), "en", "s2", 1) for i in range(4)] + [(400, "short", "en", "s0", 1), (401, None, "en", "s0", 1)]
+    r.shuffle(given)
+
+    def good(text):
+        n, chars, symbols, dups, repeated = plain_quality(text)
+        lines = sum(bool(cases.WORDS.search(x)) for x in (text or "").split("\n"))
+        stops = {x for w in quality_rules.STOP_WORDS for x in (w, w.capitalize())}
+        return n >= 50 and 100 * repeated <= 50 * n and 2 <= chars / n <= 14 and symbols / n <= 0.25 and dups / lines <= 0.5 and len(stops & set(cases.WORDS.findall(text))) >= 2
+
+    rows = [d for d in given if good(d[1])]
+    assert 0 < len(rows) < len(given)
+    top = brute(rows)
+    rows = [d for d in rows if top[d[0]] == d[0]]
+    assert len(rows) < len([d for d in given if good(d[1])])
+
+    def clean(text):
+        for kind, a, b in sorted(plain_pii(text), key=lambda s: -s[1]):
+            text = text[:a] + f"<{kind.upper()}>" + text[b:]
+        return text
+
+    texts = {d[0]: clean(d[1]) for d in rows}
+    sizes = spark.createDataFrame([(d[0], d[3], len(cases.WORDS.findall(texts[d[0]]))) for d in rows], "doc_id long, source string, size long")
+    copies = {x.doc_id: x.copies for x in mixing.mix(sizes).collect()}
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, text in texts.items():
+        ids = t.encode(text, add_special_tokens=False).ids
+        want += [(i, tuple(ids), hashlib.sha256(text.encode()).hexdigest())] * copies[i]
+    got = corpus_pipeline.run(spark, cases.folder(spark, tmp_path, given)).collect()
+    assert sorted(want) == sorted((x.doc_id, tuple(x.ids), x.decoded_sha256) for x in got)
