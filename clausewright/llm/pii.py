@@ -39,12 +39,27 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
+_IBAN_FOUR = re.compile(r"\x20?[A-Z0-9]{4}")
+_IBAN_TAIL = re.compile(r"\x20?[A-Z0-9]{1,3}")
+_EDGE = re.compile(r"\b")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile("[0-9]")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _DOUBLED = [sum(divmod(2 * d, 10)) for d in range(10)]
 
 
+# Characters of an IBAN by country, as registered under ISO 13616.
+IBAN_LENGTH = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
+
 class Span(NamedTuple):
     kind: str
     start: int
@@ -64,6 +79,43 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_ends(text: str, start: int) -> list[int]:
+    """Where an IBAN that begins at start may end, longest first."""
+    ends, at = set(), start + 4
+    for k in range(8):
+        if k >= 2:
+            # The tail is as long as it can be: behind a shorter one there is no edge of a word.
+            tail = _IBAN_TAIL.match(text, at)
+            ends |= {x for x in (at, tail.end() if tail else at) if _EDGE.match(text, x)}
+        four = _IBAN_FOUR.match(text, at)
+        if not four:
+            break
+        at = four.end()
+    return sorted(ends, reverse=True)
+
+
+def _iban_search(text: str, start: int, stop: int, registered: bool):
+    """Leftmost matches within start and stop whose checksum holds, of the country's length or of any; a search goes on behind a match, or behind a place where none begins."""
+    m = _IBAN.search(text, start)
+    while m and m.start() < stop:
+        a, due = m.start(), IBAN_LENGTH.get(m[0][:2], 0) if registered else None
+        ends = _iban_ends(text, a) if due != 0 else []
+        end = next((e for e in ends if e <= stop and (due is None or e - a - text.count(" ", a, e) == due) and mod97(text[a:e])), None)
+        if end is not None:
+            yield a, end
+        m = _IBAN.search(text, a + 1 if end is None else end)
+
+
+def _ibans(text: str):
+    """Those of a registered country and its length; then, in the gaps, any others."""
+    at = 0
+    for a, b in [*_iban_search(text, 0, len(text), True), (len(text), len(text))]:
+        yield from _iban_search(text, at, a, False)
+        if a < b:
+            yield a, b
+        at = b
+
+
 def _emails(text: str):
     """Leftmost matches: for each @ the local part reaches back to the last other character or match, the domain forward."""
     done = 0
@@ -108,9 +160,8 @@ def _proposals(text: str):
         for m in _PHONE.finditer(text):
             if 9 <= len(_only_digits(m[0])) <= 15:
                 yield "phone", *m.span(), 0.0
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span(), 0.2
+    for a, b in _ibans(text):
+        yield "iban", a, b, 0.2
     if "-" in text:
         for m in _SSN.finditer(text):
             yield "ssn", *m.span(), 0.0

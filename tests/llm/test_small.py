@@ -173,6 +173,21 @@ def test_pii_is_linear_in_odd_texts():
     pii.find_spans("a" * 200_000 + "@" + "1" * 200_000 + "+1" + "." * 200_000 + "@" * 1000)
 
 
+@pytest.mark.parametrize("number", ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "SE45 5000 0000 0583 9825 7466", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("before", ["", "AB12 ", "AB12 CDEF GHIJ "])
+@pytest.mark.parametrize("behind", ["", ".", " BIC CAIXESBB", " EUR 100", " 1250 EUR", " BICX CAIX ESBB", " ES91 2100 0418 4502 0005 1332"])
+def test_iban_ends_where_it_ends(number, before, behind):
+    text = before + number + behind
+    spans = [text[x.start : x.end] for x in pii.find_spans(text) if x.kind == "iban"]
+    assert spans == [number, *[behind.strip()] * behind.startswith(" ES")]
+
+
+def test_iban_of_other_countries_ends_where_its_checksum_holds():
+    assert "ZZ" not in pii.IBAN_LENGTH
+    number = next(x for c in range(100) if pii.mod97(x := f"ZZ{c:02d} 1234 5678 9012 3456"))
+    assert [(x.start, x.end) for x in pii.find_spans(f"to {number} BIC") if x.kind == "iban"] == [(3, 3 + len(number))]
+
+
 # ---- 9
 
 
