@@ -5,7 +5,8 @@ inclusion probability. The flight phase moves these probabilities through the nu
 documents and of words, until each is 0 or 1; the landing tries all ways for the few that are left, at most RESERVE + 2 a source.
 
 Flights run on groups of at most about GROUP documents of a source, so a hot source is many groups; what each leaves (two
-documents at most) meets in flights of the next level. Only ids, sources and sizes are shuffled, never texts."""
+documents and its reserve of RESERVE) meets in flights of the next level. A source of one group has nothing to fly there, so it
+lands with the same documents however large the largest source is. Only ids, sources and sizes are shuffled, never texts."""
 
 from __future__ import annotations
 
@@ -29,7 +30,7 @@ MOST = 3
 GROUP = 4096
 #: Leftover groups that meet in one flight of the next level.
 FAN = 1024
-#: Documents of each source kept for the landing, besides the two that a flight leaves.
+#: Documents of each group kept for the next level or the landing, besides the two that a flight leaves.
 RESERVE = 12
 SEED = 7
 
@@ -109,15 +110,20 @@ def landing(sizes: list[int], chances: list[float]) -> list[float]:
     return out
 
 
-def fly_and_land(sizes: list[int], chances: list[float], rng: random.Random) -> list[float]:
-    """The last flight of a source. RESERVE documents of all sizes stay out of it, so that the landing has small and large ones to choose from."""
+def held_flight(sizes: list[int], chances: list[float], rng: random.Random) -> list[float]:
+    """A flight that RESERVE documents of all sizes stay out of, so that the landing has small and large ones to choose from, in whichever level it is."""
     free = [i for i, p in enumerate(chances) if 1e-9 < p < 1 - 1e-9]
     held = {free[round(j * (len(free) - 1) / max(1, RESERVE - 1))] for j in range(RESERVE)} if free else set()
     going = [i for i in range(len(chances)) if i not in held]
     out = list(chances)
     for i, p in zip(going, flight([sizes[i] for i in going], [chances[i] for i in going], rng)):
         out[i] = p
-    return landing(sizes, out)
+    return out
+
+
+def fly_and_land(sizes: list[int], chances: list[float], rng: random.Random) -> list[float]:
+    """The last flight of a source."""
+    return landing(sizes, held_flight(sizes, chances, rng))
 
 
 def _fly(units: DataFrame, group: Column, level: int, last: bool) -> DataFrame:
@@ -128,7 +134,7 @@ def _fly(units: DataFrame, group: Column, level: int, last: bool) -> DataFrame:
         rng = random.Random(zlib.crc32(f"{SEED}/{level}/{key[0]!r}/{key[1]}".encode()))
         sizes = pdf["size"].tolist()
         chances = pdf["chance"].tolist()
-        return pdf.assign(chance=fly_and_land(sizes, chances, rng) if last else flight(sizes, chances, rng))
+        return pdf.assign(chance=fly_and_land(sizes, chances, rng) if last else held_flight(sizes, chances, rng))
 
     names = units.columns
     return units.groupBy("source", group.alias("g")).applyInPandas(lambda key, pdf: run(key, pdf)[names], units.schema)

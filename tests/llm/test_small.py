@@ -87,6 +87,36 @@ def test_mixing(spark, monkeypatch, group):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_a_small_source_lands_alike_beside_a_large_one(spark, monkeypatch):
+    """One very long text and a few groups' worth of short ones, alone and beside a source of several groups."""
+    monkeypatch.setattr(mixing, "GROUP", 60)
+    r = random.Random(11)
+    small = [(0, "b", 9000)] + [(i, "b", r.randint(100, 1500)) for i in range(1, 50)]
+    large = [(1000 + i, "c", r.randint(1, 300)) for i in range(600)]
+    schema, landed = "doc_id long, source string, size long", []
+    for most in (small, small + large):
+        got = [x for x in mixing.mix(spark.createDataFrame(most, schema), weights=(1.0, 1.0), most=1, share=0.31).collect() if x.source == "b"]
+        landed.append((sum(x.taken for x in got), got[0].target, {x.copies for x in got}))
+    assert all(copies == {0, 1} and abs(taken - target) <= 0.001 * target for taken, target, copies in landed), landed
+
+
+@pytest.mark.parametrize("others", [0, 300])
+def test_a_reserve_is_left_for_the_landing(spark, monkeypatch, others):
+    monkeypatch.setattr(mixing, "GROUP", 60)
+    left = []
+    real = mixing._fly
+
+    def watched(units, group, level, last):
+        if last:
+            left.append({x.source: x.n for x in units.where("chance > 0 and chance < 1").groupBy("source").agg(F.count("*").alias("n")).collect()})
+        return real(units, group, level, last)
+
+    monkeypatch.setattr(mixing, "_fly", watched)
+    rows = [(i, "a", 50 + i) for i in range(40)] + [(100 + i, "z", 1 + i % 90) for i in range(others)]
+    mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), share=0.5).collect()
+    assert left[0]["a"] >= mixing.RESERVE
+
+
 def test_flight_keeps_sums():
     r = random.Random(3)
     sizes, pi = [r.randint(1, 900) for _ in range(500)], [r.random() for _ in range(500)]
