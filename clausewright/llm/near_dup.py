@@ -342,12 +342,21 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, with its own columns; one row of each repeated doc_id. Rows of null doc_id all stay."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """One row of each group of near texts, that of the smallest doc_id, with its own columns. Rows of null doc_id all stay.
+
+    Rows are told apart by doc_id and text, so different texts of one doc_id stand or fall each by itself; of a doc_id's texts in one
+    group the one with the smallest code stays, of rows equal in both the smallest in the order of their columns."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    left = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*columns)
     repeated = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(once)
+        dropped = near_duplicates(docs).where("not kept").select("doc_id")
+        return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*columns)
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    found = near_duplicates(docs.select(row.alias("doc_id"), "text")).where("doc_id is not null").select(F.col("doc_id").alias("near_row"), "component_id").distinct()
+    named = found.join(docs.select(row.alias("near_row"), F.col("doc_id").cast("long").alias("of")).where("near_row is not null").distinct(), "near_row")
+    kept = named.groupBy("component_id").agg(F.min(F.struct("of", "near_row"))["near_row"].alias("near_row")).select("near_row")
+    known = docs.where("doc_id is not null").withColumn("near_row", row)
+    left = staged(known.join(kept.hint("shuffle_hash"), "near_row", "left_semi"), "left")
+    alike = staged(left.groupBy("near_row").agg(F.count("*").alias("c")).where("c > 1").select("near_row"), "alike")
+    once = left.join(alike, "near_row", "left_semi").groupBy("near_row").agg(F.min(F.struct(*columns)).alias("near_least")).select(*[F.col("near_least")[c].alias(c) for c in docs.columns])
+    return left.join(alike, "near_row", "left_anti").select(*columns).unionByName(once).unionByName(docs.where("doc_id is null").select(*columns))

@@ -66,6 +66,17 @@ def test_stage_keeps_one_of_each(spark, tmp_path):
     assert 1 not in ids and {0, 3, 4, None} <= set(ids) and ids.count(4) == 1
 
 
+def test_stage_decides_by_row_where_doc_ids_repeat(spark, tmp_path):
+    a, b, c, d = (cases.prose(s, 150) for s in (50, 51, 52, 53))
+    given = [(1, a, "en", "a", 1), (5, a, "en", "a", 1), (5, b, "fr", "b", 2), (6, c, "en", "a", 1), (6, d, "en", "a", 1), (8, edited(c, 1, 1), "en", "a", 1)]
+    given += [(9, b, "en", "a", 1), (9, b, "de", "a", 1), (10, None, "en", "a", 1), (10, "", "en", "a", 1), (12, cases.prose(54), "fr", "z", 3), (12, cases.prose(54), "en", "z", 3), (None, a, "en", "a", 1), (None, a, "en", "a", 1)]
+    want = sorted([(1, a, "en"), (5, b, "fr"), (6, c, "en"), (6, d, "en"), (10, None, "en"), (10, "", "en"), (12, given[10][1], "en"), (None, a, "en"), (None, a, "en")], key=str)
+    for n in (1, 5):
+        docs = cases.documents(spark, given).repartition(n)
+        kept = near_dup.near_dup_stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and sorted(((r.doc_id, r.text, r.lang) for r in kept.collect()), key=str) == want
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     items = rng.integers(0, 2**63, 900, dtype=np.uint64)
