@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.operators.profile import KNOWN_ENUMS, detect_format, observed_enum, profile
+from clausewright.operators.profile import KNOWN_ENUMS, detect_formats, observed_enum, profile
 
 # Items and properties of well-known nested columns, as field -> clause.
 _ID = {"type": "string", "format": "uuid", "unique": True}
@@ -96,11 +96,12 @@ def clause(row: dict) -> dict:
 
 
 def clauses(df: DataFrame, exact: bool = True) -> tuple[dict[str, dict], list[dict]]:
-    """column -> clause, and the profile rows with format and enum of strings. The table is scanned once for the profile, and per string column for its values."""
+    """column -> clause, and the profile rows with format and enum of strings. The table is scanned once for the profile, once for the formats, and per string column for its values."""
     rows = [r.asDict() for r in profile(df, exact=exact).collect()]
+    formats = detect_formats(df, [r["column"] for r in rows if r["dtype"] == "string"])
     for r in rows:
         if r["dtype"] == "string":
-            r["format"] = detect_format(df, r["column"]).first()["format"]
+            r["format"] = formats[r["column"]]
             r["enum"] = observed_enum(df, r["column"])
     return {r["column"]: clause(r) for r in rows}, rows
 

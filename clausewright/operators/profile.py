@@ -13,8 +13,8 @@ PROFILE = (
     "p25 double, p50 double, p75 double, p95 double, p99 double, cardinality bigint, keys array<string>, warning string"
 )
 
-#: Strings whose format is looked at, and the share that must match.
-FORMAT_SAMPLE, FORMAT_SHARE = 50, 0.8
+#: Share of a column's strings that must match a format.
+FORMAT_SHARE = 0.8
 
 # Columns with known values, matched when either name contains the other.
 KNOWN_ENUMS: dict[str, list[str]] = {
@@ -95,12 +95,20 @@ def top_values(df: DataFrame, column: str, n: int | None = 5) -> DataFrame:
     return ordered.limit(n) if n else ordered
 
 
-def detect_format(values: DataFrame, column: str, sample: int = FORMAT_SAMPLE, share: float = FORMAT_SHARE) -> DataFrame:
-    """format: the first of FORMATS that enough of the first values have, or null. The rows' order is the DataFrame's own."""
-    first = values.select(col(column).cast("string").alias("v")).where("v is not null").limit(sample)
-    hits = first.agg(*[F.avg(F.col("v").rlike(p).cast("double")).alias(f"f{i}") for i, p in enumerate(FORMATS.values())])
-    found = F.coalesce(*[F.when(F.col(f"f{i}") >= share, F.lit(name)) for i, name in enumerate(FORMATS)])
-    return hits.select(found.alias("format"))
+def _format(value: Column, share: float) -> Column:
+    """The first of FORMATS that enough of the aggregated values have, nulls aside, or null."""
+    return F.coalesce(*[F.when(F.avg(value.rlike(p).cast("double")) >= share, F.lit(name)) for name, p in FORMATS.items()])
+
+
+def detect_format(values: DataFrame, column: str, sample: int | None = None, share: float = FORMAT_SHARE) -> DataFrame:
+    """format: the first of FORMATS that enough of the values have, or null. With a sample, only so many values are looked at, whichever come first."""
+    v = values.select(col(column).cast("string").alias("v")).where("v is not null")
+    return (v.limit(sample) if sample else v).agg(_format(F.col("v"), share).alias("format"))
+
+
+def detect_formats(df: DataFrame, columns: list[str], share: float = FORMAT_SHARE) -> dict[str, str | None]:
+    """The format of each column, over all values, from one pass."""
+    return dict(zip(columns, df.agg(*[_format(col(c).cast("string"), share).alias(f"f{i}") for i, c in enumerate(columns)]).first())) if columns else {}
 
 
 def observed_enum(df: DataFrame, column: str, most: int = 10) -> list[str] | None:

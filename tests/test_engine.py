@@ -86,6 +86,16 @@ def test_nan_counts_as_null_and_strings_as_numbers_only_if_plain(spark):
     assert only_text.status == "ERROR"
 
 
+def test_format_is_of_all_values(spark):
+    digests = spark.range(0, 60, 1, 1).selectExpr("sha2(string(id), 256) as h", "cast(null as string) as n")
+    mixed = digests.unionByName(spark.range(0, 60, 1, 1).selectExpr("'plain' as h", "cast(null as string) as n"))
+    assert profile.detect_format(mixed, "h").first()["format"] is None
+    assert profile.detect_format(mixed, "h", sample=50).first()["format"] == "sha256"
+    assert profile.detect_format(digests, "h").first()["format"] == "sha256" and profile.detect_format(digests, "n").first()["format"] is None
+    rows = {r["column"]: r for r in contract.clauses(mixed.withColumnRenamed("h", "a.b"))[1]}
+    assert rows["a.b"]["format"] is None and rows["n"]["format"] is None
+
+
 def test_formats_patterns_and_samples(spark):
     df = spark.createDataFrame([(UUID % 1,), ((UUID % 2).upper(),), ("nope",), (None,)], "u string")
     c = {"id": "t", "schema": {"u": {"format": "uuid", "pattern": contract.PATTERNS["uuid"], "unique": True}, "bad": {}}}
