@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as checkpointed in spark.checkpoint.dir, or under /tmp where a session, as in tests, has none."""
+    """df as checkpointed in spark.checkpoint.dir, or under /tmp where a local session, as in tests, has none."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+        context.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint()
