@@ -6,7 +6,8 @@ import re
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: White space that ends a word: space and the controls 9 to 13. Words are runs of anything else.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -34,6 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not top:
         top = spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         top = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(top)
     return f"{str(top).rstrip('/')}/clausewright-{uuid.uuid4().hex}"
@@ -49,6 +52,28 @@ def staged(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(df: DataFrame) -> Column:
+    """Two independent 64-bit hashes of all columns of a row, never null: equal for rows that are equal in everything."""
+    odd = lambda kind: "map<" in kind or "variant" in kind
+    plain = [F.to_json(F.struct(F.col(f"`{c}`").alias("x"))) if odd(kind) else F.col(f"`{c}`") for c, kind in df.dtypes]
+    empty = [F.isnull(F.col(f"`{c}`")) for c in df.columns]
+    return F.struct(F.xxhash64(F.lit(1), *plain, *empty).alias("a"), F.xxhash64(F.lit("second"), *plain, *empty).alias("b"))
+
+
+def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each of `sums`, the sum over the rows before it in that order. The order is range-partitioned and written; a task sums up its own range, and one row a range comes to the driver."""
+    ranged = df.select("*", *[c.cast("double").alias(f"_v{i}") for i, c in enumerate(sums.values())])
+    ranged = ranged.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id())
+    ranged = staged(ranged, "ranged")
+    before, at = {}, [0.0] * len(sums)
+    for r in ranged.groupBy("_range").agg(*[F.sum(f"_v{i}") for i in range(len(sums))]).orderBy("_range").collect():
+        before[r[0]] = at
+        at = [a + (b or 0.0) for a, b in zip(at, r[1:])]
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v[i])]), F.col("_range")) if before else F.lit(0.0)
+    return ranged.select(*df.columns, *[(start(i) + F.coalesce(F.sum(f"_v{i}").over(own), F.lit(0.0))).alias(name) for i, name in enumerate(sums)])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, so that nearby values part."""
     x = x.astype(np.uint64, copy=True)

@@ -2,11 +2,14 @@
 
 Each source takes target / size of its words: every document goes in whole floor(rate) times, and once more with the rest as
 inclusion probability. The flight phase moves these probabilities through the null space of two constraints, the number of
-documents and of words, until each is 0 or 1; the landing tries all ways for the few that are left, at most RESERVE + 2 a source.
+documents and of words, until each is 0 or 1; the landing goes through all ways for the few that are left, at most RESERVE + 2 a
+source: among the ways whose words come within SLACK of the sum due, or the nearest way if none does, one is drawn with weights
+that keep each document's inclusion probability as well as these ways allow.
 
 Flights run on groups of at most about GROUP documents of a source, so a hot source is many groups; what each leaves (two
-documents and its reserve of RESERVE) meets in flights of the next level. A source of one group has nothing to fly there, so it
-lands with the same documents however large the largest source is. Only ids, sources and sizes are shuffled, never texts."""
+documents and its reserve of RESERVE, drawn from all sizes) meets in flights of the next level. A source of one group has nothing
+to fly there, so it lands with the same documents however large the largest source is. Only keys, sources and sizes are shuffled
+for the draw; whatever the keys are, they pass through it as they came."""
 
 from __future__ import annotations
 
@@ -16,11 +19,10 @@ import zlib
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import read, staged
+from clausewright.llm.common import prefix_sums, read, row_key, staged
 
 #: Weights that the sources get in turn, in the order of their names; null comes last.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -32,6 +34,8 @@ GROUP = 4096
 FAN = 1024
 #: Documents of each group kept for the next level or the landing, besides the two that a flight leaves.
 RESERVE = 12
+#: Share of a source's target by which the words of the ways to choose from may miss the sum due.
+SLACK = 0.0005
 SEED = 7
 
 _SPACES = "\t\n\x0b\x0c\r"
@@ -47,23 +51,20 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     """source, source_size, n_docs, target: `share` of all words dealt by weight, no target above `most` times its source's size.
 
     What a capped source can't take is dealt again by weight: the sources in order of cap by weight fill up one after the
-    other, so the capped ones are a prefix of that order and one window finds them. One row a source, null being a source."""
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
-    everything = Window.partitionBy(F.lit(0))
-    filling = everything.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(filling), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(filling), F.lit(0.0)))
-    found = (
-        totals.withColumn("weight", weight)
-        .withColumn("cap", F.col("source_size") * float(most))
-        .withColumn("total", F.sum("source_size").over(everything) * share)
-        .withColumn("level", level)
-        .withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-        .withColumn("dealt", F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("level")))).over(everything)["level"])
-    )
-    target = F.least(F.col("cap"), F.coalesce(F.col("dealt") * F.col("weight"), F.col("cap")))
-    return found.select("source", "source_size", "n_docs", target.alias("target"))
+    other, so the capped ones are a prefix of that order and sums of that prefix find them. One row a source, null being a source;
+    both orders are range-partitioned, so no task has all sources."""
+    totals = staged(sizes.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"), F.count("*").alias("n_docs")), "totals")
+    placed = prefix_sums(totals, [F.col("source").asc_nulls_last()], {"place": F.lit(1.0)})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    caps = placed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most))
+    words, weight_of_all = caps.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, weight_of_all = (words or 0.0) * share, weight_of_all or 0.0
+    filled = prefix_sums(caps, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], {"filled": F.col("cap"), "gone": F.col("weight")})
+    level = (F.lit(total) - F.col("filled")) / (F.lit(weight_of_all) - F.col("gone"))
+    found = filled.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
+    dealt = found.where("open").agg(F.min(F.struct(F.col("cap") / F.col("weight"), "level"))["level"]).first()[0]
+    target = F.col("cap") if dealt is None else F.least(F.col("cap"), F.lit(dealt) * F.col("weight"))
+    return found.select("source", F.col("source_size").cast("long").alias("source_size"), "n_docs", target.alias("target"))
 
 
 def flight(sizes: list[int], chances: list[float], rng: random.Random) -> list[float]:
@@ -95,25 +96,42 @@ def _move(pi: list[float], pool: list[int], u: tuple, rng: random.Random, eps: f
     pool[:] = [i for i in pool if eps < pi[i] < 1 - eps]
 
 
-def landing(sizes: list[int], chances: list[float]) -> list[float]:
-    """The few chances left, made 0 or 1: of all ways the one whose words come nearest to the sum due, then whose number of documents does."""
+def landing(sizes: list[int], chances: list[float], rng: random.Random, slack: float = 0.0) -> list[float]:
+    """The few chances left, made 0 or 1: of all ways those whose words come within slack of the sum due, or else the nearest; one of them is drawn."""
     left = [i for i, p in enumerate(chances) if 1e-9 < p < 1 - 1e-9]
     if not left:
         return chances
-    ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    ways = ((np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1).astype(float)
     size, pi = np.array([sizes[i] for i in left], float), np.array([chances[i] for i in left])
-    off, count = np.abs(ways @ size - pi @ size), np.abs(ways.sum(1) - pi.sum())
-    best = ways[np.lexsort((count, np.round(off, 6)))[0]]
+    off, count = np.round(np.abs(ways @ size - pi @ size), 6), np.abs(ways.sum(1) - pi.sum())
+    near = off <= max(off.min(), slack)
+    if off.min() >= slack:
+        near &= count <= count[near].min() + 1e-9
+    ways = ways[near]
+    best = ways[rng.choices(range(len(ways)), _weights(ways, pi))[0]]
     out = list(chances)
     for i, x in zip(left, best.tolist()):
         out[i] = float(x)
     return out
 
 
+def _weights(ways: np.ndarray, pi: np.ndarray) -> list[float]:
+    """Of the chances of the ways that give each document its own, or come near where none can, those of the largest entropy, by Newton's method."""
+    at = np.zeros(len(pi))
+    for _ in range(40):
+        p = np.exp(ways @ at - (ways @ at).max())
+        p /= p.sum()
+        mean = p @ ways
+        spread = (ways * p[:, None]).T @ ways - np.outer(mean, mean) + 1e-3 * np.eye(len(pi))
+        at += np.clip(np.linalg.solve(spread, pi - mean - 1e-3 * at), -1, 1)
+    return p.tolist()
+
+
 def held_flight(sizes: list[int], chances: list[float], rng: random.Random) -> list[float]:
-    """A flight that RESERVE documents of all sizes stay out of, so that the landing has small and large ones to choose from, in whichever level it is."""
+    """A flight that RESERVE documents stay out of, one drawn from each of as many runs of sizes, so that the landing has small and large ones to choose from, in whichever level it is."""
     free = [i for i, p in enumerate(chances) if 1e-9 < p < 1 - 1e-9]
-    held = {free[round(j * (len(free) - 1) / max(1, RESERVE - 1))] for j in range(RESERVE)} if free else set()
+    cuts = [round(j * len(free) / RESERVE) for j in range(RESERVE + 1)]
+    held = {free[rng.randrange(a, b)] for a, b in zip(cuts, cuts[1:]) if b > a}
     going = [i for i in range(len(chances)) if i not in held]
     out = list(chances)
     for i, p in zip(going, flight([sizes[i] for i in going], [chances[i] for i in going], rng)):
@@ -121,31 +139,37 @@ def held_flight(sizes: list[int], chances: list[float], rng: random.Random) -> l
     return out
 
 
-def fly_and_land(sizes: list[int], chances: list[float], rng: random.Random) -> list[float]:
+def fly_and_land(sizes: list[int], chances: list[float], rng: random.Random, slack: float = 0.0) -> list[float]:
     """The last flight of a source."""
-    return landing(sizes, held_flight(sizes, chances, rng))
+    return landing(sizes, held_flight(sizes, chances, rng), rng, slack)
 
 
 def _fly(units: DataFrame, group: Column, level: int, last: bool) -> DataFrame:
-    """chance moved within each (source, group)."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")
-        rng = random.Random(zlib.crc32(f"{SEED}/{level}/{key[0]!r}/{key[1]}".encode()))
-        sizes = pdf["size"].tolist()
-        chances = pdf["chance"].tolist()
-        return pdf.assign(chance=fly_and_land(sizes, chances, rng) if last else held_flight(sizes, chances, rng))
+    """chance moved within each (source, group). Of a unit only size, order and chance are read; all else goes on as it is."""
+    import pyarrow as pa
+
+    def run(table: pa.Table) -> pa.Table:
+        size, order, chance = (table.column(c).to_numpy() for c in ("size", "order", "chance"))
+        place = np.lexsort((order, -size))
+        name = table.column("source")[0].as_py()
+        rng = random.Random(zlib.crc32(f"{SEED}/{level}/{name!r}/{table.column('g')[0].as_py()}".encode()))
+        sizes, chances = size[place].tolist(), chance[place].tolist()
+        moved = np.empty(len(place))
+        moved[place] = fly_and_land(sizes, chances, rng, SLACK * table.column("target")[0].as_py()) if last else held_flight(sizes, chances, rng)
+        return table.set_column(table.column_names.index("chance"), "chance", pa.array(moved)).select(names)
 
     names = units.columns
-    return units.groupBy("source", group.alias("g")).applyInPandas(lambda key, pdf: run(key, pdf)[names], units.schema)
+    return units.withColumn("g", group.cast("long")).groupBy("source", "g").applyInArrow(run, units.schema)
 
 
-def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row of sizes (doc_id, source, size and any key columns).
+def mix(sizes: DataFrame, keys: tuple[str, ...] = ("doc_id",), weights: tuple[float, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
+    """The columns `keys`, then source, size, source_size, target, copies and taken, for each row of sizes (keys, source, size).
 
-    Rows are units: repeated rows are drawn one by one, null doc_ids and sources are like any other, documents of no words are
-    never taken, an empty table gives an empty one. The draw depends on the rows alone, not on their order or partitions."""
-    targets = source_targets(sizes, weights, most, share)
+    Rows are units: repeated rows are drawn one by one, null keys and sources are like any other, a null size is 0, documents of no words are
+    never taken, an empty table gives an empty one. Other columns are left out, so their names can't clash; keys may be of any
+    type and come back as they were. The draw depends on keys, sources and sizes alone, not on the order of rows or partitions."""
+    sizes = sizes.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("key"), "source", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
+    targets = staged(source_targets(sizes, weights, most, share), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = (
         sizes.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
@@ -153,7 +177,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
         .withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
         .withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("long"))
         .withColumn("chance", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
-        .withColumn("order", F.xxhash64("doc_id", "size"))
+        .withColumn("order", F.xxhash64("key", "size"))
         .withColumn("bucket", F.pmod(F.col("order"), F.ceil(F.col("n_docs") / GROUP)))
         .drop("rate")
     )
@@ -170,8 +194,9 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
         open_ = (F.col("chance") > 0) & (F.col("chance") < 1)
         settled.append(flown.where(~open_))
         units, group = flown.where(open_), F.floor(group / FAN)
-    out = reduce(DataFrame.unionByName, settled).withColumn("copies", F.col("whole") + F.round("chance").cast("long"))
-    return out.withColumn("taken", F.col("size") * F.col("copies")).drop("whole", "chance", "order", "bucket", "n_docs")
+    copies = F.col("whole") + F.round("chance").cast("long")
+    out = reduce(DataFrame.unionByName, settled).select("key", "source", "size", "source_size", "target", copies.alias("copies"))
+    return out.select(*[F.col("key")[k].alias(k) for k in keys], "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,10 +206,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows of one doc_id are told apart by their number in order of source and size."""
+    """Each document as often as the mix takes it, with its own columns.
+
+    A row is known by two hashes of all its columns, so null and repeated doc_ids are no trouble; rows equal in everything are
+    drawn one by one and come out as often as the draw says in all. Texts are shuffled once, when the decisions meet them."""
     columns = docs.columns
-    numbered = docs.withColumn("mix_size", n_words(F.col("text"))).withColumn("mix_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "mix_size")))
-    sizes = staged(numbered.select("doc_id", "source", F.col("mix_size").alias("size"), "mix_k"), "sizes")
-    drawn = mix(sizes).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("mix_k").alias("mix_n"), "copies")
-    met = numbered.join(drawn, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_k") == F.col("mix_n")))
-    return met.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), row_key(docs).alias("k"), F.col("source"), F.col("text"))
+    sizes = keyed.select("k", "source", n_words(F.col("text")).alias("size")).groupBy("k", "source", "size").agg(F.count("*").alias("n"))
+    units = staged(sizes.select("k", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")), "sizes")
+    drawn = staged(mix(units, ("k", "i")).groupBy("k").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "drawn")
+    whole = keyed.select("row", "k")
+    once = whole.join(drawn.where("rows = 1").hint("shuffle_hash"), "k")
+    alike = whole.join(drawn.where("rows > 1").hint("shuffle_hash"), "k").groupBy("k").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return once.select("row", "copies").unionByName(alike.select("row", "copies")).select("row", again.alias("copy")).select("row.*")

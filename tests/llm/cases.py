@@ -28,7 +28,7 @@ def rows():
 
 def documents(spark, given=None, extra=True):
     df = spark.createDataFrame(rows() if given is None else given, DOCS)
-    clash = ("n_words", "kept", "size", "t", "w", "k0", "spans", "digest", "id", "target", "block")
+    clash = ("n_words", "kept", "size", "t", "w", "k0", "spans", "digest", "id", "target", "block", "copies", "mix_size", "mix_k", "order", "bucket", "whole", "chance", "row", "k", "h", "node", "rows", "copy")
     from pyspark.sql import functions as F
 
     return df.select("*", *[F.lit("x").alias(c) for c in clash]) if extra else df

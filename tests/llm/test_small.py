@@ -117,6 +117,39 @@ def test_a_reserve_is_left_for_the_landing(spark, monkeypatch, others):
     assert left[0]["a"] >= mixing.RESERVE
 
 
+def test_ids_of_any_size_and_null_pass_the_draw(spark, tmp_path):
+    rows = [(2**60 + i, "a", 100 + i) for i in range(20)] + [(None, "a", 50), (-(2**63), "b", 9)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    assert sorted((str(x.doc_id), x.size) for x in got) == sorted((str(i), n) for i, _, n in rows)
+    docs = spark.createDataFrame([(i, cases.prose(k, n), "en", s, 1) for k, (i, s, n) in enumerate(rows)], cases.DOCS)
+    out = mixing.mixing_stage(spark, docs, str(tmp_path)).collect()
+    assert {(x.doc_id, x.text) for x in out} <= {(x.doc_id, x.text) for x in docs.collect()} and len({x.doc_id for x in out}) > 10
+
+
+def test_mixing_stage_of_equal_rows(spark, tmp_path):
+    given = [(None, cases.prose(1), "en", "a", 1)] * 40 + [(i, cases.prose(i), "en", "b", 1) for i in range(40)]
+    docs = spark.createDataFrame(given, cases.DOCS).withColumn("m", F.create_map(F.lit("k"), F.col("source")))
+    out = mixing.mixing_stage(spark, docs, str(tmp_path)).collect()
+    words = lambda s: sum(len(cases.WORDS.findall(x.text)) for x in out if x.source == s)
+    assert abs(words("a") - 80 * 40) <= 120 and abs(words("b") - 80 * 80) <= 120 and {x.m["k"] for x in out} == {"a", "b"}
+
+
+def test_landing_keeps_chances():
+    r = random.Random(8)
+    sizes, pi = [r.randint(1, 900) for _ in range(14)], [r.uniform(0.1, 0.9) for _ in range(14)]
+    due = sum(a * b for a, b in zip(sizes, pi))
+    drawn = [mixing.landing(sizes, pi, random.Random(k), 12.0) for k in range(600)]
+    assert all(abs(sum(a * b for a, b in zip(sizes, x)) - due) <= 12.0 for x in drawn)
+    assert np.abs(np.mean(drawn, 0) - pi).max() < 0.12
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{i:03d}": 1 + (i * 37) % 400 for i in range(300)} | {None: 50}
+    got = mixing.source_targets(spark.createDataFrame([(s, k) for s, k in sizes.items()], "source string, size long")).collect()
+    want = plain_targets(sizes)
+    assert len(got) == 301 and all(math.isclose(x.target, want[x.source], rel_tol=1e-9) for x in got)
+
+
 def test_flight_keeps_sums():
     r = random.Random(3)
     sizes, pi = [r.randint(1, 900) for _ in range(500)], [r.random() for _ in range(500)]
@@ -383,7 +416,7 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
 
     rows = [d for d in given if good(d[1])]
     assert 0 < len(rows) < len(given)
-    top = brute(rows)
+    top = brute(rows, 5)
     rows = [d for d in rows if top[d[0]] == d[0]]
     assert len(rows) < len([d for d in given if good(d[1])])
 
