@@ -7,12 +7,12 @@ from clausewright.llm import near_dup
 from tests.llm import cases
 
 
-def shingles(text):
+def shingles(text, k=4):
     w = cases.words(text)
-    return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-def brute(rows):
+def brute(rows, k=4):
     ids = [r[0] for r in rows if r[0] is not None]
     top = {i: i for i in ids}
 
@@ -21,9 +21,9 @@ def brute(rows):
             i = top[i]
         return i
 
-    known = [(r[0], shingles(r[1])) for r in rows if r[0] is not None]
-    for k, (i, a) in enumerate(known):
-        for j, b in known[:k]:
+    known = [(r[0], shingles(r[1], k)) for r in rows if r[0] is not None]
+    for at, (i, a) in enumerate(known):
+        for j, b in known[:at]:
             if a and b and 100 * len(a & b) >= 80 * len(a | b):
                 x, y = root(i), root(j)
                 top[max(x, y)] = min(x, y)
@@ -37,12 +37,14 @@ def edited(base, n, seed):
     return " ".join(w)
 
 
-def test_components_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 8)
+@pytest.mark.parametrize("exact,block,size", [(False, 8, 1 << 20), (False, 1024, 20_000), (True, 8, 1 << 20)])
+def test_components_equal_brute_force(spark, monkeypatch, exact, block, size):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", size)
     base = cases.prose(7, 200)
     given = [(i, edited(base, i % 14, i), "en", "a", 1) for i in range(60)] + [(100 + i, edited(cases.prose(30 + i % 5, 90), i // 5, i), "en", "a", 1) for i in range(20)]
     given += [(200 + i, base, "en", "a", 1) for i in range(15)] + [(300 + r[0], *r[1:]) for r in cases.rows() if r[0] is not None]
-    got = near_dup.near_duplicates(cases.documents(spark, given)).collect()
+    got = near_dup.near_duplicates(cases.documents(spark, given), shingle=4, exact=exact).collect()
     expected = brute(given)
     assert len(got) == len(given)
     assert {r.doc_id: r.component_id for r in got} == expected
@@ -77,6 +79,32 @@ def test_stage_decides_by_row_where_doc_ids_repeat(spark, tmp_path):
         assert kept.columns == docs.columns and sorted(((r.doc_id, r.text, r.lang) for r in kept.collect()), key=str) == want
 
 
+def test_copies_of_repeated_rows_cost_one_set(spark, monkeypatch):
+    """m rows of one doc_id and text are one node, with one set, whatever their number."""
+    sets = []
+    real = near_dup._sets
+    monkeypatch.setattr(near_dup, "_sets", lambda *a: sets.append(real(*a)) or sets[-1])
+    a = cases.prose(60, 150)
+    given = [(1, a, "en", "a", 1)] * 300 + [(2, edited(a, 1, 5), "en", "a", 1)] * 300 + [(2, cases.prose(61, 150), "en", "a", 1)]
+    got = near_dup.near_duplicates(cases.documents(spark, given)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1)] * 300 + [(2, 1)] * 300 + [(2, 2)]
+    assert [s.count() for s in sets] == [2]
+
+
+def test_one_doc_id_of_two_texts_is_not_mixed_up(spark):
+    a, b = cases.prose(62, 150), cases.prose(63, 150)
+    given = [(7, a, "en", "a", 1), (7, b, "en", "a", 1), (8, edited(a, 1, 1), "en", "a", 1), (9, edited(b, 1, 2), "en", "a", 1), (2**53 + 1, edited(b, 1, 3), "en", "a", 1)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(cases.documents(spark, given)).collect())
+    assert [(i, c) for i, _, c in got] == [(7, 7), (7, 7), (8, 7), (9, 7), (2**53 + 1, 7)]
+    assert {n for i, n, _ in got if i == 7} == {len(shingles(a, 5)), len(shingles(b, 5))}
+
+
+def test_a_text_of_megabytes(spark):
+    a = " ".join(cases.prose(s, 3000) for s in range(100, 220))
+    got = near_dup.near_duplicates(cases.documents(spark, [(1, a, "en", "a", 1), (2, a + " end", "en", "a", 1), (3, "y" * (9 << 20), "en", "a", 1)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     items = rng.integers(0, 2**63, 900, dtype=np.uint64)
