@@ -1,15 +1,20 @@
 """Byte-level BPE: a priority queue of merge ranks over a doubly linked list of symbols; decoding joins vocabulary strings.
 
 The vocabulary file is a parameter (a path that every executor can open, as an installed package has it); it is never
-copied or trained. Texts are encoded where they lie: no shuffle, and a task holds one Arrow batch and a bounded memo of words."""
+copied or trained. Texts are encoded where they lie: no shuffle, and a task holds one Arrow batch and a bounded memo of words.
+A long text is split piece by piece from segments of about SEGMENT characters, and a long word is merged in flat arrays.
+
+Letters and digits are those of Unicode 16.0, which the published tokenizers library has built in, whatever the tables of the
+expression module: those of the interpreter's unicodedata (15.1) and the ones that 16.0 added."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import unicodedata
+from array import array
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +23,48 @@ from pyspark.sql import functions as F
 from clausewright.llm.common import read
 
 #: The published split of byte-level vocabularies of this kind.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{LN}]+|\s+(?!\S)|\s+"
+#: Characters of a long text that are split at a time.
+SEGMENT = 1 << 20
+
+# Letters and digits that Unicode 16.0 added to 15.1, first and last of each range.
+LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+DIGITS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+
+
+def _frozen(kind: str, added: list[tuple[int, int]]) -> set[str]:
+    """The characters of a general category in Unicode 16.0."""
+    return {chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind} | {chr(c) for a, b in added for c in range(a, b + 1)}
+
+
+def _ranges(chars: set[str]) -> str:
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+class Splitter:
+    """Calls give a text's pieces. The module's own classes serve where they agree with Unicode 16.0 on all of a text's characters; for other texts the classes are spelt out, which is slower."""
+
+    def __init__(self):
+        letters, digits = _frozen("L", LETTERS_16), _frozen("N", DIGITS_16)
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        self.odd = frozenset(letters ^ set(regex.findall(r"\p{L}", every)) | digits ^ set(regex.findall(r"\p{N}", every)))
+        made = lambda l, n: regex.compile(PATTERN.replace("{L}", f"[{l}]").replace("{N}", f"[{n}]").replace("{LN}", l + n)).findall
+        self.usual, self.spelt = made(r"\p{L}", r"\p{N}"), made(_ranges(letters), _ranges(digits))
+
+    def __call__(self, text: str) -> list[str]:
+        return self.usual(text) if self.odd.isdisjoint(text) else self.spelt(text)
+
+
 #: Words that a worker remembers at most; beyond it the memo starts anew.
 MEMO = 300_000
 
@@ -48,65 +94,77 @@ class ByteBPE:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.find = regex.compile(PATTERN).findall
+        self.split = Splitter()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memo: dict[str, tuple[int, ...]] = {}
 
-    def word(self, piece: str) -> tuple[int, ...]:
-        """Ids of one piece: the lowest rank merges first, ties to the left; entries whose symbols have changed are skipped."""
-        ids = [self.byte_ids[b] for b in piece.encode("utf-8")]
-        n = len(ids)
-        merges = self.merges
-        queue = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+    def word(self, piece: str) -> array:
+        """Ids of one piece: the lowest rank merges first, ties to the left. A queue entry is rank and place in one number; one whose place has no pair of that rank any more is skipped."""
+        ids = array("i", map(self.byte_ids.__getitem__, piece.encode("utf-8")))
+        n, merges = len(ids), self.merges
+        queue = [m[0] << 40 | i for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
         if not queue:
-            return tuple(ids)
+            return ids
         heapify(queue)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
         while queue:
-            _, i, made, left, right = heappop(queue)
+            rank, i = divmod(heappop(queue), 1 << 40)
             j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            if j >= n or ids[i] < 0 or not (m := merges.get((ids[i], ids[j]))) or m[0] != rank:
                 continue
+            made = m[1]
             ids[i], ids[j] = made, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 if m := merges.get((made, ids[k])):
-                    heappush(queue, (m[0], i, m[1], made, ids[k]))
+                    heappush(queue, m[0] << 40 | i)
             h = before[i]
             if h >= 0 and (m := merges.get((ids[h], made))):
-                heappush(queue, (m[0], h, m[1], ids[h], made))
-        return tuple(x for x in ids if x >= 0)
+                heappush(queue, m[0] << 40 | h)
+        return array("i", (x for x in ids if x >= 0))
 
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        pieces = self.find(text)
+    def _plain(self, text: str, out: array) -> None:
         memo, word = self.memo, self.word
-        for p in {p for p in pieces if p not in memo}:
-            if len(memo) >= MEMO:
-                memo.clear()
-                return chain([word(q) for q in pieces])
-            got = word(p)
-            if len(p) <= 64:
-                memo[p] = got
-        get = memo.get
-        return (get(p) or word(p) for p in pieces)
-
-    def encode(self, text: str) -> list[int]:
+        if len(memo) > MEMO:
+            memo.clear()
+        for p in self.split(text):
+            got = memo.get(p)
+            if got is None:
+                got = word(p)
+                if len(p) <= 64 and len(memo) <= MEMO:
+                    memo[p] = got
+            out.extend(got)
+
+    def encode(self, text: str) -> array:
         """A special token's string is that token wherever it stands."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return list(chain.from_iterable(self._plain(text)))
-        ids: list[int] = []
-        for part in self.cut.split(text):
+        out = array("i")
+        parts = self.cut.split(text) if self.cut is not None and any(s in text for s in self.special) else [text]
+        for part in parts:
             if part in self.special:
-                ids.append(self.special[part])
-            elif part:
-                ids.extend(chain.from_iterable(self._plain(part)))
-        return ids
+                out.append(self.special[part])
+            else:
+                for segment in segments(part):
+                    self._plain(segment, out)
+        return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+_EDGE = regex.compile(r"(?<=[!-~])(?= )")
+
+
+def segments(text: str) -> Iterator[str]:
+    """The text cut before spaces that follow a visible ASCII character, where no piece goes across."""
+    at = 0
+    while len(text) - at > SEGMENT and (m := _EDGE.search(text, at + SEGMENT)):
+        yield text[at : m.start()]
+        at = m.start()
+    if at < len(text):
+        yield text[at:] if at else text
+
+
 _loaded: dict[str, ByteBPE] = {}
 
 
@@ -135,7 +193,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", with_ids: b
                 for t in texts:
                     ids = bpe.encode(t or "")
                     decoded = bpe.decode(ids)
-                    out.append((len(ids), digest(",".join(map(str, ids)).encode()), digest(decoded.encode()), ids if with_ids else None, decoded if with_ids else None))
+                    out.append((len(ids), digest(",".join(map(str, ids)).encode()), digest(decoded.encode()), ids.tolist() if with_ids else None, decoded if with_ids else None))
                 cols = list(zip(*out))
                 arrays = [doc_id, pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
                 if with_ids:
@@ -163,5 +221,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document left, as token ids with the digests of ids and decoded text."""
+    """Every document left, as doc_id, n_tokens, ids and the digests of ids and decoded text; the last stage gives tokens in place of texts, so text, lang, source and n_chars end here."""
     return encode_documents(docs, default_path(), with_ids=True).drop("decoded")

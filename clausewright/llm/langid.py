@@ -4,29 +4,32 @@ Each language is a tree of byte contexts of 0 to ORDER bytes with symbol counts;
 context known, or its escape and the next shorter one's, down to 8 bits (escape method C, no exclusions). The statistics are
 frozen after training, so every code length is worked out once, for all languages at a time; scoring looks up each position's
 bytes and adds. Training takes about SAMPLE_BYTES of text a language, a documented bound on a classifier's training rows; all of
-each text is scored."""
+each text is scored. A model is at most MODEL_ROWS counts: beyond, the rarest contexts go first."""
 
 from __future__ import annotations
 
-import re
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import read
+from clausewright.llm.common import read, staged
 
 #: Longest context, in bytes; at most 3, as four bytes are one number.
 ORDER = 3
 #: Bytes of training text a language, on average; whole documents are drawn by a hash of their ids.
 SAMPLE_BYTES = 4_000_000
+#: Counts of a model that is sent to the workers, of all languages together; about 400 MB of tables.
+MODEL_ROWS = 12_000_000
 #: A language's share of this many bins, drawn by hash.
 BINS = 1_000_000
+#: Languages whose sizes are broadcast; more are joined by a shuffle.
+LANGS = 100_000
 #: Groups of a language's training text that are counted apart and then added up.
 PARTS = 16
 
-_LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"\n" * ORDER
 
 
@@ -179,7 +182,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of least bits and its posterior under equal priors; `und` and 0 without a letter or without languages."""
-        known = [i for i, t in enumerate(texts) if self.langs and t and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if self.langs and t and any(map(str.isalpha, t))]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if known:
             bits = self.lengths([texts[i] for i in known])
@@ -195,28 +198,44 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
-    """lang, order, gram, n from labelled rows doc_id, text, lang. Each language has its own share of rows, drawn by a hash of doc_id, so that it has about sample_bytes; what reaches the driver is bounded by that, whatever the table's size."""
+    """lang, order, gram, n from labelled rows doc_id, text, lang. Each language has its own share of rows, drawn by a hash of doc_id and text, so that it has about sample_bytes; what reaches the driver is at most MODEL_ROWS counts, whatever the table's size and the number of languages.
+
+    Counts below the least number that leaves no more are dropped. A context occurs at least as often as any that it ends, so what stays is a tree as before."""
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    keep = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(BINS)) < F.ceil(F.lit(float(sample_bytes) * BINS) / F.greatest(F.col("bytes"), F.lit(1)))
-    # A row of two numbers for each language, far less than the model that is broadcast anyway; a shuffled join would send every text to its language's task before the draw.
-    drawn = usable.join(F.broadcast(sizes), "lang").where(keep).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
+    keep = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(BINS)) < F.ceil(F.lit(float(sample_bytes) * BINS) / F.greatest(F.col("bytes"), F.lit(1)))
+    # Two values a language; a shuffled join, for too many of them, would send every text to its language's task before the draw.
+    sizes = staged(sizes, "sizes")
+    few = sizes.count() <= LANGS
+    drawn = usable.join(F.broadcast(sizes) if few else sizes, "lang").where(keep).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)).alias("part"))
     counted = drawn.groupBy("lang", "part").applyInPandas(
         lambda pdf: count_grams(pdf["text"].tolist()).assign(lang=pdf["lang"].iloc[0])[["lang", "order", "gram", "n"]],
         "lang string, order int, gram long, n long",
     )
-    return counted.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).toPandas()
+    sums = staged(counted.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")), "grams")
+    least, rows = 1, sums.count()
+    while rows > MODEL_ROWS:
+        least *= 2
+        rows = sums.where(F.col("n") >= least).count()
+    return sums.where(F.col("n") >= least).toPandas()
+
+
+#: The model that a worker process has at hand.
+_built: dict[str, Model] = {}
 
 
 def identify(docs: DataFrame, counts: pd.DataFrame) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs (doc_id, text). Null texts and texts without a letter are `und`; ties go to the smaller name; null and repeated doc_ids stay."""
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    sent, key = docs.sparkSession.sparkContext.broadcast(counts), uuid.uuid4().hex
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        model = Model(sent.value)
+        if key not in _built:
+            _built.clear()
+            _built[key] = Model(sent.value)
+        model = _built[key]
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)

@@ -1,7 +1,9 @@
-"""Licence texts and one-line notices to look documents up in."""
+"""Licence texts and one-line notices to look documents up in. Short texts stand here, long ones as published in licence_files."""
 
 from __future__ import annotations
 
+from importlib import resources
+
 # The published texts of short licences, without their copyright lines.
 _BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 
@@ -31,20 +33,60 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.
 """
 
-#: licence, text: a document that is one of these, but for case, punctuation, copyright lines and spelling, has that licence.
-TEXTS: list[tuple[str, str]] = [
-    ("MIT", _MIT_BODY),
-    ("MIT", "MIT License\n\n" + _MIT_BODY),
-    ("MIT", "The MIT License (MIT)\n\n" + _MIT_BODY),
-    ("ISC", _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_TAIL),
-    ("ISC", "ISC License\n\n" + _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_TAIL),
-    ("0BSD", _ISC_GRANT + ".\n" + _ISC_TAIL),
-    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
-    ("BSD-3-Clause", _BSD_HEAD + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n" + _BSD_TAIL),
-    ("Zlib", _ZLIB),
-    ("Zlib", "zlib License\n\n" + _ZLIB),
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>
+"""
+_BSD_NAMES = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_ISC = _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_TAIL
+
+# Files of licence_files and the licences that they are.
+_FILES = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only",
+    "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+#: Where texts that go on with advice on how to apply them end.
+_END = "END OF TERMS AND CONDITIONS"
+
+# Licence, its text, titles that may stand above it.
+_SHORT: list[tuple[str, str, tuple[str, ...]]] = [
+    ("MIT", _MIT_BODY, ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT")),
+    ("ISC", _ISC, ("ISC License", "The ISC License", "ISC License (ISC)", "ISC")),
+    ("ISC", _ISC.replace("and/or distribute", "and distribute"), ("ISC License", "The ISC License")),
+    ("0BSD", _ISC_GRANT + ".\n" + _ISC_TAIL, ("Zero-Clause BSD", "BSD Zero Clause License", "BSD-0-Clause", "0BSD")),
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL, ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD-2-Clause", 'BSD 2-Clause "Simplified" License')),
+    ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL, ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD-3-Clause", "New BSD License", 'BSD 3-Clause "New" or "Revised" License')),
+    ("Zlib", _ZLIB, ("zlib License", "The zlib License", "zlib/libpng License")),
+    ("Unlicense", _UNLICENSE, ("The Unlicense", "Unlicense")),
 ]
 
+
+def _variants() -> list[tuple[str, str]]:
+    out = []
+    for name, text, titles in _SHORT:
+        bullets = text.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ")
+        for body in dict.fromkeys((text, bullets)):
+            out += [(name, body), *[(name, f"{t}\n\n{body}") for t in titles]]
+    folder = resources.files("clausewright.llm") / "licence_files"
+    for file, name in _FILES.items():
+        text = (folder / f"{file}.txt").read_text(encoding="utf-8")
+        out.append((name, text))
+        if _END in text:
+            out += [(name, text[: text.index(_END)]), (name, text[: text.index(_END) + len(_END)])]
+    return out
+
+
+#: licence, text: a document that is one of these, but for case, punctuation, copyright lines and spelling, has that licence.
+TEXTS: list[tuple[str, str]] = _variants()
+
 #: licence, line: a line of a document that is one of these names its licence.
 NOTICES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -62,10 +104,10 @@ NOTICES: list[tuple[str, str]] = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
 
-# Spellings that count as equal, the second standing for both.
+# Words, or runs of words, that count as equal, the second standing for both.
 SPELLINGS: list[tuple[str, str]] = [
-    ("licence", "license"), ("sub-license", "sublicense"), ("acknowledgement", "acknowledgment"), ("authorise", "authorize"),
-    ("authorisation", "authorization"), ("organisation", "organization"), ("favour", "favor"), ("honour", "honor"),
-    ("whilst", "while"), ("wilful", "willful"), ("non-commercial", "noncommercial"), ("per cent", "percent"),
-    ("programme", "program"), ("recognise", "recognize"), ("utilise", "utilize"), ("https:", "http:"), ("non-infringement", "noninfringement"),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"), ("sublicence", "sublicense"), ("sub licence", "sublicense"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"),
+    ("authorise", "authorize"), ("authorised", "authorized"), ("authorisation", "authorization"), ("organisation", "organization"), ("organisations", "organizations"), ("favour", "favor"), ("honour", "honor"),
+    ("whilst", "while"), ("wilful", "willful"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("programme", "program"), ("programmes", "programs"), ("recognise", "recognize"),
+    ("recognised", "recognized"), ("utilise", "utilize"), ("utilised", "utilized"), ("https", "http"), ("non infringement", "noninfringement"), ("initialise", "initialize"), ("copyright owner", "copyright holder"),
 ]

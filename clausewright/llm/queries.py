@@ -6,12 +6,12 @@ from clausewright.llm.ann import op1_ann
 from clausewright.llm.bpe import op7_bpe
 from clausewright.llm.langid import op9_langid
 from clausewright.llm.licence_texts import NOTICES, SPELLINGS, TEXTS
-from clausewright.llm.licences import COPYRIGHT, PUNCTUATION, op3_licences
+from clausewright.llm.licences import COPYRIGHT, PUNCTUATION, RIGHTS, op3_licences
 from clausewright.llm.lm import op2_lm_score
 from clausewright.llm.mixing import op6_mixing
 from clausewright.llm.near_dup import op4_near_dup
 from clausewright.llm.pii import op8_pii
-from clausewright.llm.quality_rules import MAX_REPEATED_PERCENT, MIN_WORDS, RULES, STOP_WORDS, op10_quality_rules
+from clausewright.llm.quality_rules import BULLET, ELLIPSIS, LETTER, MAX_REPEATED_PERCENT, MIN_WORDS, OTHER_SCRIPT, RULES, STOP_WORDS, UPPER, op10_quality_rules
 from clausewright.llm.site_quality import op5_site_quality
 
 QUERIES = {
@@ -28,7 +28,7 @@ QUERIES = {
 }
 
 _STOPS = ", ".join(f"'{x}'" for w in dict.fromkeys(STOP_WORDS) for x in dict.fromkeys((w, w.capitalize())))
-_VERDICT = " AND ".join([f"{m} >= {a}" for m, a, _ in RULES if a is not None] + [f"{m} <= {b}" for m, _, b in RULES if b is not None])
+_VERDICT = " AND ".join([f"coalesce({m} >= {a}, true)" for m, a, _ in RULES if a is not None] + [f"coalesce({m} <= {b}, true)" for m, _, b in RULES if b is not None])
 
 
 
@@ -37,16 +37,21 @@ def _literal(text: str) -> str:
 
 
 def _licence_sql() -> str:
-    spelled = "t"
-    for a, b in SPELLINGS:
-        spelled = f"replace({spelled}, '{a}', '{b}')"
+
+    def spelt(t: str) -> str:
+        t = f"' ' || replace(replace({t}, ' ', '  '), chr(10), ' ' || chr(10) || ' ') || ' '"
+        for a, b in SPELLINGS:
+            t = f"replace({t}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+        return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
+
     rows = lambda known: ", ".join(f"({_literal(k)}, {_literal(t)})" for k, t in known)
+    line = lambda pattern: pattern.replace("(?md)", "(?m)")
     return rf"""
 WITH src AS (SELECT 'd' AS kind, doc_id, CAST(NULL AS VARCHAR) AS license, coalesce(text, '') AS text FROM documents
   UNION ALL SELECT 'k', NULL, l, t FROM (VALUES {rows(TEXTS)}) AS k(l, t) UNION ALL SELECT 'n', NULL, l, t FROM (VALUES {rows(NOTICES)}) AS n(l, t)),
-cut AS (SELECT kind, doc_id, license, regexp_replace(lower(text), '{COPYRIGHT.replace("(?md)", "(?m)")}', '', 'g') AS t FROM src),
-lines AS (SELECT kind, doc_id, license, list_filter(list_transform(string_split(regexp_replace({spelled}, '{PUNCTUATION}', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM cut),
-whole AS (SELECT kind, doc_id, license, lines, sha256(array_to_string(lines, ' ')) AS digest FROM lines),
+cut AS (SELECT kind, doc_id, license, regexp_replace(regexp_replace(regexp_replace(lower(text), '{line(COPYRIGHT)}', '', 'g'), '{line(RIGHTS)}', '', 'g'), '{PUNCTUATION}', ' ', 'g') AS t FROM src),
+lines AS (SELECT kind, doc_id, license, list_filter(list_transform(string_split({spelt('t')}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM cut),
+whole AS (SELECT kind, doc_id, license, lines, sha256({spelt("array_to_string(lines, ' ')")}) AS digest FROM lines),
 known AS (SELECT digest, min(license) AS license FROM whole WHERE kind = 'k' GROUP BY digest),
 named AS (SELECT DISTINCT array_to_string(lines, ' ') AS line, license FROM whole WHERE kind = 'n'),
 hits AS (SELECT u.doc_id, string_agg(DISTINCT n.license, ',' ORDER BY n.license) AS notices FROM (SELECT doc_id, unnest(lines) AS line FROM whole WHERE kind = 'd') u JOIN named n ON n.line = u.line GROUP BY u.doc_id)
@@ -67,12 +72,18 @@ m AS (SELECT w.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(
              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
              CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-             len(list_distinct(list_filter(w, lambda x: list_contains([{_STOPS}], x)))) AS stop_words
+             len(list_filter(w, lambda x: list_contains([{_STOPS}], x))) AS stops, len(list_filter(w, lambda x: regexp_matches(x, '{LETTER}'))) AS alpha_words,
+             length(t) - length(regexp_replace(t, '{LETTER}', '', 'g')) AS letters, length(t) - length(regexp_replace(t, '{UPPER}', '', 'g')) AS uppers, length(t) - length(regexp_replace(t, '{OTHER_SCRIPT}', '', 'g')) AS others,
+             len(list_filter(lines, lambda x: regexp_matches(x, '{BULLET}'))) AS bullets, len(list_filter(lines, lambda x: regexp_matches(x, '{ELLIPSIS}'))) AS ellipses
       FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed,
              CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars,
              CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols_per_word,
-             CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share FROM m)
+             CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share,
+             CASE WHEN 2 * others > letters THEN NULL WHEN n_words > 0 THEN stops / n_words ELSE 0 END AS stop_share,
+             CASE WHEN n_words > 0 THEN alpha_words / n_words ELSE 0 END AS alpha_word_share, CASE WHEN word_chars > 0 THEN letters / word_chars ELSE 0 END AS letter_share,
+             CASE WHEN letters > 0 THEN uppers / letters ELSE 0 END AS upper_share, CASE WHEN n_lines > 0 THEN bullets / n_lines ELSE 0 END AS bullet_line_share,
+             CASE WHEN n_lines > 0 THEN ellipses / n_lines ELSE 0 END AS ellipsis_line_share FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_VERDICT} AS kept FROM v
 """,
 }

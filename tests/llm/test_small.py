@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clausewright.llm import ann, bpe, langid, licences, mixing, pii, quality_rules, site_quality
+from clausewright.llm.common import row_key
 from tests.llm import cases
 
 # ---- 10
@@ -28,13 +29,34 @@ def plain_quality(text):
 
 
 def test_quality_measures(spark):
-    given = cases.rows() + [(500, "a b c a b c d a b c\nx\nx\n\n", "en", "a", 1), (501, "# a b# || <x>", "en", "a", 1), (502, "one two three " * 40, "en", "a", 1)]
+    given = cases.rows() + [(500, "a b c a b c d a b c\nx\nx\n\n", "en", "a", 1), (501, "# a b# || <x>", "en", "a", 1), (502, "one two three " * 40, "en", "a", 1), (503, "- a B...\n * c\nДа нет", "ru", "a", 1)]
     got = quality_rules.measures(cases.documents(spark, given), keep=("doc_id", "text")).collect()
     assert len(got) == len(given)
     for r in got:
         n, chars, symbols, dups, repeated = plain_quality(r.text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (n, chars, symbols, dups)
         assert repeated is None or r.n_repeat_words == repeated
+        w = cases.WORDS.findall(r.text or "")
+        letters = sum(c.isalpha() for c in r.text or "")
+        assert r.stop_share == (None if 2 * sum(c.isalpha() and ord(c) >= 0x250 for c in r.text or "") > letters else plain_share(w, lambda x: x in STOPS))
+        assert math.isclose(r.alpha_word_share, plain_share(w, lambda x: any(map(str.isalpha, x)))) and math.isclose(r.upper_share, sum(c.isupper() for c in r.text or "") / max(1, letters))
+        lines = [x for x in (r.text or "").split("\n") if cases.WORDS.search(x)]
+        assert math.isclose(r.bullet_line_share, plain_share(lines, lambda x: x.lstrip()[0] in "-*•")) and math.isclose(r.ellipsis_line_share, plain_share(lines, lambda x: x.rstrip().endswith("...")))
+
+
+STOPS = {x for w in quality_rules.STOP_WORDS for x in (w, w.capitalize())}
+
+
+def plain_share(x, test):
+    return sum(map(test, x)) / len(x) if x else 0.0
+
+
+def test_quality_rules_by_script_and_language(spark):
+    mixed = "Это предложение написано по-русски и повторяется с номером"
+    given = [(1, "\n".join(f"{mixed} {chr(0x410 + i)}{chr(0x430 + j)}" for i in range(10) for j in (1, 2)), "ru", "a", 1), (2, cases.prose(5, 100), "en", "a", 1), (3, cases.prose(5, 100).upper(), "en", "a", 1)]
+    given += [(4, "\n".join("- " + x for x in cases.prose(6, 100).split()), "en", "a", 1), (5, "\n".join(x + "..." for x in cases.prose(7, 100).split()), "en", "a", 1), (6, " ".join(f"qa{i}x" for i in range(90)), "en", "a", 1)]
+    m = quality_rules.measures(cases.documents(spark, given)).withColumn("ok", quality_rules.verdict())
+    assert {r.doc_id: r.ok for r in m.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False}
 
 
 def test_quality_stage_keeps_columns_and_clean_rows(spark, tmp_path):
@@ -186,11 +208,30 @@ def test_bpe_equals_the_library(spark, tmp_path):
     assert bpe.encode_documents(cases.documents(spark, []), bpe.default_path()).count() == 0
 
 
+def test_bpe_splits_every_character_as_the_library_does():
+    split = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer.pre_tokenize_str
+    n = bpe.Splitter()
+    shape = lambda f, c: [len(f(x + c)) for x in ("!", "a", "1")]
+    odd = [hex(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and shape(n, chr(c)) != shape(split, chr(c))]
+    assert not odd
+    assert all(n.usual(t) == n.spelt(t) for t in (cases.prose(1), "it's 12.5%\t\n  x  é日本"))
+
+
+def test_bpe_of_long_texts_and_words(monkeypatch):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    b = bpe.tokenizer(bpe.default_path())
+    text = "  ".join(cases.prose(s, 200) + "  \n\n é's" for s in range(20)) + "\U00019188軾"
+    monkeypatch.setattr(bpe, "SEGMENT", 700)
+    assert len(list(bpe.segments(text))) > 10 and "".join(bpe.segments(text)) == text
+    for x in (text, "ab" * 60_000, "日本" * 20_000, ""):
+        assert b.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids and b.decode(b.encode(x)) == x
+
+
 def test_bpe_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 3)
     b = bpe.ByteBPE(bpe.default_path())
     text = cases.prose(2)
-    assert b.decode(b.encode(text)) == text and len(b.memo) <= 3
+    assert b.decode(b.encode(text)) == text and len(b.memo) <= 4
 
 
 # ---- 8
@@ -258,7 +299,7 @@ def test_langid(spark, tmp_path):
     r = random.Random(2)
     parts = {"de": ["sch", "ein", "keit", "ung", "ü"], "en": ["th", "ing", "ed", "er", "ou"], "fr": ["eau", "ment", "é", "tion", "que"]}
     text = lambda x: " ".join("".join(r.choice(parts[x]) for _ in range(3)) for _ in range(40))
-    given = [(i, text(x), x, "a", 1) for i, x in enumerate(list(parts) * 60)] + [(900, None, "en", "a", 1), (901, "123 ...", "en", "a", 1), (902, "", None, "a", 1), (None, text("de"), None, "a", 1)]
+    given = [(i, text(x), x, "a", 1) for i, x in enumerate(list(parts) * 60)] + [(900, None, "en", "a", 1), (901, "123 ... ² ½ Ⅷ", "en", "a", 1), (902, "", None, "a", 1), (None, text("de"), None, "a", 1)]
     got = langid.op9_langid(spark, cases.folder(spark, tmp_path, given)).collect()
     lang = {d[0]: d[2] for d in given}
     held = [x for x in got if x.held_out]
@@ -270,6 +311,15 @@ def test_langid(spark, tmp_path):
     assert [(x.lang_pred, x.score) for x in nothing] == [("und", 0.0)]
 
 
+def test_langid_model_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_ROWS", 500)
+    monkeypatch.setattr(langid, "LANGS", 1)
+    rows = [(None, cases.prose(i, 200), "xy"[i % 2], "a", 1) for i in range(10)]
+    counts = langid.train(cases.documents(spark, rows).select("doc_id", "text", "lang"))
+    assert 0 < len(counts) <= 500 and set(counts["lang"]) == {"x", "y"}
+    langid.Model(counts).predict(["hello"])
+
+
 def test_langid_code_lengths():
     import pandas as pd
 
@@ -308,18 +358,97 @@ def test_langid_code_lengths():
 
 
 def test_licences(spark):
-    mit = dict(licences.TEXTS)["MIT"]
+    import textwrap
+
+    texts = dict(licences.TEXTS)
+    mit = texts["MIT"]
     given = cases.rows() + [(800, "Copyright (c) 2020 Some One\n\n" + mit.upper().replace(",", " ;"), "en", "a", 1), (801, "words\nReleased under the MIT Licence!\nLICENSED UNDER CC BY-NC 4.0", "en", "a", 1), (802, mit + " more", "en", "a", 1)]
     got = {r.doc_id: r for r in licences.scan(cases.documents(spark, given)).collect()}
     assert got[800].license == "MIT" and got[802].license is None
     assert got[801].license is None and got[801].notices == ["CC-BY-NC-4.0", "MIT"]
     assert got[5].digest == hashlib.sha256(b"").hexdigest() and got[5].notices == []
     assert licences.scan(cases.documents(spark, given)).count() == len(given) and licences.scan(cases.documents(spark, [])).count() == 0
+    # Planted: every known text, wrapped anew at several widths, with notices, other spellings and layouts.
+    wrap = lambda t, n: "\n".join(textwrap.fill(x, n) for x in t.split("\n"))
+    planted = [(name, how(t)) for name, t in licences.TEXTS for how in (lambda t: wrap(t, 80), lambda t: "Copyright 2001-2020 A. Person <a@b.c>\n  Copyright © The Others\nAll rights reserved.\n\n" + re.sub(r"\blicense\b", "licence", wrap(t, 80)), lambda t: "\t" + t.replace("\n", "\r\n  ").replace('"', "\u201c"))]
+    rows = [(i, t, "en", "a", 1) for i, (_, t) in enumerate(planted)]
+    found = {r.doc_id: r.license for r in licences.scan(cases.documents(spark, rows)).collect()}
+    assert [found[i] for i in range(len(planted))] == [name for name, _ in planted]
+    assert len({name for name, _ in planted}) == 20
+
+
+def test_licence_lines(spark):
+    lines = ["Copyright (c) 2020 A", "copyright 1999-2001 B", "Copyright © C", "(c) 2011 D", "© E", "Copyright by F", "Copyright [yyyy] [name of copyright owner]", "# Copyright <YEAR> <OWNER>", "All rights reserved.", "* ALL RIGHTS RESERVED"]
+    stay = ["copyright notice and this permission notice appear in all copies.", "copyright holder or contributors be liable", "(c) You must retain, in the Source form", "Not all rights reserved by law", "programmer"]
+    got = spark.createDataFrame([("\n".join(lines + stay),)], "t string").select(licences.canonical_lines(F.col("t")).alias("l")).first().l
+    assert len(got) == len(stay) and got[0].startswith("copyright notice") and got[-1] == "programmer"
 
 
 # ---- 5
 
 
+def plain_site_quality(rows, labels, features):
+    """The same by loops. rows: doc_id, host, path, half; features: doc_id -> measures."""
+    given: dict = {}
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            given.setdefault(i, []).append(q)
+    y = {i: sum(v) / len(v) for i, v in given.items()}
+    own = [r for r in rows if r[0] in y]
+
+    def counts(key):
+        out: dict = {}
+        for r in own:
+            k = key(r)
+            g, n = out.get(k, (0.0, 0))
+            out[k] = (g + y[r[0]], n + 1)
+        return out
+
+    def weight(groups, parent):
+        if not groups:
+            return site_quality.WEIGHT[0]
+        extra = sum(n * (g / n - parent(k)) ** 2 - parent(k) * (1 - parent(k)) for k, (g, n) in groups.items())
+        scale, n_all = sum(n * parent(k) * (1 - parent(k)) for k, (_, n) in groups.items()), sum(n for _, n in groups.values())
+        between = max(0.0, extra) / n_all
+        return min(max(scale / n_all / between - 1 if between > 0 else site_quality.WEIGHT[1], site_quality.WEIGHT[0]), site_quality.WEIGHT[1])
+
+    good, n = sum(y[r[0]] for r in own), len(own)
+    rate = (good + 1) / (n + 2)
+    hosts, paths = counts(lambda r: r[1]), counts(lambda r: (r[1], r[2]))
+    k_host = weight(hosts, lambda k: rate)
+    at_host = {k: (g + k_host * rate) / (m + k_host) for k, (g, m) in hosts.items()}
+    k_path = weight(paths, lambda k: at_host[k[0]])
+    fits = {h: site_quality.fit(np.array([features[r[0]] for r in own if r[3] == 1 - h]).reshape(-1, len(site_quality.FEATURES)), np.array([float(y[r[0]] >= 0.5) for r in own if r[3] == 1 - h])) for h in (0, 1)}
+    out = []
+    for i, host, path, half in rows:
+        g, m = (y[i], 1) if i in y else (0.0, 0)
+        all_ = (good - g + 1) / (n - m + 2)
+        a, b = hosts.get(host, (0.0, 0)), paths.get((host, path), (0.0, 0))
+        h = (a[0] - g + k_host * all_) / (a[1] - m + k_host)
+        p = (b[0] - g + k_path * h) / (b[1] - m + k_path)
+        weights, bias = fits[half]
+        evidence = float(np.dot(weights, features[i]) + bias)
+        logit = lambda x: math.log(x / (1 - x))
+        out.append((evidence, h, p, 1 / (1 + math.exp(-(evidence + logit(p) - logit(all_))))))
+    return out
+
+
+def test_site_quality_equals_plain_version(spark):
+    good, bad = (lambda s: cases.prose(s, 60 + s % 50)), (lambda s: " ".join(w + "$" * (s % 3) for w in cases.prose(s, 90).upper().split()))
+    r = random.Random(4)
+    rows = [(i, good(i) if r.random() < (0.8, 0.3, 0.5)[i % 3] else bad(i), ("en", None, "fr")[i % 7 % 3], (None, "a", "b")[i % 3], 1) for i in range(90)]
+    labels = [(i, int(r.random() < 0.7 if "$" not in rows[i][1] else 0.2), 0) for i in range(70)] + [(3, 1, 0), (None, 1, 0), (7, None, 0)]
+    docs = spark.createDataFrame(rows, cases.DOCS)
+    got = {x.doc_id: x for x in site_quality.site_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    m = quality_rules.measures(docs, keep=("doc_id",)).collect()
+    features = {x.doc_id: [math.log1p(x[c]) if c == "n_words" else float(x[c] or 0) for c in site_quality.FEATURES] for x in m}
+    halves = {x.doc_id: x.h for x in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("h")).collect()}
+    want = plain_site_quality([(d[0], d[3], d[2], halves[d[0]]) for d in rows], labels, features)
+    for d, w in zip(rows, want):
+        x = got[d[0]]
+        assert np.allclose((x.evidence, x.host_rate, x.path_rate, x.quality), w, rtol=1e-6, atol=1e-9) and x.kept == (w[3] >= 0.5)
+
+
 def test_site_quality(spark, tmp_path):
     good, bad = (lambda s: cases.prose(s, 90)), (lambda s: " ".join(w + "$$$" for w in cases.prose(s, 90).split()))
     given = [(i, good(i) if i % 4 else bad(i), "en", f"s{i % 3}", 1) for i in range(160)] + [(900, None, None, None, None), (901, good(3), "fr", "new", 1), (None, good(4), "en", "s1", 1)]
@@ -333,11 +462,23 @@ def test_site_quality(spark, tmp_path):
     assert len(none) == 4 and all(r.host_rate == 0.5 for r in none)
 
 
+def test_a_label_is_not_in_its_own_verdict(spark):
+    """Turning one document's label round leaves that document's rates and evidence as they were."""
+    rows = [(i, cases.prose(i, 60), "en", f"s{i % 2}", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, cases.DOCS)
+    of = lambda flip: next(x for x in site_quality.site_quality(docs, spark.createDataFrame([(i, (i % 3 > 0) ^ (i == flip), 0) for i in range(30)], "doc_id long, quality boolean, toxic int").selectExpr("doc_id", "int(quality) as quality", "toxic")).collect() if x.doc_id == 4)
+    a, b = of(None), of(4)
+    assert a.evidence == b.evidence and abs(a.host_rate - b.host_rate) < 0.05
+
+
 def test_sites_shrink_towards_parents(spark):
     rows = [("big", "p", 1.0)] * 90 + [("big", "p", 0.0)] * 10 + [("small", "p", 0.0)] + [("mid", "p", 1.0)] * 20 + [("mid", "q", 0.0)] * 20
-    hosts, paths, overall = site_quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, good double"))
-    h = {r.host: r.host_rate for r in hosts.collect()}
-    assert 0.0 < h["small"] < overall and abs(h["big"] - 0.9) < abs(h["small"] - 0.0)
+    hosts, paths, good, n, k_host, k_path = site_quality.site_counts(spark.createDataFrame(rows, "host string, path string, good double"))
+    h = {r.host: (r.host_good, r.host_n) for r in hosts.collect()}
+    assert h == {"big": (90.0, 100), "small": (0.0, 1), "mid": (20.0, 40)} and (good, n) == (110.0, 141.0) and paths.count() == 4
+    shrunk = lambda g, m: (g + k_host * good / n) / (m + k_host)
+    assert 0.0 < shrunk(*h["small"]) < good / n and abs(shrunk(*h["big"]) - 0.9) < abs(shrunk(*h["small"]) - 0.0)
+    assert all(site_quality.WEIGHT[0] <= k <= site_quality.WEIGHT[1] for k in (k_host, k_path))
 
 
 # ---- 1
@@ -410,9 +551,12 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
 
     def good(text):
         n, chars, symbols, dups, repeated = plain_quality(text)
-        lines = sum(bool(cases.WORDS.search(x)) for x in (text or "").split("\n"))
-        stops = {x for w in quality_rules.STOP_WORDS for x in (w, w.capitalize())}
-        return n >= 50 and 100 * repeated <= 50 * n and 2 <= chars / n <= 14 and symbols / n <= 0.25 and dups / lines <= 0.5 and len(stops & set(cases.WORDS.findall(text))) >= 2
+        w, t = cases.WORDS.findall(text or ""), text or ""
+        lines, letters = sum(bool(cases.WORDS.search(x)) for x in t.split("\n")), sum(c.isalpha() for c in t)
+        if n < 50 or 100 * repeated > 50 * n:
+            return False
+        shares = plain_share(w, lambda x: x in STOPS) >= 0.05 and plain_share(w, lambda x: any(map(str.isalpha, x))) >= 0.8 and letters / chars >= 0.7 and sum(c.isupper() for c in t) <= 0.4 * letters
+        return shares and 2 <= chars / n <= 14 and symbols / n <= 0.25 and dups / lines <= 0.5
 
     rows = [d for d in given if good(d[1])]
     assert 0 < len(rows) < len(given)
@@ -426,8 +570,10 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
         return text
 
     texts = {d[0]: clean(d[1]) for d in rows}
-    sizes = spark.createDataFrame([(d[0], d[3], len(cases.WORDS.findall(texts[d[0]]))) for d in rows], "doc_id long, source string, size long")
-    copies = {x.doc_id: x.copies for x in mixing.mix(sizes).collect()}
+    cleaned = spark.createDataFrame([(d[0], texts[d[0]], d[2], d[3], d[4] if texts[d[0]] == d[1] else len(texts[d[0]])) for d in rows], cases.DOCS)
+    sizes = cleaned.select("doc_id", row_key(cleaned).alias("k"), F.lit(1).alias("i"), "source", mixing.n_words(F.col("text")).alias("size"))
+    drawn = mixing.mix(sizes, ("k", "i")).select("k", "copies")
+    copies = {x.doc_id: x.copies for x in sizes.join(drawn, "k").collect()}
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []
     for i, text in texts.items():
