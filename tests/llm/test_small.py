@@ -570,7 +570,7 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
         return text
 
     texts = {d[0]: clean(d[1]) for d in rows}
-    cleaned = spark.createDataFrame([(d[0], texts[d[0]], d[2], d[3], d[4] if texts[d[0]] == d[1] else len(texts[d[0]])) for d in rows], cases.DOCS)
+    cleaned = cases.documents(spark, [(d[0], texts[d[0]], d[2], d[3], d[4] if texts[d[0]] == d[1] else len(texts[d[0]])) for d in rows])
     sizes = cleaned.select("doc_id", row_key(cleaned).alias("k"), F.lit(1).alias("i"), "source", mixing.n_words(F.col("text")).alias("size"))
     drawn = mixing.mix(sizes, ("k", "i")).select("k", "copies")
     copies = {x.doc_id: x.copies for x in sizes.join(drawn, "k").collect()}
