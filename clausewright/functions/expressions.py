@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,23 @@ def numeric(c: Column, kind: T.DataType) -> Column:
     return c.try_cast("double")
 
 
+def digest(c: Column, kind: T.DataType) -> Column:
+    """A value to count or compare in its stead: strings and binaries as 128 bits, so that whole texts aren't shuffled; two texts of 10^12 are taken for one with a chance of 10^-15."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b")))
+    return c
+
+
+def pattern_error(pattern: str) -> str | None:
+    """What the engine's own compiler of expressions, which isn't Python's, says against a pattern; None if it takes it."""
+    spark = SparkSession.active()
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException) as e:
+        return str(e).splitlines()[0]
+    return None
+
+
 def is_nested(kind: T.DataType) -> bool:
     return isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
 

@@ -22,19 +22,41 @@ COLUMN_FILES: dict[str, str] = {
     "payload": "src/week5/event_store.py",
     "nodes": "src/week4/cartographer.py",
     "edges": "src/week4/graph_builder.py",
+    "total_tokens": "src/week7/contracts/ai_extensions.py",
+    "run_type": "src/week7/contracts/ai_extensions.py",
+}
+# The pipeline that a file belongs to, and the one that a subscriber stands for, by a part of its id, the first that fits.
+FILE_PIPELINES: dict[str, str] = {
+    "src/week3/extractor.py": "week3-document-extraction-pipeline",
+    "src/week3/entity_linker.py": "week3-entity-linking-pipeline",
+    "src/week4/cartographer.py": "week4-lineage-generation",
+    "src/week4/graph_builder.py": "week4-lineage-generation",
+    "src/week5/event_store.py": "week5-event-ingestion-pipeline",
+    "src/week5/aggregate.py": "week5-aggregate-reconstruction",
+    "src/week2/courtroom.py": "week2-evaluation-pipeline",
+    "src/week2/scorer.py": "week2-evaluation-pipeline",
+}
+SUBSCRIBER_PIPELINES: dict[str, str] = {
+    "cartographer": "week4-lineage-generation",
+    "violation-attributor": "week7-violation-attributor",
+    "schema-contract": "week7-schema-contract",
+    "ai-contract": "week7-ai-contract-extension",
+    "courtroom": "week2-evaluation-pipeline",
 }
 PRIORITY = {"CRITICAL": "P1", "HIGH": "P2", "MEDIUM": "P3", "LOW": "P4"}
 #: Minutes until a violation goes to the next level: for CRITICAL and HIGH, and for the rest.
 ESCALATE = (30, 120)
-#: First step against each kind of violation.
-MITIGATION: dict[str, str] = {
-    "range": "Find records outside the range and make the producer keep to the scale.",
-    "required": "Find records without the field and make the producer always fill it.",
-    "unique": "Remove repeated values, at the source if they come from there.",
-    "type": "Make all values match the declared type.",
-    "format": "Make all values match the declared format.",
-    "default": "Look at the failing records and make the producer keep to the contract.",
+#: What to do about each kind of violation, and how, step by step.
+MITIGATION: dict[str, tuple[str, tuple[str, ...]]] = {
+    "range": ("Find records outside the range and make the producer keep to the scale.", ("Find out which producer moved the scale.", "Take its change back, or mend it.", "Validate again in ENFORCE mode.", "Merge once all passes.")),
+    "required": ("Find records without the field and make the producer always fill it.", ("List the nulls of the column.", "Follow them back to the stage that makes them.", "Make that stage fill the field.", "Validate again.")),
+    "unique": ("Remove repeated values, at the source if they come from there.", ("List the repeated values.", "See whether the producer or a later join repeats them.", "Remove them there.", "Validate again.")),
+    "type": ("Make all values match the declared type.", ("Look at the sample of failing records.", "Cast in the producer, before it writes.", "Validate again.")),
+    "format": ("Make all values match the declared format.", ("Look at the sample of failing records.", "Mend the producer's formatting.", "Validate again.")),
+    "default": ("Look at the failing records and make the producer keep to the contract.", ("Look at the sample of failing records.", "Follow them back to the stage that makes them.", "Mend it and validate again.")),
 }
+#: Days of history, commits, and the confidence where a commit's time can't be read, of the blame for a model check.
+AI_DAYS, AI_COMMITS, AI_UNREADABLE = 30, 2, 0.5
 HOPS, COMMITS_EACH, CHAIN = 3, 2, 5
 
 
@@ -62,16 +84,48 @@ def blame_confidence(days: Column, hops: Column) -> Column:
     return half_even(F.greatest(F.lit(0.05), F.least(F.lit(1.0), 1.0 - 0.1 * days - 0.2 * hops)), 2)
 
 
+def commit_time(stamp: Column) -> Column:
+    """The time of a commit, null if it can't be read."""
+    return F.coalesce(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss Z")), F.try_to_timestamp(stamp))
+
+
 def days_since(stamp: Column, now: Column) -> Column:
     """Whole days since a commit's time; 0 if the time can't be read."""
-    at = F.coalesce(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss Z")), F.try_to_timestamp(stamp))
-    return F.coalesce(F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400), F.lit(0))
+    return F.coalesce(F.floor((F.unix_timestamp(now) - F.unix_timestamp(commit_time(stamp))) / 86400), F.lit(0))
+
+
+def ai_blame(commits: DataFrame, now: Column | None = None) -> DataFrame:
+    """rank, file_path, commit_hash, author, commit_timestamp, commit_message, hops, confidence_score: of each file the AI_COMMITS newest commits of the last AI_DAYS days, for a failed model check. A commit whose time can't be read counts as recent, with a confidence of AI_UNREADABLE."""
+    now = F.current_timestamp() if now is None else now
+    at = commit_time(F.col("commit_timestamp"))
+    newest = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("commit_timestamp"), "commit_hash"))
+    recent = commits.where(at.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(at) <= AI_DAYS * 86400)).withColumn("rank", newest).where(F.col("rank") <= AI_COMMITS)
+    score = F.when(at.isNull(), F.lit(AI_UNREADABLE)).otherwise(blame_confidence(days_since(F.col("commit_timestamp"), now), F.lit(0)))
+    return recent.select("rank", "file_path", "commit_hash", F.col("author_email").alias("author"), "commit_timestamp", "commit_message", F.lit(0).alias("hops"), score.alias("confidence_score"))
 
 
-def upstream_files(column: str, nodes: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
-    """node_id, hops from the file that makes the column, or else the first node with the column's name in its id."""
+def _first_part(c: Column, parts: dict[str, str], otherwise: Column) -> Column:
+    out = otherwise
+    for part, value in reversed(parts.items()):
+        out = F.when(c.contains(part), value).otherwise(out)
+    return out
+
+
+def subscriber_pipeline(subscriber: Column, parts: dict[str, str] | None = None) -> Column:
+    """The pipeline that a subscriber stands for, its own id where none is known."""
+    return _first_part(subscriber, SUBSCRIBER_PIPELINES if parts is None else parts, subscriber)
+
+
+def file_pipeline(path: Column, files: dict[str, str] | None = None) -> Column:
+    """The pipeline that a file belongs to, or null."""
+    known = FILE_PIPELINES if files is None else files
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), path) if known else F.lit(None).cast("string")
+
+
+def upstream_files(column: str, nodes: DataFrame, edges: DataFrame, hops: int = HOPS, files: dict[str, str] | None = None) -> DataFrame:
+    """node_id, hops from the file that makes the column (by `files`, column -> file), or else the first node with the column's name in its id."""
     spark = nodes.sparkSession
-    known = COLUMN_FILES.get(column.split(".")[0].split("[")[0])
+    known = (COLUMN_FILES if files is None else files).get(column.split(".")[0].split("[")[0])
     if known:
         start = spark.createDataFrame([(f"file::{known}",)], "node_id string")
     else:
@@ -97,10 +151,20 @@ def blame_chain(upstream: DataFrame, commits: DataFrame, now: Column | None = No
     )
 
 
-def downstream_depth(subscriber: str, nodes: DataFrame) -> int:
-    """0 if a node has the last part of the subscriber's id in its own, else 1."""
+def _hits(subscriber: str, nodes: DataFrame) -> DataFrame:
+    """node_id of the nodes with the last part of the subscriber's id in their id or label."""
     token = subscriber.rsplit("-", 1)[-1].lower()
-    return 0 if nodes.where(F.lower("node_id").contains(token)).limit(1).count() else 1
+    found = F.lower("node_id").contains(token)
+    return nodes.where(found | F.coalesce(F.lower("label").contains(token), F.lit(False)) if "label" in nodes.columns else found).select("node_id")
+
+
+def downstream_depth(subscriber: str, nodes: DataFrame, edges: DataFrame | None = None, producer: DataFrame | None = None, hops: int = 16) -> int:
+    """How far a subscriber is from the data. With a producer (node_id), the fewest hops from it to a node of the subscriber's, by a walk of the graph, 1 if there is none. Without one every node is a start, so the depth is 0 where there is such a node, else 1."""
+    hit = _hits(subscriber, nodes)
+    if producer is None or edges is None:
+        return 0 if hit.limit(1).count() else 1
+    least = walk(edges, producer, hops).join(hit, "node_id", "left_semi").agg(F.min("hops")).first()[0]
+    return 1 if least is None else int(least)
 
 
 def contamination_depth(edges: DataFrame, producer: DataFrame, hops: int = 16) -> DataFrame:
@@ -115,8 +179,12 @@ def routing(severity: Column) -> Column:
 
 
 def mitigation(kind: Column) -> Column:
-    cases = F.create_map(*[F.lit(x) for kv in MITIGATION.items() for x in kv])
-    return F.coalesce(F.try_element_at(cases, kind), F.lit(MITIGATION["default"]))
+    """guidance and steps for a kind of violation, as a struct."""
+    said = {k: F.struct(F.lit(text).alias("guidance"), F.array(*map(F.lit, steps)).alias("steps")) for k, (text, steps) in MITIGATION.items()}
+    out = said["default"]
+    for k, v in said.items():
+        out = F.when(kind == k, v).otherwise(out)
+    return out
 
 
 def violations(results: DataFrame, contract_id: str, subscriptions: DataFrame, nodes: DataFrame, edges: DataFrame, commits: DataFrame) -> DataFrame:
@@ -124,7 +192,7 @@ def violations(results: DataFrame, contract_id: str, subscriptions: DataFrame, n
 
     Failed results and the graph are metadata; the walk is made once for each failing column."""
     failed = results.where("status = 'FAIL'").withColumn("contract_id", F.lit(contract_id))
-    hit = blast_radius(failed, subscriptions).groupBy("check_id").agg(F.collect_list(F.struct("subscriber_id", "subscriber_team", "contact", "breaking_field")).alias("subscribers"))
+    hit = blast_radius(failed, subscriptions).groupBy("check_id").agg(F.collect_list(F.struct("subscriber_id", "subscriber_team", "contact", "breaking_field")).alias("subscribers"), F.array_sort(F.collect_set(subscriber_pipeline(F.col("subscriber_id")))).alias("pipelines"))
     chains = None
     for (column,) in failed.select("column_name").distinct().collect():
         name = column.split(".")[-1] if column.split(".")[-1] in COLUMN_FILES else column
@@ -136,5 +204,5 @@ def violations(results: DataFrame, contract_id: str, subscriptions: DataFrame, n
     return out.select(
         F.uuid().alias("violation_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("detected_at"), "contract_id", "check_id", "column_name", "check_type",
         "severity", "status", "message", "actual_value", "expected", "records_failing", "sample_failing", "blame_chain",
-        F.struct(F.coalesce(F.size("subscribers"), F.lit(0)).alias("affected"), F.col("subscribers")).alias("blast_radius"), routing(F.col("severity")).alias("routing"), mitigation(F.col("check_type")).alias("mitigation"),
+        F.struct(F.coalesce(F.size("subscribers"), F.lit(0)).alias("affected"), F.col("subscribers"), F.coalesce("pipelines", F.array().cast("array<string>")).alias("pipelines")).alias("blast_radius"), routing(F.col("severity")).alias("routing"), mitigation(F.col("check_type")).alias("mitigation"),
     )

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewright.functions.expressions import FORMATS, col, fixed, is_nested, missing, numeric
+from clausewright.functions.expressions import FORMATS, col, digest, fixed, is_nested, missing, numeric, pattern_error
 
 RESULT = (
     "check_id string, column_name string, check_type string, status string, actual_value string, expected string, "
@@ -81,17 +82,17 @@ def _column_checks(contract_id: str, name: str, clause: dict, field: T.DataType,
     if is_nested(field):
         return aggs, out
     if clause.get("unique"):
-        x = F.when(~missing(c, field), c)
+        x = F.when(~missing(c, field), digest(c, field))
         aggs.append((F.count(x) - F.count_distinct(x)).alias(tag + "unique"))
         out.append(_counted(at("unique"), name, "unique", F.col(tag + "unique"), "duplicates", "duplicates=0", "CRITICAL"))
     else:
         out.append(_constant(at("unique"), name, "unique", "PASS", "Uniqueness not required."))
     counted("format", "invalid_format", f"format={clause.get('format')}", "HIGH", "No format check required.")
-    try:
-        re.compile(clause.get("pattern") or "")
+    wrong = pattern_error(clause.get("pattern") or "")
+    if wrong:
+        out.append(_constant(at("pattern"), name, "pattern", "ERROR", f"The pattern can't be compiled: {wrong}"))
+    else:
         counted("pattern", "pattern_fails", f"pattern={clause.get('pattern')}", "HIGH", "No pattern check required.")
-    except re.error as e:
-        out.append(_constant(at("pattern"), name, "pattern", "ERROR", f"The pattern can't be compiled: {e}"))
     counted("enum", "invalid_values", f"allowed={clause.get('enum')}", "CRITICAL", "No enum check required.")
     bad = violates("range", clause, c, field)
     if bad is None:
@@ -135,11 +136,9 @@ def _confidence_check(contract_id: str, name: str, field: T.DataType, tag: str)
     return aggs, [F.when(F.col(tag + "cn") > 0, found)]
 
 
-def check_table(df: DataFrame, contract: dict) -> DataFrame:
-    """RESULT rows of a contract's clauses over df: one scan, one aggregation, one row for each check.
-
-    Clauses beyond three unique ones would expand each row many times in one aggregation; they are counted each in its own plan."""
-    contract_id, fields = contract["id"], {f.name: f.dataType for f in df.schema.fields}
+def table_parts(schema: T.StructType, contract: dict) -> tuple[list[Column], list[Column], list[str]]:
+    """Aggregates of a contract's clauses, the result structs over them, and the unique columns that are counted apart."""
+    contract_id, fields = contract["id"], {f.name: f.dataType for f in schema.fields}
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     results: list[Column] = []
     unique = [n for n, c in contract["schema"].items() if c.get("unique") and n in fields]
@@ -157,12 +156,27 @@ def check_table(df: DataFrame, contract: dict) -> DataFrame:
             own, out = own + more, out + nested
         aggs += own
         results += out
-    found = df.agg(*aggs).select(F.inline(F.filter(F.array(*results), lambda r: r.isNotNull())))
-    for name in apart:
-        x = F.when(~missing(col(name), fields[name]), col(name))
-        one = df.agg((F.count(x) - F.count_distinct(x)).alias("n"))
-        found = found.unionByName(one.select(F.inline(F.array(_counted(f"{contract_id}.{name}.unique", name, "unique", F.col("n"), "duplicates", "duplicates=0", "CRITICAL")))))
-    return found
+    return aggs, results, apart
+
+
+def check_table(df: DataFrame, contract: dict, more: tuple[tuple[Column, Column], ...] = ()) -> DataFrame:
+    """RESULT rows of a contract's clauses over df: one scan, one aggregation, one row for each check.
+
+    Clauses beyond three unique ones would expand each row many times in one aggregation; they are counted each in its own plan, which
+    reads that column alone. `more` are further aggregates of df, each with the result struct over it, for the same scan."""
+    aggs, results, apart = table_parts(df.schema, contract)
+    found = df.agg(*aggs, *[a for a, _ in more]).select(F.inline(F.filter(F.array(*results, *[r for _, r in more]), lambda r: r.isNotNull())))
+    return reduce(DataFrame.unionByName, unique_apart(df, contract, apart), found)
+
+
+def unique_apart(df: DataFrame, contract: dict, names: list[str]) -> list[DataFrame]:
+    """RESULT rows of unique columns, each from a plan of its own, which reads that column alone."""
+    out = []
+    for name in names:
+        field = df.schema[name].dataType
+        x = F.when(~missing(col(name), field), digest(col(name), field))
+        out.append(_one(df.agg((F.count(x) - F.count_distinct(x)).alias("n")), f"{contract['id']}.{name}.unique", name, "unique", "duplicates", "duplicates=0", "CRITICAL"))
+    return out
 
 
 def failing_rows(df: DataFrame, contract: dict, column: str, kind: str) -> DataFrame:
@@ -187,6 +201,7 @@ def with_samples(results: DataFrame, df: DataFrame, contract: dict, order: list[
     if not sampled:
         return results
     extra = df.sparkSession.createDataFrame(sampled, "check_id string, samples array<string>")
+    # One row a failed check, from a list on the driver.
     met = results.join(F.broadcast(extra), "check_id", "left").withColumn("sample_failing", F.coalesce("samples", "sample_failing"))
     return met.select(*results.columns)
 
@@ -210,12 +225,19 @@ def _one(df: DataFrame, check_id: str, column: str, kind: str, label: str, expec
     return df.select(F.inline(F.array(_counted(check_id, column, kind, F.col("n"), label, expected, severity))))
 
 
-def references(df: DataFrame, contract_id: str, facts: str = "extracted_facts", refs: str = "entity_refs", entities: str = "entities", key: str = "entity_id") -> DataFrame:
-    """References inside a record to entities that it doesn't have; repeats count, a null list of entities is an empty one."""
+def references_part(schema: T.StructType, contract_id: str, facts: str = "extracted_facts", refs: str = "entity_refs", entities: str = "entities", key: str = "entity_id") -> tuple[Column, Column]:
+    """The aggregate of references() and its result struct, for check_table's scan."""
     known = F.coalesce(F.transform(col(entities), lambda e: e[key]), F.array().cast("array<string>"))
-    used = F.flatten(F.transform(F.coalesce(col(facts), F.array().cast(df.schema[facts].dataType)), lambda f: F.coalesce(f[refs], F.array().cast("array<string>"))))
+    used = F.flatten(F.transform(F.coalesce(col(facts), F.array().cast(schema[facts].dataType)), lambda f: F.coalesce(f[refs], F.array().cast("array<string>"))))
     bad = F.size(F.filter(used, lambda r: ~F.coalesce(F.array_contains(known, r), F.lit(False))))
-    return _one(df.agg(F.coalesce(F.sum(bad), F.lit(0)).alias("n")), f"{contract_id}.{facts}.{refs}.referential", f"{facts}[*].{refs}", "referential_integrity", "dangling", "dangling=0", "HIGH")
+    found = _counted(f"{contract_id}.{facts}.{refs}.referential", f"{facts}[*].{refs}", "referential_integrity", F.col("dangling_refs"), "dangling", "dangling=0", "HIGH")
+    return F.coalesce(F.sum(bad), F.lit(0)).alias("dangling_refs"), found
+
+
+def references(df: DataFrame, contract_id: str, **names: str) -> DataFrame:
+    """References inside a record to entities that it doesn't have; repeats count, a null list of entities is an empty one."""
+    bad, found = references_part(df.schema, contract_id, **names)
+    return df.agg(bad).select(F.inline(F.array(found)))
 
 
 def dangling(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -229,16 +251,26 @@ def non_increasing(df: DataFrame, group: str, value: str, order: list[str]) -> D
     return df.select(col(group).alias("g"), col(value).alias("v"), before.alias("before")).where("v <= before").agg(F.count_distinct("g").alias("bad"))
 
 
-def monotonic(df: DataFrame, contract_id: str, group: str = "aggregate_id", value: str = "sequence_number", order: list[str] | None = None) -> DataFrame:
-    bad = non_increasing(df, group, value, order or [value]).withColumnRenamed("bad", "n")
+def monotonic(df: DataFrame, contract_id: str, order: list[str], group: str = "aggregate_id", value: str = "sequence_number") -> DataFrame:
+    """Groups in which a value doesn't exceed the one before it. The order is that of the file (readers.with_row_order) where rows are to be taken as they were written; sorting by the value itself would find only repeats."""
+    if value in order:
+        raise ValueError("an order by the value itself finds no value that is out of order")
+    bad = non_increasing(df, group, value, order).withColumnRenamed("bad", "n")
     return _one(bad, f"{contract_id}.{value}.monotonic", value, "monotonic_sequence", "aggregates", "aggregates=0", "CRITICAL")
 
 
+def temporal_part(contract_id: str, before: str, after: str) -> tuple[Column, Column]:
+    """The aggregate of temporal_order() and its result struct, for check_table's scan."""
+    a, b = col(before).cast("string"), col(after).cast("string")
+    name = f"{after}_before_{before}"
+    found = _counted(f"{contract_id}.{after}.temporal_order", after, "temporal_order", col(name), "out_of_order", f"{after} >= {before}", "HIGH")
+    return F.count_if((a != "") & (b != "") & (b < a)).alias(name), found
+
+
 def temporal_order(df: DataFrame, contract_id: str, before: str, after: str) -> DataFrame:
     """Rows whose `after` is less than their `before`, as strings; nulls and empty strings are left out."""
-    a, b = col(before).cast("string"), col(after).cast("string")
-    bad = df.agg(F.count_if((a != "") & (b != "") & (b < a)).alias("n"))
-    return _one(bad, f"{contract_id}.{after}.temporal_order", after, "temporal_order", "out_of_order", f"{after} >= {before}", "HIGH")
+    bad, found = temporal_part(contract_id, before, after)
+    return df.agg(bad).select(F.inline(F.array(found)))
 
 
 def strict_nested(df: DataFrame, contract: dict) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausewright.functions.expressions import col, fixed, numeric
 
@@ -12,14 +13,20 @@ BASELINES = "contract_id string, column string, mean double, stddev double, n bi
 WARN_FROM, FAIL_FROM, LEAST = 2.0, 3.0, 5
 
 
-def moments(df: DataFrame, contract: dict) -> DataFrame:
-    """BASELINES rows of the numeric clauses with at least LEAST values, from one pass."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
+def moments_parts(schema: T.StructType, contract: dict) -> tuple[list[Column], list[Column]]:
+    """Aggregates of the numeric clauses' columns and BASELINES structs over them."""
+    fields = {f.name: f.dataType for f in schema.fields}
     names = [n for n, c in contract["schema"].items() if c.get("type") in ("number", "integer") and n in fields]
-    if not names:
-        return df.sparkSession.createDataFrame([], BASELINES)
     aggs = [a for i, n in enumerate(names) for x in [numeric(col(n), fields[n])] for a in (F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.count(x).alias(f"n{i}"))]
     rows = [F.struct(F.lit(contract["id"]).alias("contract_id"), F.lit(n).alias("column"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("stddev"), F.col(f"n{i}").alias("n")) for i, n in enumerate(names)]
+    return aggs, rows
+
+
+def moments(df: DataFrame, contract: dict) -> DataFrame:
+    """BASELINES rows of the numeric clauses with at least LEAST values, from one pass."""
+    aggs, rows = moments_parts(df.schema, contract)
+    if not aggs:
+        return df.sparkSession.createDataFrame([], BASELINES)
     return df.agg(*aggs).select(F.inline(F.array(*rows))).where(F.col("n") >= LEAST)
 
 
@@ -49,8 +56,8 @@ def advance(current: DataFrame, baselines: DataFrame, freeze: bool = False) -> D
 
 
 def drift_between(current: DataFrame, before: DataFrame, key: str, value: str) -> DataFrame:
-    """key, deviation, status: how far each group's mean is from the same group's before."""
+    """key, deviation, status: how far each group's mean is from the same group's before. A group that was constant, or had one value, has no row."""
     b = before.groupBy(key).agg(F.avg(value).alias("m0"), F.stddev_samp(value).alias("s0"))
-    met = current.groupBy(key).agg(F.avg(value).alias("m")).join(b, key)
+    met = current.groupBy(key).agg(F.avg(value).alias("m")).join(b.where("s0 <> 0"), key)
     dev = F.abs(F.col("m") - F.col("m0")) / F.col("s0")
     return met.select(key, F.round(dev, 6).alias("deviation"), F.when(dev > FAIL_FROM, "FAIL").when(dev > WARN_FROM, "WARN").otherwise("PASS").alias("status"))

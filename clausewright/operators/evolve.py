@@ -91,6 +91,7 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
         change(both & ~F.col("o.required") & F.col("n.required"), F.lit("add_required_column"), F.lit("required=false"), F.lit("required=true")),
     ]
     found = met.select(F.coalesce("o.column", "n.column").alias("column"), F.inline(F.filter(F.array(*kinds), lambda x: x.isNotNull())))
+    # The taxonomy is a fixed table of a dozen rows.
     named = found.join(F.broadcast(taxonomy(old.sparkSession)), "change_type", "left")
     return named.select("change_type", "column", "old_value", "new_value", "backward_compatible", "required_action", "risk_level").orderBy("column", "change_type")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewright.functions.expressions import FORMATS, col, is_integral, is_nested, is_numeric, missing, numeric
+from clausewright.functions.expressions import FORMATS, col, digest, is_integral, is_nested, is_numeric, missing, numeric
 
 PROFILE = (
     "column string, dtype string, total bigint, non_null bigint, null_fraction double, min double, max double, mean double, stddev double, "
@@ -53,11 +55,15 @@ def _warning(name: str, lo: Column, hi: Column, mean: Column) -> Column:
     )
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """PROFILE rows of the columns, from one pass. exact=False takes approximate quantiles and distinct counts, whose memory doesn't grow with the values."""
+def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True, light: bool = False) -> DataFrame:
+    """PROFILE rows of the columns, from one pass; beyond one string column, exact distinct counts are a plan for each, which reads that column alone, as one aggregation would repeat every row for every such column.
+
+    exact=False takes approximate quantiles and distinct counts, whose memory doesn't grow with the values. light leaves out deviations, quantiles and distinct counts, which clauses without formats and enums don't need."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     points = F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.95, 0.99)])
     aggs: list[Column] = [F.count(F.lit(1)).alias("total")]
+    strings = [f.name for f in fields if kind_of(f.dataType)[0] == "string"]
+    apart = strings if exact and len(strings) > 1 and not light else []
     rows = []
     null = lambda t="double": F.lit(None).cast(t)
     for i, f in enumerate(fields):
@@ -69,11 +75,13 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True)
         if dtype in ("integer", "float"):
             x = numeric(c, f.dataType)
             quantile = F.percentile(x, points) if exact else F.percentile_approx(x, points, F.lit(10_000))
-            for name, a in (("min", F.min(x)), ("max", F.max(x)), ("mean", F.avg(x)), ("stddev", F.stddev_samp(x)), ("q", quantile)):
+            for name, a in (("min", F.min(x)), ("max", F.max(x)), ("mean", F.avg(x)), *([] if light else [("stddev", F.stddev_samp(x)), ("q", quantile)])):
                 aggs.append(a.alias(tag + name))
-            measured = {m: F.col(tag + m) for m in ("min", "max", "mean", "stddev")} | {p: F.get(F.col(tag + "q"), F.lit(k)) for k, p in enumerate(("p25", "p50", "p75", "p95", "p99"))}
-        elif dtype == "string":
-            aggs.append((F.count_distinct(c.cast("string")) if exact else F.approx_count_distinct(c.cast("string"))).alias(tag + "d"))
+            measured |= {m: F.col(tag + m) for m in ("min", "max", "mean")}
+            if not light:
+                measured |= {"stddev": F.col(tag + "stddev")} | {p: F.get(F.col(tag + "q"), F.lit(k)) for k, p in enumerate(("p25", "p50", "p75", "p95", "p99"))}
+        elif dtype == "string" and not light and f.name not in apart:
+            aggs.append(_distinct(f, exact).alias(tag + "d"))
             cardinality = F.col(tag + "d")
         n = F.col(tag + "n")
         rows.append(
@@ -85,7 +93,16 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True)
                 _warning(f.name, measured["min"], measured["max"], measured["mean"]).alias("warning"),
             )
         )
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    found = df.agg(*aggs).select(F.inline(F.array(*rows)))
+    if not apart:
+        return found
+    counts = reduce(DataFrame.unionByName, [df.agg(_distinct(df.schema[c], True).alias("n")).select(F.lit(c).alias("column"), "n") for c in apart])
+    return found.join(counts, "column", "left").withColumn("cardinality", F.coalesce("n", "cardinality")).select(*found.columns)
+
+
+def _distinct(field: T.StructField, exact: bool) -> Column:
+    text = col(field.name).cast("string")
+    return F.count_distinct(digest(text, T.StringType())) if exact else F.approx_count_distinct(text)
 
 
 def top_values(df: DataFrame, column: str, n: int | None = 5) -> DataFrame:

@@ -23,7 +23,7 @@ def severity_rank(severity: Column) -> Column:
 
 def score(passed: Column, total: Column, critical: Column, high: Column) -> Column:
     """Percent passed, half to even, less the penalties, from 0 to 100; 100 without checks."""
-    raw = half_even(100.0 * passed / total - PENALTY["CRITICAL"] * critical - PENALTY["HIGH"] * high)
+    raw = half_even(100.0 * passed / F.nullif(total, F.lit(0)) - PENALTY["CRITICAL"] * critical - PENALTY["HIGH"] * high)
     return F.when(total > 0, F.greatest(F.lit(0), F.least(F.lit(100), raw))).otherwise(100).cast("bigint")
 
 
@@ -89,9 +89,10 @@ def totals(reports: DataFrame) -> DataFrame:
 
 
 def pass_rates(reports: DataFrame) -> DataFrame:
-    """contract_id, pass_rate of the newest report of each contract, rounded half up."""
+    """contract_id, pass_rate of the newest report of each contract, rounded half up; 100 without checks."""
     newest = latest(reports, ["contract_id"], [F.desc("run_timestamp")])
-    return newest.select("contract_id", F.floor(100.0 * F.col("passed") / F.col("total_checks") + 0.5).alias("pass_rate"))
+    rate = F.when(F.col("total_checks") > 0, F.floor(100.0 * F.col("passed") / F.nullif(F.col("total_checks"), F.lit(0)) + 0.5)).otherwise(100)
+    return newest.select("contract_id", rate.cast("bigint").alias("pass_rate"))
 
 
 def by_contract(reports: DataFrame) -> DataFrame:

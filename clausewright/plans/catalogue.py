@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions.expressions import half_even
+from clausewright.functions.storage import cut
 from clausewright.operators import ai, attribute, checks, contract, drift, evolve, lineage, profile, report
+from clausewright.plans.registry import ORACLE_SQL, QUERIES, query
 from clausewright.sources.readers import parquet
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def _contract(name: str, **clauses: dict) -> dict:
@@ -109,7 +96,7 @@ _OLD, _NEW = _clauses_sql(["o_orderstatus"], "o_orderdate < TIMESTAMP '1998-01-0
 
 @query(_OLD)
 def contract_clauses_orders(spark, d):
-    c = contract.clauses_of(profile.profile(_orders_before(spark, d)))
+    c = contract.clauses_of(profile.profile(_orders_before(spark, d), light=True))
     return c.select(F.col("column").alias("column_name"), "type", "required", "minimum", "maximum")
 
 
@@ -140,7 +127,7 @@ def check_table_orders(spark, d):
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE l.quality IS NULL) AS records_failing, CASE WHEN count(*) FILTER (WHERE l.quality IS NULL) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def check_required_doc_labels(spark, d):
-    met = parquet(spark, d, "documents").select("doc_id").join(parquet(spark, d, "labels"), "doc_id", "left")
+    met = cut(parquet(spark, d, "documents").select("doc_id").join(parquet(spark, d, "labels"), "doc_id", "left").select("quality"))
     r = checks.check_table(met, _contract("documents", quality={"type": "integer", "required": True})).where("check_type = 'required'")
     return r.join(F.broadcast(met.agg(F.count("*").alias("total")))).select("total", "records_failing", "status")
 
@@ -215,8 +202,8 @@ def monotonic_events(spark, d):
 @query("SELECT count(*) FILTER (WHERE l.l_shipdate < o.o_orderdate) AS violations, count(*) AS total FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey")
 def temporal_order_lineitem(spark, d):
     met = parquet(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(parquet(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    r = checks.temporal_order(met, "lineitem", "o_orderdate", "l_shipdate")
-    return r.join(F.broadcast(met.agg(F.count("*").alias("total")))).select(F.col("records_failing").alias("violations"), "total")
+    bad, found = checks.temporal_part("lineitem", "o_orderdate", "l_shipdate")
+    return met.agg(bad, F.count("*").alias("total")).select("total", F.inline(F.array(found))).select(F.col("records_failing").alias("violations"), "total")
 
 
 # ---- drift
@@ -247,7 +234,7 @@ WHERE a.column_name IS NULL OR b.column_name IS NULL OR a.minimum <> b.minimum O
 
 
 def _diff(spark, d):
-    of = lambda t: contract.clauses_of(profile.profile(t))
+    of = lambda t: contract.clauses_of(profile.profile(t, light=True))
     return evolve.diff(of(_orders_before(spark, d)), of(_orders_after(spark, d)))
 
 
@@ -461,3 +448,6 @@ def log_append_once(spark, d):
 @query("SELECT round_even(o_totalprice / 1000.0, 0) AS thousands, count(*) AS n FROM orders GROUP BY 1")
 def half_even_prices(spark, d):
     return parquet(spark, d, "orders").groupBy(half_even(F.col("o_totalprice") / 1000.0).alias("thousands")).agg(F.count("*").alias("n"))
+
+
+from clausewright.plans import documents  # noqa: E402, F401  registers its queries

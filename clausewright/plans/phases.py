@@ -6,29 +6,42 @@ import uuid
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from clausewright.functions.storage import cut
 from clausewright.operators import checks
-from clausewright.operators.drift import BASELINES, advance, drift, moments
+from clausewright.operators.drift import BASELINES, LEAST, advance, drift, moments_parts
+from clausewright.sources.readers import with_row_order
 
 
-def cross_record(df: DataFrame, contract: dict) -> list[DataFrame]:
-    """The checks between records that a dataset's columns call for."""
+def fused_parts(df: DataFrame, contract: dict) -> list[tuple[Column, Column]]:
+    """The checks inside a record that a dataset's columns call for, as aggregates with their result structs."""
     names, contract_id, out = set(df.columns), contract["id"], []
     if {"extracted_facts", "entities"} <= names:
-        out.append(checks.references(df, contract_id))
+        out.append(checks.references_part(df.schema, contract_id))
     if {"aggregate_id", "sequence_number", "occurred_at", "recorded_at"} <= names:
-        out += [checks.monotonic(df, contract_id, order=["recorded_at", "event_id"]), checks.temporal_order(df, contract_id, "occurred_at", "recorded_at")]
+        out.append(checks.temporal_part(contract_id, "occurred_at", "recorded_at"))
     if {"start_time", "end_time", "run_type"} <= names:
-        out.append(checks.temporal_order(df, contract_id, "start_time", "end_time"))
+        out.append(checks.temporal_part(contract_id, "start_time", "end_time"))
     return out
 
 
 def validate(df: DataFrame, contract: dict, mode: str = "ENFORCE", baselines: DataFrame | None = None, strict: bool = False, freeze: bool = False) -> tuple[DataFrame, DataFrame]:
-    """RESULT rows of every check in the given mode, and the baselines after the run."""
+    """RESULT rows of every check in the given mode, and the baselines after the run.
+
+    Clauses, checks inside a record and moments are one aggregation over one scan, whose one row is checkpointed. Besides, there are
+    plans for unique columns beyond three, for sequences, which need the order of the file, and for the items of arrays if strict."""
     before = baselines if baselines is not None else df.sparkSession.createDataFrame([], BASELINES)
-    now = moments(df, contract)
-    parts = [checks.check_table(df, contract), *cross_record(df, contract), drift(now, before)]
+    clause_aggs, clause_rows, apart = checks.table_parts(df.schema, contract)
+    inside = fused_parts(df, contract)
+    moment_aggs, moment_rows = moments_parts(df.schema, contract)
+    one = cut(df.agg(*clause_aggs, *[a for a, _ in inside], *([F.struct(*moment_aggs).alias("moments")] if moment_aggs else [])))
+    found = one.select(F.inline(F.filter(F.array(*clause_rows, *[r for _, r in inside]), lambda r: r.isNotNull())))
+    now = one.select("moments.*").select(F.inline(F.array(*moment_rows))).where(F.col("n") >= LEAST) if moment_aggs else df.sparkSession.createDataFrame([], BASELINES)
+    parts = [found, *checks.unique_apart(df, contract, apart), drift(now, before)]
+    if {"aggregate_id", "sequence_number", "occurred_at", "recorded_at"} <= set(df.columns):
+        parts.append(checks.monotonic(with_row_order(df), contract["id"], ["row_order"]))
     if strict:
         parts.append(checks.strict_nested(df, contract))
     return checks.enforce(reduce(DataFrame.unionByName, parts), mode), advance(now, before, freeze)

@@ -58,12 +58,15 @@ def malformed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.where(F.try_parse_json("value").isNull() | F.from_json("value", schema).isNull()).withColumnRenamed("value", "line")
 
 
-def with_row_order(df: DataFrame) -> DataFrame:
-    """row_order: place in the file for Parquet; for an unshuffled scan of other files an id that grows in file order."""
-    try:
-        return df.select("*", F.col("_metadata.row_index").alias("row_order"))
-    except AnalysisException:
-        return df.withColumn("row_order", F.monotonically_increasing_id())
+def with_row_order(df: DataFrame, name: str = "row_order") -> DataFrame:
+    """df with the place of each row as a struct that sorts in file order: file name and row for Parquet, file name, block and row for an unshuffled scan of other files. Of a table that isn't a scan the rows stand as they come."""
+    path, at = F.col("_metadata.file_path"), F.monotonically_increasing_id()
+    for place in (F.struct(path, F.col("_metadata.row_index")), F.struct(path, F.col("_metadata.file_block_start"), at)):
+        try:
+            return df.select("*", place.alias(name))
+        except AnalysisException:
+            continue
+    return df.withColumn(name, F.struct(at.alias("at")))
 
 
 def contract(path: str) -> dict:
@@ -119,6 +122,18 @@ def reports(spark: SparkSession, folder: str, pattern: str = "*.json", leave_out
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths)
 
 
+def evolution_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes of all migration reports of a folder, in the order of files and of each file's list: contract_id, change_type, column, old_value, new_value, backward_compatible, required_action, risk_level, report, report_order."""
+    change = "change_type string, column string, old_value string, new_value string, backward_compatible boolean, required_action string, risk_level string"
+    paths = [str(p) for p in sorted(Path(folder).glob("schema_evolution_*.json"))]
+    schema = f"contract_id string, verdict string, changes array<struct<{', '.join(x.replace(' ', ':') for x in change.split(', '))}>>"
+    if not paths:
+        return spark.createDataFrame([], f"contract_id string, {change}, report string, report_order struct<report:string,pos:int>")
+    read = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths)
+    rows = read.select("contract_id", F.col("_metadata.file_name").alias("report"), F.posexplode("changes").alias("pos", "c"))
+    return rows.select("contract_id", "c.*", "report", F.struct("report", "pos").alias("report_order"))
+
+
 def latest_report(folder: str) -> str | None:
     """The newest report by time of change."""
     found = sorted(Path(folder).glob("*.json"), key=lambda p: p.stat().st_mtime)

@@ -119,6 +119,67 @@ def test_monotonic_and_temporal_order(spark):
     assert checks.temporal_order(df, "w", "occurred_at", "recorded_at").first().records_failing == 1
 
 
+def test_monotonic_is_in_file_order(spark, tmp_path):
+    rows = "aggregate_id string, sequence_number int, occurred_at string, recorded_at string"
+    df = spark.createDataFrame([("a", n, "2025", "2025") for n in (5, 3, 1)] + [("b", n, "2025", "2025") for n in (1, 2, 4)], rows).coalesce(1)
+    df.write.parquet(str(tmp_path / "p"))
+    df.write.json(str(tmp_path / "j"))
+    for t in (spark.read.parquet(str(tmp_path / "p")), spark.read.schema(rows).json(str(tmp_path / "j")), df):
+        assert checks.monotonic(readers.with_row_order(t), "w", ["row_order"]).first().records_failing == 1
+        found = statuses(phases.validate(t, {"id": "w", "schema": {}})[0])
+        assert found["w.sequence_number.monotonic"] == "FAIL" and found["w.recorded_at.temporal_order"] == "PASS"
+    with pytest.raises(ValueError):
+        checks.monotonic(df, "w", ["sequence_number"])
+
+
+def test_patterns_are_those_of_the_engine(spark):
+    df = spark.createDataFrame([("ab",), ("x",)], "s string")
+    of = lambda p: checks.check_table(df, {"id": "t", "schema": {"s": {"pattern": p, "required": True}}}).where("check_type = 'pattern'").first()
+    assert of("(?P<x>ab)").status == "ERROR" and of("(?<x>ab)").records_failing == 1 and of("(").status == "ERROR"
+
+
+def test_nothing_is_divided_by_zero(spark):
+    e = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0), ("b", 2.0), ("c", 5.0)], "k string, v double")
+    assert [r.k for r in drift.drift_between(e, e, "k", "v").collect()] == ["b"]
+    r = spark.createDataFrame([("c", "2025", 0, 0)], "contract_id string, run_timestamp string, total_checks long, passed long")
+    assert report.pass_rates(r).first().pass_rate == 100
+    assert report.health_score(r, spark.createDataFrame([], "severity string")).first().score == 100
+
+
+def test_changes_are_read_from_files(spark, tmp_path):
+    changes = evolve.diff(contract.clause_rows(spark, schema(x={"maximum": 9}, z={})), contract.clause_rows(spark, schema(x={"maximum": 1})))
+    assert readers.evolution_reports(spark, str(tmp_path)).count() == 0
+    for n in "ab":
+        sinks.json_document(evolve.migration_report("c", n, "z", changes), str(tmp_path / f"schema_evolution_{n}.json"))
+    (tmp_path / "schema_evolution_c.json").write_text("{broken")
+    read = readers.evolution_reports(spark, str(tmp_path))
+    assert read.count() == 4
+    assert [(r.column, r.change_type, r.new_value) for r in report.schema_changes(read).collect()] == [("x", "range_tightened", "[None, 1.0]"), ("z", "remove_column", None)]
+
+
+def test_depth_pipelines_and_blame_of_model_checks(spark):
+    edges = spark.createDataFrame([("p", "a"), ("a", "b"), ("b", "a"), ("p", "c")], "source string, target string")
+    nodes = spark.createDataFrame([("p", None), ("a", None), ("b", "The Cartographer"), ("c", "c")], "node_id string, label string")
+    start = spark.createDataFrame([("p",)], "node_id string")
+    assert attribute.downstream_depth("week4-cartographer", nodes, edges, start) == 2 and attribute.downstream_depth("week4-cartographer", nodes) == 0
+    assert attribute.downstream_depth("week4-nobody", nodes, edges, start) == 1
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(attribute.subscriber_pipeline(F.lit("week9-ai-contract-x"))) == "week7-ai-contract-extension" and one(attribute.subscriber_pipeline(F.lit("me"), {})) == "me"
+    assert one(attribute.file_pipeline(F.lit("f.py"), {"f.py": "own"})) == "own" and one(attribute.file_pipeline(F.lit("f.py"))) is None
+    commits = spark.createDataFrame([("f", "h1", "a", "2025-01-30 00:00:00 +0000", "m"), ("f", "h2", "a", "2024-11-01 00:00:00 +0000", "m"), ("f", "h3", "a", "soon", "m"), ("f", "h4", "a", "2025-01-20 00:00:00 +0000", "m")], readers.COMMIT)
+    got = attribute.ai_blame(commits, F.lit("2025-01-31 00:00:00").cast("timestamp")).orderBy("rank").collect()
+    assert [(r.commit_hash, r.confidence_score) for r in got] == [("h3", 0.5), ("h1", 0.9)]
+    m = one(attribute.mitigation(F.lit("range")))
+    assert len(m.steps) == 4 and one(attribute.mitigation(F.lit("odd"))).guidance == attribute.MITIGATION["default"][0]
+
+
+def test_profile_of_many_strings_and_light(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), (None, "x", 3)], "s string, t string, i int")
+    assert {r.column: r.cardinality for r in profile.profile(df).collect()} == {"s": 2, "t": 1, "i": None}
+    light = {r.column: r for r in profile.profile(df, light=True).collect()}
+    assert light["i"].max == 3.0 and light["i"].p50 is None and light["s"].cardinality is None and light["s"].null_fraction == pytest.approx(1 / 3)
+
+
 def test_drift_moves_its_baseline(spark):
     c = {"id": "t", "schema": {"x": {"type": "number"}, "k": {"type": "number"}}}
     of = lambda d: drift.moments(spark.createDataFrame([(d + i % 3 - 1.0, 1.0) for i in range(30)], "x double, k double"), c)
