@@ -16,8 +16,8 @@ from clausewright.llm.common import read, staged
 LINKS = 16
 #: Width of the beam when building and when searching.
 EF_BUILD, EF = 64, 128
-#: Distinct vectors of a shard, on average, and the least number of shards.
-SHARD, LEAST_SHARDS = 65_536, 8
+#: Distinct vectors of a shard and bytes of them, on average, and the least number of shards.
+SHARD, SHARD_BYTES, LEAST_SHARDS = 65_536, 128 << 20, 8
 #: Queries sent together, and walked together.
 SENT, TOGETHER = 16, 256
 
@@ -147,9 +147,7 @@ class Graph:
             links[node, : out.shape[1]] = out
 
     def search(self, queries: np.ndarray, ef: int = EF) -> np.ndarray:
-        """Places of the nodes found for each query, nearest first, -1 where there are fewer. A graph of at most ef nodes is read whole."""
-        if len(self.x) <= ef:
-            return np.argsort(-(queries @ self.x.T), 1, kind="stable")
+        """Places of the nodes found for each query, nearest first, -1 where there are fewer."""
         out = [np.zeros((0, ef), np.int32)]
         for a in range(0, len(queries), TOGETHER):
             q = queries[a : a + TOGETHER]
@@ -176,13 +174,14 @@ def build_index(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame,
 
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     nodes = staged(rows.withColumn("r", first).where(F.col("r") <= k + 1).groupBy("v", "dim").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
-    n_shards = max(LEAST_SHARDS, -(-nodes.count() // shard))
+    n, values = nodes.agg(F.count("*"), F.sum("dim")).first()
+    n_shards = max(LEAST_SHARDS, -(-n // shard), -(-8 * (values or 0) // SHARD_BYTES))
     schema = "dim int, shard long, ids array<array<long>>, vectors binary, sizes array<int>, links binary"
 
     def build(table):
-        d = table.to_pydict()
+        d = table.drop_columns(["v"]).to_pydict()
         first_id = sorted(range(len(d["ids"])), key=lambda i: d["ids"][i])
-        v = np.array([d["v"][i] for i in first_id])
+        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d["dim"][0])[first_id]
         graph, order = Graph.build(_unit(v / np.abs(v).max(1)[:, None]), seed=int(d["shard"][0]))
         sizes = [s for layer in graph.layers for s in layer.shape]
         row = [d["dim"][:1], d["shard"][:1], [[d["ids"][first_id[i]] for i in order.tolist()]], [v[order].tobytes()], [sizes], [b"".join(x.tobytes() for x in graph.layers)]]
@@ -258,6 +257,6 @@ def search(queries: DataFrame, index: DataFrame, n_shards: int, k: int) -> DataF
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = 5
-    rows = usable(read(spark, sf_dir, "embeddings"))
+    rows = staged(usable(read(spark, sf_dir, "embeddings")), "vectors")
     index, n_shards = build_index(rows, k)
     return search(rows.where(F.col("vec_id") % 50 == 0), index, n_shards, k)

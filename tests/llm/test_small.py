@@ -508,6 +508,20 @@ def test_ann_small_is_exact(spark, tmp_path):
     assert ann.op1_ann(spark, cases.folder(spark, tmp_path / "e", [], embeddings=empty)).count() == 0
 
 
+def test_query_recall_where_shards_exceed_the_beam(spark, tmp_path):
+    """About 450 vectors a shard, over three times the beam."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3600, 24)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.op1_ann(spark, cases.folder(spark, tmp_path, [], embeddings=df)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = [len(got[q] & set([j for j in np.argsort(-(x @ x[q]))[:6].tolist() if j != q][:5])) / 5 for q in range(0, 3600, 50)]
+    assert len(got) == 72 and np.mean(hits) >= 0.9
+
+
 def test_graph_recall():
     x = np.random.default_rng(2).normal(size=(3000, 32)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
