@@ -90,39 +90,48 @@ class ByteBPE:
         self.byte_ids = [0] * 256
         for c, b in symbols.items():
             self.byte_ids[b] = vocab[c]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a], vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.split = Splitter()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def word(self, piece: str) -> array:
         """Ids of one piece: the lowest rank merges first, ties to the left. A queue entry is rank and place in one number; one whose place has no pair of that rank any more is skipped."""
-        ids = array("i", map(self.byte_ids.__getitem__, piece.encode("utf-8")))
-        n, merges = len(ids), self.merges
-        queue = [m[0] << 40 | i for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        ids = list(map(self.byte_ids.__getitem__, piece.encode("utf-8")))
+        n, get, made_of = len(ids), self.merges.get, self.made
+        # The rank of the pair that begins at each place, -1 for none.
+        ranks = [get(pair, -1) for pair in zip(ids, ids[1:])] + [-1]
+        queue = [r << 40 | i for i, r in enumerate(ranks) if r >= 0]
         if not queue:
-            return ids
+            return array("i", ids)
         heapify(queue)
-        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        numbers = list if n < 1 << 16 else lambda x: array("i", x)
+        after, before = numbers(range(1, n + 1)), numbers(range(-1, n - 1))
         while queue:
-            rank, i = divmod(heappop(queue), 1 << 40)
-            j = after[i]
-            if j >= n or ids[i] < 0 or not (m := merges.get((ids[i], ids[j]))) or m[0] != rank:
+            entry = heappop(queue)
+            rank, i = entry >> 40, entry & 0xFFFFFFFFFF
+            if ranks[i] != rank:
                 continue
-            made = m[1]
-            ids[i], ids[j] = made, -1
+            j, made = after[i], made_of[rank]
+            ids[i], ids[j], ranks[j] = made, -1, -1
             k = after[i] = after[j]
+            ranks[i] = -1
             if k < n:
                 before[k] = i
-                if m := merges.get((made, ids[k])):
-                    heappush(queue, m[0] << 40 | i)
+                r = ranks[i] = get((made, ids[k]), -1)
+                if r >= 0:
+                    heappush(queue, r << 40 | i)
             h = before[i]
-            if h >= 0 and (m := merges.get((ids[h], made))):
-                heappush(queue, m[0] << 40 | h)
-        return array("i", (x for x in ids if x >= 0))
+            if h >= 0:
+                r = ranks[h] = get((ids[h], made), -1)
+                if r >= 0:
+                    heappush(queue, r << 40 | h)
+        return array("i", [x for x in ids if x >= 0])
 
     def _plain(self, text: str, out: array) -> None:
         memo, word = self.memo, self.word
