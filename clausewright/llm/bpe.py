@@ -62,7 +62,7 @@ class Splitter:
         self.usual, self.spelt = made(r"\p{L}", r"\p{N}"), made(_ranges(letters), _ranges(digits))
 
     def __call__(self, text: str) -> list[str]:
-        return self.usual(text) if self.odd.isdisjoint(text) else self.spelt(text)
+        return self.usual(text) if text.isascii() or self.odd.isdisjoint(text) else self.spelt(text)
 
 
 #: Words that a worker remembers at most; beyond it the memo starts anew.
