@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -52,7 +53,7 @@ def _ranges(chars: set[str]) -> str:
 
 
 class Splitter:
-    """Calls give a text's pieces. The module's own classes serve where they agree with Unicode 16.0 on all of a text's characters; for other texts the classes are spelt out, which is slower."""
+    """Calls give a text's pieces. ASCII texts have the split spelt out in ASCII ranges. For others the module's own classes serve where they agree with Unicode 16.0 on all of a text's characters; else the classes are spelt out, which is slower."""
 
     def __init__(self):
         letters, digits = _frozen("L", LETTERS_16), _frozen("N", DIGITS_16)
@@ -60,15 +61,37 @@ class Splitter:
         self.odd = frozenset(letters ^ set(regex.findall(r"\p{L}", every)) | digits ^ set(regex.findall(r"\p{N}", every)))
         made = lambda l, n: regex.compile(PATTERN.replace("{L}", f"[{l}]").replace("{N}", f"[{n}]").replace("{LN}", l + n)).findall
         self.usual, self.spelt = made(r"\p{L}", r"\p{N}"), made(_ranges(letters), _ranges(digits))
+        ascii_only = PATTERN.replace("{L}", "[A-Za-z]").replace("{N}", "[0-9]").replace("{LN}", "A-Za-z0-9")
+        self.ascii = re.compile(ascii_only.replace(r"[^\s", r"[^\t-\r ").replace(r"\S", r"[^\t-\r ]").replace(r"\s", r"[\t-\r ]")).findall
 
     def __call__(self, text: str) -> list[str]:
-        return self.usual(text) if text.isascii() or self.odd.isdisjoint(text) else self.spelt(text)
+        if text.isascii():
+            return self.ascii(text)
+        return self.usual(text) if self.odd.isdisjoint(text) else self.spelt(text)
 
 
-#: Words that a worker remembers at most; beyond it the memo starts anew.
+#: Words in each of the two halves of a worker's memo. A full half replaces the older one, so words that come again stay.
 MEMO = 300_000
 
 
+class Memo(dict):
+    """Pieces and the bytes of their ids; a piece that isn't there is worked out, and kept if it is short."""
+
+    def __init__(self, word):
+        self.word, self.older = word, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.older.get(piece)
+        if got is None:
+            got = self.word(piece).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 def byte_symbols() -> dict[str, int]:
     """The printable character that stands for each byte in the vocabulary: itself where printable, else the next free one from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -98,7 +121,8 @@ class ByteBPE:
             self.made.append(vocab[a + b])
         self.split = Splitter()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.texts = list(map(str, range(max(self.bytes_of) + 1)))
+        self.memo = Memo(self.word)
 
     def word(self, piece: str) -> array:
         """Ids of one piece: the lowest rank merges first, ties to the left. A queue entry is rank and place in one number; one whose place has no pair of that rank any more is skipped."""
@@ -106,7 +130,9 @@ class ByteBPE:
         n, get, made_of = len(ids), self.merges.get, self.made
         # The rank of the pair that begins at each place, -1 for none.
         ranks = [get(pair, -1) for pair in zip(ids, ids[1:])] + [-1]
-        queue = [r << 40 | i for i, r in enumerate(ranks) if r >= 0]
+        bits = n.bit_length()
+        place = (1 << bits) - 1
+        queue = [r << bits | i for i, r in enumerate(ranks) if r >= 0]
         if not queue:
             return array("i", ids)
         heapify(queue)
@@ -114,7 +140,7 @@ class ByteBPE:
         after, before = numbers(range(1, n + 1)), numbers(range(-1, n - 1))
         while queue:
             entry = heappop(queue)
-            rank, i = entry >> 40, entry & 0xFFFFFFFFFF
+            rank, i = entry >> bits, entry & place
             if ranks[i] != rank:
                 continue
             j, made = after[i], made_of[rank]
@@ -125,25 +151,16 @@ class ByteBPE:
                 before[k] = i
                 r = ranks[i] = get((made, ids[k]), -1)
                 if r >= 0:
-                    heappush(queue, r << 40 | i)
+                    heappush(queue, r << bits | i)
             h = before[i]
             if h >= 0:
                 r = ranks[h] = get((ids[h], made), -1)
                 if r >= 0:
-                    heappush(queue, r << 40 | h)
+                    heappush(queue, r << bits | h)
         return array("i", [x for x in ids if x >= 0])
 
     def _plain(self, text: str, out: array) -> None:
-        memo, word = self.memo, self.word
-        if len(memo) > MEMO:
-            memo.clear()
-        for p in self.split(text):
-            got = memo.get(p)
-            if got is None:
-                got = word(p)
-                if len(p) <= 64 and len(memo) <= MEMO:
-                    memo[p] = got
-            out.extend(got)
+        out.frombytes(b"".join(map(self.memo.__getitem__, self.split(text))))
 
     def encode(self, text: str) -> array:
         """A special token's string is that token wherever it stands."""
@@ -160,6 +177,10 @@ class ByteBPE:
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def listed(self, ids: Iterable[int]) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.texts.__getitem__, ids))
+
 
 _EDGE = regex.compile(r"(?<=[!-~])(?= )")
 
@@ -202,7 +223,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", with_ids: b
                 for t in texts:
                     ids = bpe.encode(t or "")
                     decoded = bpe.decode(ids)
-                    out.append((len(ids), digest(",".join(map(str, ids)).encode()), digest(decoded.encode()), ids.tolist() if with_ids else None, decoded if with_ids else None))
+                    out.append((len(ids), digest(bpe.listed(ids).encode()), digest(decoded.encode()), ids.tolist() if with_ids else None, decoded if with_ids else None))
                 cols = list(zip(*out))
                 arrays = [doc_id, pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
                 if with_ids:
