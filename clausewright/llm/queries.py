@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from clausewright.llm.ann import op1_ann
 from clausewright.llm.bpe import op7_bpe
+from clausewright.llm.centroids import LARGEST, op11_centroids
 from clausewright.llm.langid import op9_langid
 from clausewright.llm.licence_texts import NOTICES, SPELLINGS, TEXTS
 from clausewright.llm.licences import COPYRIGHT, PUNCTUATION, RIGHTS, op3_licences
@@ -12,6 +13,8 @@ from clausewright.llm.mixing import op6_mixing
 from clausewright.llm.near_dup import op4_near_dup
 from clausewright.llm.pii import op8_pii
 from clausewright.llm.quality_rules import BULLET, ELLIPSIS, LETTER, MAX_REPEATED_PERCENT, MIN_WORDS, OTHER_SCRIPT, RULES, STOP_WORDS, UPPER, op10_quality_rules
+from clausewright.llm.resample import op13_resample
+from clausewright.llm.simhash import op12_simhash
 from clausewright.llm.site_quality import op5_site_quality
 
 QUERIES = {
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_langid": op9_langid,
     "op10_quality_rules": op10_quality_rules,
+    "op11_centroids": op11_centroids,
+    "op12_simhash": op12_simhash,
+    "op13_resample": op13_resample,
 }
 
 _STOPS = ", ".join(f"'{x}'" for w in dict.fromkeys(STOP_WORDS) for x in dict.fromkeys((w, w.capitalize())))
@@ -59,7 +65,30 @@ SELECT w.doc_id AS doc_id, w.digest AS digest, k.license AS license, coalesce(h.
 """
 
 
+def _centroid_sql(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256) -> str:
+    """Distances to all centroids in each round, vectors and centroids as rows of one component."""
+    steps = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(greatest({-LARGEST}, least({LARGEST}, floor({scale} * CAST(x AS DOUBLE)))) AS BIGINT)) AS c
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+e AS MATERIALIZED (SELECT r, unnest(c) AS x, unnest(range({dims})) AS j FROM kept),
+first AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, c) - 1 AS k FROM kept),
+m0 AS MATERIALIZED (SELECT k, j, x FROM first JOIN e ON e.r = first.r WHERE k < {k})"""
+    for i in range(rounds + 1):
+        steps += f""",
+d{i} AS (SELECT e.r AS r, m.k AS k, sum((e.x - m.x) * (e.x - m.x)) AS d FROM e JOIN m{i} m ON m.j = e.j GROUP BY e.r, m.k),
+a{i} AS MATERIALIZED (SELECT r, k, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1),
+s{i} AS (SELECT a.k AS k, e.j AS j, sum(e.x) AS s, count(*) AS n FROM a{i} a JOIN e ON e.r = a.r GROUP BY a.k, e.j),
+m{i + 1} AS MATERIALIZED (SELECT m.k AS k, m.j AS j, CASE WHEN s.n IS NULL THEN m.x ELSE CAST((s.s - ((s.s % s.n) + s.n) % s.n) // s.n AS BIGINT) END AS x FROM m{i} m LEFT JOIN s{i} s ON s.k = m.k AND s.j = m.j)"""
+    return f"""{steps},
+named AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS digest FROM m{rounds} GROUP BY k)
+SELECT v.vec_id AS vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, n.digest AS centroid_sha256
+FROM a{rounds} a JOIN kept v ON v.r = a.r JOIN named n ON n.k = a.k
+"""
+
+
 ORACLE_SQL = {
+    "op11_centroids": _centroid_sql(),
     "op3_licences": _licence_sql(),
     "op10_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
