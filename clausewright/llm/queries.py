@@ -13,7 +13,7 @@ from clausewright.llm.mixing import op6_mixing
 from clausewright.llm.near_dup import op4_near_dup
 from clausewright.llm.pii import op8_pii
 from clausewright.llm.quality_rules import BULLET, ELLIPSIS, LETTER, MAX_REPEATED_PERCENT, MIN_WORDS, OTHER_SCRIPT, RULES, STOP_WORDS, UPPER, op10_quality_rules
-from clausewright.llm.resample import op13_resample
+from clausewright.llm.resample import BUCKETS, DRAWN_PERCENT, LEAST_WORDS, TABLE, op13_resample
 from clausewright.llm.simhash import op12_simhash
 from clausewright.llm.site_quality import op5_site_quality
 
@@ -87,7 +87,29 @@ FROM a{rounds} a JOIN kept v ON v.r = a.r JOIN named n ON n.k = a.k
 """
 
 
+def _resample_sql() -> str:
+    """The CRC byte by byte, as a fold over a feature's bytes."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH src AS (SELECT 'd' AS kind, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+w AS MATERIALIZED (SELECT kind, r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM src),
+f AS MATERIALIZED (SELECT kind, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM w),
+h AS MATERIALIZED (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM f)),
+b AS MATERIALIZED (SELECT f, xor(list_reduce(list_transform(range(0, length(h), 2), lambda i: CAST('0x' || substr(h, i + 1, 2) AS BIGINT)),
+  lambda a, x: xor(a >> 8, {TABLE[0].tolist()}[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % {BUCKETS} AS b FROM h),
+n AS (SELECT b.b AS b, CAST(count(*) FILTER (WHERE kind = 'd') AS DOUBLE) AS s, CAST(count(*) FILTER (WHERE kind = 'b') AS DOUBLE) AS t FROM f JOIN b ON b.f = f.f GROUP BY b.b),
+g AS MATERIALIZED (SELECT b, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + {BUCKETS}) / ((s + 1) * ((SELECT sum(t) FROM n) + {BUCKETS})))) AS BIGINT) AS gain FROM n),
+v AS (SELECT f.r AS r, sum(g.gain) AS weight FROM f JOIN b ON b.f = f.f JOIN g ON g.b = b.b WHERE kind = 'd' GROUP BY f.r),
+x AS (SELECT w.doc_id AS doc_id, len(w.w) AS words, CAST(len(w.w) + greatest(len(w.w) - 1, 0) + greatest(len(w.w) - 2, 0) AS BIGINT) AS n_features, CAST(coalesce(v.weight, 0) AS BIGINT) AS weight,
+  CAST('0x' || substr(sha256('42:' || w.doc_id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN v ON v.r = w.r WHERE w.kind = 'd'),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score, words >= {LEAST_WORDS} AS fit FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id, n_features, weight) AS place, count(*) OVER (PARTITION BY fit) AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= {DRAWN_PERCENT} * n // 100 THEN place END AS rank FROM z
+"""
+
+
 ORACLE_SQL = {
+    "op13_resample": _resample_sql(),
     "op11_centroids": _centroid_sql(),
     "op3_licences": _licence_sql(),
     "op10_quality_rules": rf"""
