@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions.expressions import half_even, root
+from clausewright.functions.storage import cut
 from clausewright.operators.lineage import downstream, walk
 
 # The file that makes a column.
@@ -46,18 +47,20 @@ SUBSCRIBER_PIPELINES: dict[str, str] = {
 PRIORITY = {"CRITICAL": "P1", "HIGH": "P2", "MEDIUM": "P3", "LOW": "P4"}
 #: Minutes until a violation goes to the next level: for CRITICAL and HIGH, and for the rest.
 ESCALATE = (30, 120)
-#: What to do about each kind of violation, and how, step by step.
+#: What to do about each kind of violation, and how, from what the check has found.
 MITIGATION: dict[str, tuple[str, tuple[str, ...]]] = {
-    "range": ("Find records outside the range and make the producer keep to the scale.", ("Find out which producer moved the scale.", "Take its change back, or mend it.", "Validate again in ENFORCE mode.", "Merge once all passes.")),
-    "required": ("Find records without the field and make the producer always fill it.", ("List the nulls of the column.", "Follow them back to the stage that makes them.", "Make that stage fill the field.", "Validate again.")),
-    "unique": ("Remove repeated values, at the source if they come from there.", ("List the repeated values.", "See whether the producer or a later join repeats them.", "Remove them there.", "Validate again.")),
-    "type": ("Make all values match the declared type.", ("Look at the sample of failing records.", "Cast in the producer, before it writes.", "Validate again.")),
-    "format": ("Make all values match the declared format.", ("Look at the sample of failing records.", "Mend the producer's formatting.", "Validate again.")),
-    "default": ("Look at the failing records and make the producer keep to the contract.", ("Look at the sample of failing records.", "Follow them back to the stage that makes them.", "Mend it and validate again.")),
+    "range": ("Values lie outside the agreed bounds.", ("Compare the minimum and maximum of the message with the bounds: a factor of 100 is a change of scale.", "Quarantine what was written since the blamed commit.", "Agree on new bounds, or have the producer keep to the old ones.")),
+    "required": ("A field that consumers rely on is empty.", ("Group the empty records by their source and day to see when it began.", "Backfill them from that source, or declare the field nullable.")),
+    "unique": ("One key stands for several records.", ("Look at the repeated keys with failing_rows().", "Tell exact repeats, which can be dropped, from different records under one key, which need new ones.")),
+    "type": ("A field has changed its type.", ("Read the field as the old type and count what is lost.", "Keep the old field next to the new one until all consumers have moved.")),
+    "format": ("Values have another shape than agreed.", ("Compare failing samples with the named format.", "Normalise them where they are written.")),
+    "default": ("Data and contract disagree.", ("Look at the samples of the failing check.", "Change whichever is wrong, data or contract, and validate again.")),
 }
 #: Days of history, commits, and the confidence where a commit's time can't be read, of the blame for a model check.
 AI_DAYS, AI_COMMITS, AI_UNREADABLE = 30, 2, 0.5
 HOPS, COMMITS_EACH, CHAIN = 3, 2, 5
+#: Who is told where no subscriber is known.
+CONTACT = "data-quality@org.com"
 
 
 def field_match(failing: Column, registered: Column) -> Column:
@@ -143,12 +146,7 @@ def blame_chain(upstream: DataFrame, commits: DataFrame, now: Column | None = No
     each = commits.withColumn("c", newest).where(F.col("c") <= COMMITS_EACH)
     met = files.join(each, "file_path", "left").withColumn("rank", F.row_number().over(Window.orderBy("hops", "file_path", "c")))
     chain = met.where(F.col("rank") <= CHAIN)
-    found = F.col("commit_hash").isNotNull()
-    return chain.select(
-        "rank", "file_path", F.when(found, F.col("commit_hash")).otherwise("unknown").alias("commit_hash"), F.when(found, F.col("author_email")).otherwise("unknown").alias("author"),
-        "commit_timestamp", F.when(found, F.col("commit_message")).otherwise("No recent commit.").alias("commit_message"), "hops",
-        blame_confidence(F.when(found, days_since(F.col("commit_timestamp"), now)).otherwise(0), F.col("hops")).alias("confidence_score"),
-    )
+    return chain.select(*_blamed(now))
 
 
 def _hits(subscriber: str, nodes: DataFrame) -> DataFrame:
@@ -187,22 +185,62 @@ def mitigation(kind: Column) -> Column:
     return out
 
 
-def violations(results: DataFrame, contract_id: str, subscriptions: DataFrame, nodes: DataFrame, edges: DataFrame, commits: DataFrame) -> DataFrame:
+def starts(columns: list[str], nodes: DataFrame, files: dict[str, str] | None = None) -> DataFrame:
+    """column_name, node_id: where the walk of each failing column starts: the node of the file that makes it (by `files`, column -> file), or else the first node with its name in its id."""
+    spark, known = nodes.sparkSession, COLUMN_FILES if files is None else files
+    made = {c: known.get(c.split(".")[-1]) or known.get(c.split(".")[0].split("[")[0]) for c in columns}
+    of_file = spark.createDataFrame([(c, f"file::{f}") for c, f in made.items() if f], "column_name string, node_id string")
+    rest = [c for c, f in made.items() if not f]
+    if not rest:
+        return of_file
+    named = F.filter(F.array(*map(F.lit, rest)), lambda c: F.contains(F.lower("node_id"), F.lower(c)))
+    return of_file.unionByName(nodes.select("node_id", F.explode(named).alias("column_name")).groupBy("column_name").agg(F.min("node_id").alias("node_id")).select("column_name", "node_id"))
+
+
+def blame_chains(upstream: DataFrame, commits: DataFrame, now: Column | None = None) -> DataFrame:
+    """column_name, blame_chain (an array of what blame_chain() gives) of each column_name of upstream (column_name, node_id, hops).
+
+    Of each file only the newest commits are met, and no chain is longer than CHAIN, so nothing grows with the history."""
+    now = F.current_timestamp() if now is None else now
+    files = upstream.select("column_name", F.regexp_replace("node_id", "^file::", "").alias("file_path"), "hops")
+    newest = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("commit_timestamp"), "commit_hash"))
+    each = commits.withColumn("c", newest).where(F.col("c") <= COMMITS_EACH)
+    rank = F.row_number().over(Window.partitionBy("column_name").orderBy("hops", "file_path", "c"))
+    chain = files.join(each, "file_path", "left").withColumn("rank", rank).where(F.col("rank") <= CHAIN)
+    return chain.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct(*_blamed(now)))).alias("blame_chain"))
+
+
+def _blamed(now: Column) -> list[Column]:
+    found = F.col("commit_hash").isNotNull()
+    return [
+        F.col("rank"), F.col("file_path"), F.when(found, F.col("commit_hash")).otherwise("unknown").alias("commit_hash"), F.when(found, F.col("author_email")).otherwise("unknown").alias("author"),
+        F.col("commit_timestamp"), F.when(found, F.col("commit_message")).otherwise("No recent commit.").alias("commit_message"), F.col("hops"),
+        blame_confidence(F.when(found, days_since(F.col("commit_timestamp"), now)).otherwise(0), F.col("hops")).alias("confidence_score"),
+    ]
+
+
+def violations(results: DataFrame, contract_id: str, subscriptions: DataFrame, nodes: DataFrame, edges: DataFrame, commits: DataFrame, snapshot: str | None = None, hops: int = 16) -> DataFrame:
     """One row for each failed result: the check, whom it hurts, who may have caused it, where it goes.
 
-    Failed results and the graph are metadata; the walk is made once for each failing column."""
-    failed = results.where("status = 'FAIL'").withColumn("contract_id", F.lit(contract_id))
-    hit = blast_radius(failed, subscriptions).groupBy("check_id").agg(F.collect_list(F.struct("subscriber_id", "subscriber_team", "contact", "breaking_field")).alias("subscribers"), F.array_sort(F.collect_set(subscriber_pipeline(F.col("subscriber_id")))).alias("pipelines"))
-    chains = None
-    for (column,) in failed.select("column_name").distinct().collect():
-        name = column.split(".")[-1] if column.split(".")[-1] in COLUMN_FILES else column
-        one = blame_chain(upstream_files(name, nodes, edges), commits).agg(F.sort_array(F.collect_list(F.struct("rank", "file_path", "commit_hash", "author", "commit_timestamp", "commit_message", "hops", "confidence_score"))).alias("blame_chain"))
-        one = one.withColumn("column_name", F.lit(column))
-        chains = one if chains is None else chains.unionByName(one)
-    out = failed.join(hit, "check_id", "left")
-    out = out.join(chains, "column_name", "left") if chains is not None else out.withColumn("blame_chain", F.array())
+    Failed results are metadata and written once. All failing columns are walked together, once upstream for the blame and once
+    downstream for what is affected; where the graph has nothing downstream the subscribers are named."""
+    failed = cut(results.where("status = 'FAIL'").withColumn("contract_id", F.lit(contract_id)))
+    columns = [r[0] for r in failed.select("column_name").distinct().collect()]
+    start = starts(columns, nodes)
+    chains = blame_chains(walk(edges, start, HOPS, upstream=True), commits)
+    below = downstream(edges, start, hops).groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("hops", "node_id"))).alias("n")).select("column_name", F.transform("n", lambda x: x["node_id"]).alias("below"))
+    hit = blast_radius(failed, subscriptions).groupBy("check_id").agg(F.sort_array(F.collect_list(F.struct("subscriber_id", "subscriber_team", "contact", "breaking_field"))).alias("subscribers"))
+    out = failed.join(hit, "check_id", "left").join(chains, "column_name", "left").join(below, "column_name", "left")
+    none = F.array().cast("array<string>")
+    subscribers = F.coalesce(F.transform("subscribers", lambda x: x["subscriber_id"]), none)
+    first = F.get("subscribers", F.lit(0))
     return out.select(
         F.uuid().alias("violation_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("detected_at"), "contract_id", "check_id", "column_name", "check_type",
-        "severity", "status", "message", "actual_value", "expected", "records_failing", "sample_failing", "blame_chain",
-        F.struct(F.coalesce(F.size("subscribers"), F.lit(0)).alias("affected"), F.col("subscribers"), F.coalesce("pipelines", F.array().cast("array<string>")).alias("pipelines")).alias("blast_radius"), routing(F.col("severity")).alias("routing"), mitigation(F.col("check_type")).alias("mitigation"),
+        "severity", "status", "message", "actual_value", "expected", "records_failing", "sample_failing", F.lit(snapshot).cast("string").alias("snapshot_ref"), "blame_chain",
+        F.struct(
+            F.size(subscribers).alias("affected"), F.col("subscribers"), F.coalesce("below", F.transform(subscribers, lambda s: F.concat(F.lit("subscriber::"), s))).alias("affected_nodes"),
+            F.array_distinct(F.transform(subscribers, lambda s: subscriber_pipeline(s))).alias("affected_pipelines"), F.col("records_failing").alias("estimated_records"),
+            F.when(F.size(subscribers) > 0, "registry+lineage").otherwise("lineage-only").alias("blast_radius_source"),
+        ).alias("blast_radius"),
+        routing(F.col("severity")).alias("routing"), mitigation(F.col("check_type")).alias("mitigation"), F.coalesce(first["contact"], F.lit(CONTACT)).alias("escalation_contact"),
     )

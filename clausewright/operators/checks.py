@@ -42,6 +42,12 @@ def _constant(check_id: str, column: str, kind: str, status: str, message: str)
     return outcome(check_id, column, kind, F.lit(status), F.lit("N/A"), "N/A", F.lit(severity), F.lit(0), F.lit(message))
 
 
+def bound_error(clause: dict) -> str | None:
+    """What is wrong with the bounds of a clause that aren't numbers, or None."""
+    wrong = [f"{k}={clause[k]!r}" for k in ("minimum", "maximum") if clause.get(k) is not None and (isinstance(clause[k], bool) or not isinstance(clause[k], (int, float)))]
+    return f"not a number: {', '.join(wrong)}" if wrong else None
+
+
 def violates(kind: str, clause: dict, c: Column, field: T.DataType) -> Column | None:
     """Whether a value breaks this part of its clause; null for missing values; None if the clause has no such part."""
     text = c.cast("string")
@@ -56,8 +62,12 @@ def violates(kind: str, clause: dict, c: Column, field: T.DataType) -> Column |
         allowed = clause["enum"]
         if isinstance(field, (T.FloatType, T.DoubleType)) and all(re.fullmatch(r"[+-]?\d+(\.\d+)?", str(x)) for x in allowed):
             return there & ~c.cast("double").isin([float(x) for x in allowed])
-        return there & ~text.isin([str(x) for x in allowed])
-    if kind == "range" and (clause.get("minimum") is not None or clause.get("maximum") is not None):
+        # The engine writes booleans in lower case.
+        return there & ~text.isin([str(x).lower() if isinstance(field, T.BooleanType) else str(x) for x in allowed])
+    if kind == "length" and (clause.get("minLength") is not None or clause.get("maxLength") is not None):
+        n = F.length(text)
+        return there & ((n < F.lit(clause.get("minLength") or 0)) | (n > F.lit(clause.get("maxLength", 2**31 - 1))))
+    if kind == "range" and not bound_error(clause) and (clause.get("minimum") is not None or clause.get("maximum") is not None):
         x = numeric(c, field)
         low = x < clause["minimum"] if clause.get("minimum") is not None else F.lit(False)
         high = x > clause["maximum"] if clause.get("maximum") is not None else F.lit(False)
@@ -81,11 +91,7 @@ def _column_checks(contract_id: str, name: str, clause: dict, field: T.DataType,
     counted("required", "null_count", "null_count=0", "CRITICAL", "")
     if is_nested(field):
         return aggs, out
-    if clause.get("unique"):
-        x = F.when(~missing(c, field), digest(c, field))
-        aggs.append((F.count(x) - F.count_distinct(x)).alias(tag + "unique"))
-        out.append(_counted(at("unique"), name, "unique", F.col(tag + "unique"), "duplicates", "duplicates=0", "CRITICAL"))
-    else:
+    if not clause.get("unique"):
         out.append(_constant(at("unique"), name, "unique", "PASS", "Uniqueness not required."))
     counted("format", "invalid_format", f"format={clause.get('format')}", "HIGH", "No format check required.")
     wrong = pattern_error(clause.get("pattern") or "")
@@ -95,7 +101,9 @@ def _column_checks(contract_id: str, name: str, clause: dict, field: T.DataType,
         counted("pattern", "pattern_fails", f"pattern={clause.get('pattern')}", "HIGH", "No pattern check required.")
     counted("enum", "invalid_values", f"allowed={clause.get('enum')}", "CRITICAL", "No enum check required.")
     bad = violates("range", clause, c, field)
-    if bad is None:
+    if bound_error(clause):
+        out.append(_constant(at("range"), name, "range", "ERROR", f"A bound is {bound_error(clause)}"))
+    elif bad is None:
         out.append(_constant(at("range"), name, "range", "PASS", "No range check required."))
     else:
         x = numeric(c, field)
@@ -137,20 +145,16 @@ def _confidence_check(contract_id: str, name: str, field: T.DataType, tag: str)
 
 
 def table_parts(schema: T.StructType, contract: dict) -> tuple[list[Column], list[Column], list[str]]:
-    """Aggregates of a contract's clauses, the result structs over them, and the unique columns that are counted apart."""
+    """Aggregates of a contract's clauses, the result structs over them, and the unique columns, which are counted apart: with a distinct count among them, one aggregation would shuffle a row with all its counts for every value, and with two repeat every row."""
     contract_id, fields = contract["id"], {f.name: f.dataType for f in schema.fields}
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     results: list[Column] = []
-    unique = [n for n, c in contract["schema"].items() if c.get("unique") and n in fields]
-    apart = unique if len(unique) > 3 else []
+    apart = [n for n, c in contract["schema"].items() if c.get("unique") and n in fields and not is_nested(fields[n])]
     for i, (name, clause) in enumerate(contract["schema"].items()):
         if name not in fields:
             results.append(_constant(f"{contract_id}.{name}.exists", name, "exists", "ERROR", f"Column {name} isn't in the data."))
             continue
-        given = clause | {"unique": False} if name in apart else clause
-        own, out = _column_checks(contract_id, name, given, fields[name], f"c{i}_")
-        if name in apart:
-            out = [o for k, o in enumerate(out) if k != 1]
+        own, out = _column_checks(contract_id, name, clause, fields[name], f"c{i}_")
         if name in CONFIDENCE_COLUMNS:
             more, nested = _confidence_check(contract_id, name, fields[name], f"c{i}_")
             own, out = own + more, out + nested
@@ -162,8 +166,7 @@ def table_parts(schema: T.StructType, contract: dict) -> tuple[list[Column], lis
 def check_table(df: DataFrame, contract: dict, more: tuple[tuple[Column, Column], ...] = ()) -> DataFrame:
     """RESULT rows of a contract's clauses over df: one scan, one aggregation, one row for each check.
 
-    Clauses beyond three unique ones would expand each row many times in one aggregation; they are counted each in its own plan, which
-    reads that column alone. `more` are further aggregates of df, each with the result struct over it, for the same scan."""
+    Unique columns are counted each in its own plan, which reads that column alone. `more` are further aggregates of df, each with the result struct over it, for the same scan."""
     aggs, results, apart = table_parts(df.schema, contract)
     found = df.agg(*aggs, *[a for a, _ in more]).select(F.inline(F.filter(F.array(*results, *[r for _, r in more]), lambda r: r.isNotNull())))
     return reduce(DataFrame.unionByName, unique_apart(df, contract, apart), found)
@@ -273,31 +276,6 @@ def temporal_order(df: DataFrame, contract_id: str, before: str, after: str) ->
     return df.agg(bad).select(F.inline(F.array(found)))
 
 
-def strict_nested(df: DataFrame, contract: dict) -> DataFrame:
-    """RESULT rows for the clauses of array items, which check_table leaves alone: enum, pattern, format and range of each field."""
-
-    def breaks(kind: str, clause: dict, inner: str, field: T.DataType):
-        return lambda x: F.coalesce(violates(kind, clause, x[inner], field), F.lit(False))
-
-    out = []
-    for name, clause in contract["schema"].items():
-        field = df.schema[name].dataType if name in df.columns else None
-        if not (isinstance(field, T.ArrayType) and isinstance(field.elementType, T.StructType)):
-            continue
-        for inner, c in (clause.get("items") or {}).items():
-            if inner not in field.elementType.names or not isinstance(c, dict):
-                continue
-            kind_of = field.elementType[inner].dataType
-            for kind, severity in (("required", "CRITICAL"), ("format", "HIGH"), ("pattern", "HIGH"), ("enum", "CRITICAL"), ("range", "HIGH")):
-                if violates(kind, c, F.lit(None).cast(kind_of), kind_of) is not None:
-                    bad = F.size(F.filter(col(name), breaks(kind, c, inner, kind_of)))
-                    out.append((f"{contract['id']}.{name}[].{inner}.{kind}", f"{name}[*].{inner}", kind, severity, F.coalesce(F.sum(F.when(bad > 0, bad)), F.lit(0))))
-    if not out:
-        return df.sparkSession.createDataFrame([], RESULT)
-    sums = df.agg(*[o[4].alias(f"n{i}") for i, o in enumerate(out)])
-    return sums.select(F.inline(F.array(*[_counted(o[0], o[1], o[2], F.col(f"n{i}"), "bad_items", "bad_items=0", o[3]) for i, o in enumerate(out)])))
-
-
 def inject_scale_fault(df: DataFrame, column: str = "extracted_facts", field: str = "confidence") -> DataFrame:
     """Confidences of 0 to 1 on a scale of 0 to 100, to see the checks fail."""
     scaled = lambda x: x.withField(field, F.when(x[field] <= 1.0, F.bround(x[field] * 100, 1)).otherwise(x[field]))

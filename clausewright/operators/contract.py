@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.operators.profile import KNOWN_ENUMS, detect_formats, observed_enum, profile
+from clausewright.operators.profile import KNOWN_ENUMS, detect_formats, observed_enums, profile
 
 # Items and properties of well-known nested columns, as field -> clause.
 _ID = {"type": "string", "format": "uuid", "unique": True}
@@ -35,7 +35,7 @@ KNOWN_PROPERTIES: dict[str, dict] = {
 KNOWN_VALUES: dict[str, dict] = {
     "scores": {"type": "object", "properties": {"score": {"type": "integer", "minimum": 1, "maximum": 5}, "evidence": {"type": "array", "items": _STRING}, "notes": _STRING}},
 }
-#: What a column of this name always has, whatever was seen.
+# What a column of this name always has, whatever was seen.
 OVERRIDES: dict[str, dict] = {
     "processing_time_ms": {"minimum": 1},
     "score": {"minimum": 1, "maximum": 5},
@@ -43,6 +43,7 @@ OVERRIDES: dict[str, dict] = {
     "overall_verdict": {"enum": KNOWN_ENUMS["overall_verdict"]},
     "run_type": {"enum": KNOWN_ENUMS["run_type"]},
 }
+# The pattern that goes with a format.
 PATTERNS = {
     "uuid": "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     "sha256": "^[a-f0-9]{64}$",
@@ -96,13 +97,13 @@ def clause(row: dict) -> dict:
 
 
 def clauses(df: DataFrame, exact: bool = True) -> tuple[dict[str, dict], list[dict]]:
-    """column -> clause, and the profile rows with format and enum of strings. The table is scanned once for the profile, once for the formats, and per string column for its values."""
+    """column -> clause, and the profile rows with format and enum of strings. The table is scanned once for the profile, once for the formats, and once for the values of the columns that have few."""
     rows = [r.asDict() for r in profile(df, exact=exact).collect()]
-    formats = detect_formats(df, [r["column"] for r in rows if r["dtype"] == "string"])
+    strings = {r["column"]: r["cardinality"] for r in rows if r["dtype"] == "string"}
+    formats, enums = detect_formats(df, list(strings)), observed_enums(df, list(strings), cardinality=strings)
     for r in rows:
         if r["dtype"] == "string":
-            r["format"] = formats[r["column"]]
-            r["enum"] = observed_enum(df, r["column"])
+            r["format"], r["enum"] = formats[r["column"]], enums[r["column"]]
     return {r["column"]: clause(r) for r in rows}, rows
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.functions.storage import cut
+from clausewright.functions.storage import staged
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
@@ -25,18 +25,20 @@ def edges_of(snapshot: DataFrame) -> DataFrame:
 def walk(edges: DataFrame, start: DataFrame, hops: int, upstream: bool = False) -> DataFrame:
     """node_id, hops: what is reached from start (node_id) in at most so many steps, start included at 0, each with its fewest.
 
-    Each level joins the frontier with the edges and leaves out what was seen, so cycles end and no path is listed twice. A level
-    is checkpointed, as the next one reads it twice; the walk ends with the first empty one."""
-    step = edges.select(F.col("target" if upstream else "source").alias("a"), F.col("source" if upstream else "target").alias("b")).distinct()
-    seen = cut(start.select("node_id").distinct().withColumn("hops", F.lit(0)))
+    Other columns of start tell walks apart, which are made together, and stay. Each level joins the frontier with the edges and leaves
+    out what was seen, so cycles end and no path is listed twice. The edges are written once, as pairs of nodes; a level is written
+    too, so the planner knows its size and broadcasts a small one, and the walk ends with the first empty one."""
+    walks = [c for c in start.columns if c != "node_id"]
+    step = staged(edges.select(F.col("target" if upstream else "source").alias("a"), F.col("source" if upstream else "target").alias("b")).where("a is not null and b is not null"))
+    seen = staged(start.where("node_id is not null").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
     for h in range(1, hops + 1):
-        found = frontier.join(step, F.col("node_id") == F.col("a")).select(F.col("b").alias("node_id")).distinct()
-        frontier = cut(found.join(seen, "node_id", "left_anti").withColumn("hops", F.lit(h)))
+        found = frontier.drop("hops").join(step, F.col("node_id") == F.col("a")).select(*walks, F.col("b").alias("node_id")).distinct()
+        frontier = staged(found.join(seen, [*walks, "node_id"], "left_anti").select("node_id", *walks, F.lit(h).alias("hops")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen
+    return seen.select(*walks, "node_id", "hops")
 
 
 def consumers(nodes: DataFrame, edges: DataFrame, dataset: str) -> DataFrame:

@@ -128,16 +128,38 @@ def detect_formats(df: DataFrame, columns: list[str], share: float = FORMAT_SHAR
     return dict(zip(columns, df.agg(*[_format(col(c).cast("string"), share).alias(f"f{i}") for i, c in enumerate(columns)]).first())) if columns else {}
 
 
-def observed_enum(df: DataFrame, column: str, most: int = 10) -> list[str] | None:
-    """Known values of a column of that name if all its values are among them, else its values by frequency if they are few."""
+def observed_enums(df: DataFrame, columns: list[str], most: int = 10, cardinality: dict[str, int] | None = None) -> dict[str, list[str] | None]:
+    """For each column the known values of that name if all its values are among them, else its values by frequency if they are few, else None.
+
+    Only columns that can have so few values are grouped, all in one aggregation: by their cardinality where it is known, or else by
+    an estimate for all of them from one scan. So the values that are shuffled and collected are few, however long the columns."""
+    longest = max(most, *map(len, KNOWN_ENUMS.values()))
+    if cardinality is None and columns:
+        cardinality = dict(zip(columns, df.agg(*[F.approx_count_distinct(col(c).cast("string")) for c in columns]).first()))
+    # Estimates of so few values are off by less than that.
+    few = [c for c in columns if (cardinality or {}).get(c, 0) <= 4 * longest]
+    seen: dict[str, list[str]] = {c: [] for c in few}
+    if few:
+        pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), col(c).cast("string").alias("v")) for i, c in enumerate(few)])).alias("p")).where("p.v is not null")
+        counts = pairs.groupBy("p.i", "p.v").agg(F.count("*").alias("n")).collect()
+        for r in sorted(counts, key=lambda r: (-r["n"], r["v"])):
+            seen[few[r["i"]]].append(r["v"])
+    return {c: _enum(c, seen[c], most) if c in seen else None for c in columns}
+
+
+def _enum(column: str, seen: list[str], most: int) -> list[str] | None:
     name = column.lower()
-    seen = [r["value"] for r in top_values(df, column, max(most, *map(len, KNOWN_ENUMS.values())) + 1).collect()]
     for key, values in KNOWN_ENUMS.items():
         if (key in name or name in key) and set(seen) <= set(values):
             return values
     return seen if 0 < len(seen) <= most else None
 
 
+def observed_enum(df: DataFrame, column: str, most: int = 10) -> list[str] | None:
+    """observed_enums() of one column."""
+    return observed_enums(df, [column], most)[column]
+
+
 def suspicious(profiles: DataFrame) -> DataFrame:
     """column, flag of the profiles whose distribution looks broken."""
     conf = F.lower("column").contains("confidence")

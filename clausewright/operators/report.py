@@ -14,8 +14,8 @@ PENALTY = {"CRITICAL": 20, "HIGH": 5}
 
 
 def severity_rank(severity: Column) -> Column:
-    """0 for CRITICAL to 3 for LOW, 4 for anything else."""
-    out = F.lit(4)
+    """0 for CRITICAL to 3 for LOW, 4 for anything else; none at all counts as LOW."""
+    severity, out = F.coalesce(severity, F.lit("LOW")), F.lit(4)
     for i, s in reversed(list(enumerate(RANKS))):
         out = F.when(severity == s, i).otherwise(out)
     return out
@@ -44,6 +44,18 @@ def top_violations(violations: DataFrame, order: str = "log_pos", n: int = 3) ->
     return top_by_rank(violations, severity_rank(F.col("severity")), [order], n)
 
 
+def impact(affected: Column) -> Column:
+    """What a violation means downstream, from the nodes that it affects: their number and the first three."""
+    n = F.coalesce(F.size(affected), F.lit(0))
+    return F.when(n > 0, F.concat(F.lit("Affects "), n.cast("string"), F.lit(" downstream node(s): "), F.array_join(F.slice(affected, 1, 3), ", "))).otherwise("No downstream consumers known.")
+
+
+def summary_of(violations: DataFrame) -> DataFrame:
+    """violation_id, check_id, severity, system, field, message, downstream_impact of rows of the log."""
+    nodes = F.col("blast_radius.affected_nodes") if "blast_radius" in violations.columns else F.array().cast("array<string>")
+    return violations.select("violation_id", "check_id", "severity", F.coalesce("contract_id", F.lit("unknown")).alias("system"), F.coalesce("column_name", F.lit("unknown")).alias("field"), F.coalesce("message", F.lit("")).alias("message"), impact(nodes).alias("downstream_impact"))
+
+
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in that order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
@@ -56,18 +68,40 @@ def schema_changes(changes: DataFrame, order: str = "report_order") -> DataFrame
     return kept.orderBy("first").select("contract_id", "change_type", "column", "last.*")
 
 
-def recommended_actions(violations: DataFrame, drift_status: str | None = None, output_trend: str | None = None, order: str = "log_pos") -> list[dict]:
-    """At most three: the gravest violation of each check, then model checks, or that all is well."""
-    rank = severity_rank(F.coalesce("severity", F.lit("LOW")))
+# The file behind a model check, where no commit says.
+CHECK_FILES: dict[str, str] = {
+    "ai_extensions.embedding_drift": "contracts/ai_extensions.py",
+    "ai_extensions.llm_output_schema": "contracts/ai_extensions.py",
+    "ai_extensions.prompt_input": "contracts/ai_extensions.py",
+}
+#: Pipelines behind drifting embeddings and failing model outputs.
+DRIFT_PIPELINE, OUTPUT_PIPELINE = "week3-document-extraction-pipeline", "week2-evaluation-pipeline"
+
+
+def recommended_actions(violations: DataFrame, metrics: dict | None = None, order: str = "log_pos", n: int = 3) -> list[dict]:
+    """At most n, each with the file to look at and the pipelines it concerns: the gravest violation of each check, then model checks, or that all is well.
+
+    The file is the first of the blame chain, or what is known of the check. A violation of embeddings' drift tells the score of
+    metrics, not that of the log."""
+    drift, output = ((metrics or {}).get(k) or {} for k in ("embedding_drift", "llm_output_schema"))
+    rank = severity_rank(F.col("severity"))
     first = latest(violations, ["check_id"], [rank, F.col(order)])
-    rows = first.orderBy(rank, order).limit(3).collect()
-    out = [{"severity": r["severity"], "action": f"Fix '{r['column_name']}' of {r['contract_id']} ({r['check_id']}): {(r['message'] or '')[:200]}"} for r in rows]
-    if drift_status == "FAIL":
-        out.append({"severity": "HIGH", "action": "Look into the drift of embeddings; set a new baseline if it is meant."})
-    if output_trend == "rising":
-        out.append({"severity": "MEDIUM", "action": "More model outputs break their schema than before; look at recent prompt changes."})
-    out = out or [{"severity": "LOW", "action": "All is well; generate contracts anew each week."}]
-    return [{"priority": i + 1} | a for i, a in enumerate(out[:3])]
+    rich = {"blame_chain", "blast_radius"} <= set(violations.columns)
+    file, pipelines = (F.get("blame_chain", F.lit(0))["file_path"], F.col("blast_radius.affected_pipelines")) if rich else (F.lit(None).cast("string"), F.lit(None).cast("array<string>"))
+    rows = first.orderBy(rank, order).limit(n).select("severity", "check_id", "contract_id", "column_name", F.substring(F.coalesce("message", F.lit("")), 1, 200).alias("message"), file.alias("file"), pipelines.alias("pipelines")).collect()
+    out = []
+    for r in rows:
+        message = r["message"]
+        if r["check_id"] == "ai_extensions.embedding_drift" and drift.get("drift_score") is not None:
+            message = f"drift is {drift['drift_score']:.4f}, {drift.get('threshold', 0.15)} is allowed"
+        at = r["file"] or CHECK_FILES.get(r["check_id"]) or "unknown"
+        out.append({"severity": r["severity"], "action": f"Fix '{r['column_name'] or 'unknown'}' of {r['contract_id'] or 'unknown'} ({r['check_id']}): {message} Look at {at}.", "file": at, "affected_pipelines": r["pipelines"] or []})
+    if drift.get("status") == "FAIL":
+        out.append({"severity": "HIGH", "action": "Look into the drift of embeddings; set a new baseline if it is meant.", "file": None, "affected_pipelines": [DRIFT_PIPELINE]})
+    if output.get("trend") == "rising":
+        out.append({"severity": "MEDIUM", "action": "More model outputs break their schema than before; look at recent prompt changes.", "file": None, "affected_pipelines": [OUTPUT_PIPELINE]})
+    out = out or [{"severity": "LOW", "action": "All is well; generate contracts anew each week.", "file": None, "affected_pipelines": []}]
+    return [{"priority": i + 1} | a for i, a in enumerate(out[:n])]
 
 
 def ai_risk(metrics: dict) -> dict:
@@ -110,16 +144,17 @@ def build(reports: DataFrame, violations: DataFrame, changes: DataFrame, metrics
     return {
         "generated_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "data_health_score": health["score"], "health_narrative": health["narrative"],
         "validation_summary": totals(reports).first().asDict(),
-        "violations": {"by_severity": {r["severity"]: r["n"] for r in severity_histogram(known, F.col("severity")).collect()}, "top": [r.asDict(recursive=True) for r in top_violations(known).collect()]},
+        "violations": {"by_severity": {r["severity"]: r["n"] for r in severity_histogram(known, F.col("severity")).collect()}, "top": [r.asDict() for r in summary_of(top_violations(known)).collect()]},
         "schema_changes_detected": [r.asDict() for r in schema_changes(changes).collect()], "ai_risk_assessment": ai_risk(metrics),
-        "recommended_actions": recommended_actions(known, (metrics.get("embedding_drift") or {}).get("status"), (metrics.get("llm_output_schema") or {}).get("trend")),
+        "recommended_actions": recommended_actions(known, metrics),
     }
 
 
 def markdown(report: dict) -> str:
     lines = [f"# Data health {report['data_health_score']}", "", report["health_narrative"], "", "## Checks", ""]
     lines += [f"- {k}: {v}" for k, v in report["validation_summary"].items()] + ["", "## Violations", ""]
-    lines += [f"- {k}: {v}" for k, v in report["violations"]["by_severity"].items()] + ["", "## Schema changes", ""]
+    lines += [f"- {k}: {v}" for k, v in report["violations"]["by_severity"].items()]
+    lines += [f"- {v['system']}.{v['field']} ({v['severity']}): {v['message']} {v['downstream_impact']}" for v in report["violations"]["top"]] + ["", "## Schema changes", ""]
     lines += [f"- {c['contract_id']}.{c['column']}: {c['change_type']}" for c in report["schema_changes_detected"]] + ["", "## Actions", ""]
     lines += [f"{a['priority']}. ({a['severity']}) {a['action']}" for a in report["recommended_actions"]]
     return "\n".join([*lines, "", f"Model checks: {report['ai_risk_assessment']['overall_ai_status']}", ""])

@@ -450,4 +450,4 @@ def half_even_prices(spark, d):
     return parquet(spark, d, "orders").groupBy(half_even(F.col("o_totalprice") / 1000.0).alias("thousands")).agg(F.count("*").alias("n"))
 
 
-from clausewright.plans import documents  # noqa: E402, F401  registers its queries
+from clausewright.plans import documents, features  # noqa: E402, F401  register their queries

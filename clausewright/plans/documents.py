@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from clausewright.functions.expressions import numeric
-from clausewright.operators import ai, attribute, checks, contract, drift, evolve, lineage, profile, report
+from clausewright.operators import ai, attribute, checks, contract, drift, evolve, lineage, nested, profile, report
 from clausewright.plans import phases
 from clausewright.plans.catalogue import _CHANGES, _FIELD, _NEW, _PROMPT, ORDERS, _contract, _diff, _orders_after, _orders_before, _prompts, _subscriptions
 from clausewright.plans.registry import documents, query, scratch
@@ -26,7 +26,7 @@ def _event_log(spark, d) -> str:
     """Events as lines of JSON, and for each error a line that is cut short."""
     path = f"{scratch(spark)}/events"
     e = parquet(spark, d, "events").select("event_id", "event_type", "value")
-    sinks.append_log(e, path)
+    e.write.json(path)
     e.where("event_type = 'error'").select(F.concat(F.lit('{"event_id": '), "event_id").alias("value")).write.mode("append").text(path)
     return path
 
@@ -73,7 +73,7 @@ def file_digests_customers(spark, d):
 def quarantine_log_documents(spark, d):
     path = f"{scratch(spark)}/quarantine"
     sinks.append_log(ai.quarantine(_prompts(spark, d)), path)
-    return readers.jsonl(spark, path, "record struct<doc_id:string>, validation_errors array<string>", missing_ok=True).select("record.doc_id", F.explode("validation_errors").alias("error"))
+    return readers.logged(spark, path, "record struct<doc_id:string>, validation_errors array<string>").select("record.doc_id", F.explode("validation_errors").alias("error"))
 
 
 @query("SELECT CAST(pos - 1 AS INTEGER) AS pos, round(avg(CAST(v AS DOUBLE)), 6) AS value FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) t GROUP BY pos")
@@ -307,7 +307,7 @@ _STRICT = "SELECT count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N')) AS a, c
 def strict_nested_lines(spark, d):
     items = parquet(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"))).alias("lines"))
     c = _contract("orders", lines={"type": "array", "items": {"flag": {"enum": ["A", "N"]}, "quantity": {"type": "number", "maximum": 40}}})
-    return checks.strict_nested(items, c).select(F.regexp_replace("check_id", r"^orders\.lines\[\]\.", "").alias("part"), "records_failing")
+    return nested.nested_checks(items, c).select(F.regexp_replace("check_id", r"^orders\.lines\[\]\.", "").alias("part"), "records_failing")
 
 
 _MOVED = """SELECT c.k AS column_name, abs(c.m - b.m) / b.s AS dev FROM (SELECT event_type AS k, avg(value + length(event_type) * 12) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-11 00:00:00' GROUP BY 1) c
@@ -397,10 +397,11 @@ def file_pipelines(spark, d):
 _KIND = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'range' WHEN '2' THEN 'unique' WHEN '3' THEN 'format' ELSE 'other' END"
 
 
-@query("SELECT kind, n, CASE kind " + " ".join(f"WHEN '{k}' THEN {len(s)}" for k, (_, s) in attribute.MITIGATION.items()) + f" ELSE {len(attribute.MITIGATION['default'][1])} END AS steps, CASE kind " + " ".join("WHEN '" + k + "' THEN '" + t.replace("'", "''") + "'" for k, (t, _) in attribute.MITIGATION.items()) + " ELSE '" + attribute.MITIGATION["default"][0].replace("'", "''") + f"' END AS guidance FROM (SELECT {_KIND} AS kind, count(*) AS n FROM orders GROUP BY 1) q")
+@query(f"SELECT kind, CASE kind WHEN 'range' THEN 3 ELSE 2 END AS steps, CASE kind WHEN 'range' THEN 'bounds' WHEN 'unique' THEN 'key' WHEN 'format' THEN 'shape' ELSE 'disagree' END AS about, count(*) AS n FROM (SELECT {_KIND} AS kind FROM orders) q GROUP BY kind")
 def mitigation_orders(spark, d):
     o = parquet(spark, d, "orders").select(F.expr(_KIND).alias("kind")).withColumn("m", attribute.mitigation(F.col("kind")))
-    return o.groupBy("kind", F.size("m.steps").alias("steps"), F.col("m.guidance").alias("guidance")).agg(F.count("*").alias("n"))
+    about = F.regexp_extract("m.guidance", "(bounds|key|shape|disagree)", 1)
+    return o.groupBy("kind", F.size("m.steps").alias("steps"), about.alias("about")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT 1 AS rank, 'src/' || event_type AS file_path, CAST(event_id AS VARCHAR) AS commit_hash, CASE WHEN event_type = 'click' THEN 0.5 ELSE round(greatest(0.05, 1 - 0.1 * floor(date_diff('second', ts, TIMESTAMP '2024-02-01 00:00:00') / 86400.0)), 2) END AS confidence_score FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN event_type = 'click' THEN 'at ' ELSE '' END || strftime(ts, '%Y-%m-%d %H:%M:%S') DESC, CAST(event_id AS VARCHAR)) AS r FROM events WHERE event_type = 'click' OR date_diff('second', ts, TIMESTAMP '2024-02-01 00:00:00') <= 30 * 86400) q WHERE r = 1")
@@ -418,21 +419,28 @@ def ai_consumers(spark, d):
 
 
 _BAD = {"o_custkey.unique": ("count(o_custkey) - count(DISTINCT o_custkey)", "P1"), "o_orderstatus.enum": ("count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O'))", "P1"), "o_totalprice.range": ("count(*) FILTER (WHERE o_totalprice > 400000)", "P2"), "o_orderpriority.pattern": ("count(*) FILTER (WHERE NOT regexp_matches(o_orderpriority, '^[1-3]-'))", "P2")}
+# Each failing column's table is fed by the tables of some days' orders, and feeds the views of some customers.
+_FED = {"o_custkey": 0, "o_orderstatus": 1, "o_totalprice": 2, "o_orderpriority": 3}
 
 
 @query(
-    "WITH f AS (" + " UNION ALL ".join(f"SELECT 'orders.{k}' AS check_id, '{k.split('.')[0]}' AS col, {n} AS n, '{p}' AS priority FROM orders" for k, (n, p) in _BAD.items()) + f"), s AS (SELECT n_name, split_part(split_part({_FIELD}, '[', 1), '.', 1) AS field FROM nation)"
-    " SELECT f.check_id, f.n AS records_failing, f.priority, (SELECT count(*) FROM s WHERE contains(s.field, f.col) OR contains(f.col, s.field)) AS affected, CAST(CASE WHEN f.col = 'o_custkey' THEN 3 ELSE 0 END AS INTEGER) AS blamed FROM f WHERE f.n > 0"
+    "WITH f AS (" + " UNION ALL ".join(f"SELECT 'orders.{k}' AS check_id, '{k.split('.')[0]}' AS col, {_FED[k.split('.')[0]]} AS i, {n} AS n, '{p}' AS priority FROM orders" for k, (n, p) in _BAD.items()) + f"), s AS (SELECT n_name, split_part(split_part({_FIELD}, '[', 1), '.', 1) AS field FROM nation)"
+    ", u AS (SELECT f.check_id, 'raw' || strftime(o_orderdate, '%Y%m') AS file, max(o_orderkey) AS top, count(*) AS c FROM f JOIN orders ON o_orderkey % 4 = f.i AND o_orderdate >= TIMESTAMP '1998-06-01 00:00:00' GROUP BY ALL),"
+    " b AS (SELECT check_id, least(5, 1 + sum(least(c, 2))) AS blamed FROM u GROUP BY check_id), m AS (SELECT check_id, 'o' || top AS newest FROM u QUALIFY row_number() OVER (PARTITION BY check_id ORDER BY file) = 1)"
+    " SELECT f.check_id, f.n AS records_failing, f.priority, (SELECT count(*) FROM s WHERE contains(s.field, f.col) OR contains(f.col, s.field)) AS affected, CAST(coalesce(b.blamed, 1) AS BIGINT) AS blamed, m.newest AS newest,"
+    " (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey % 4 = f.i) + (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_nationkey % 4 = f.i) AS nodes FROM f LEFT JOIN b ON b.check_id = f.check_id LEFT JOIN m ON m.check_id = f.check_id WHERE f.n > 0"
 )
 def violations_orders(spark, d):
-    """Failed checks of orders with whom they hurt, where they go, and the commits to a table upstream of one column."""
-    o = parquet(spark, d, "orders")
-    results = checks.check_table(o, ORDERS)
-    nodes = o.select(F.lit("table::o_custkey").alias("node_id")).unionByName(o.select(F.lit("table::raw").alias("node_id"))).distinct()
-    edges = o.select(F.lit("table::raw").alias("source"), F.lit("table::o_custkey").alias("target")).distinct()
-    commits = o.groupBy(F.lit("table::o_custkey").alias("file_path")).agg(F.min("o_orderkey").cast("string").alias("a"), F.max("o_orderkey").cast("string").alias("b")).select("file_path", F.explode(F.array("a", "b")).alias("commit_hash"), F.lit("").alias("author_email"), F.lit("2025-01-01 00:00:00").alias("commit_timestamp"), F.lit("").alias("commit_message"))
-    v = attribute.violations(results, "orders", _subscriptions(spark, d), nodes, edges, commits)
-    return v.select("check_id", "records_failing", "routing.priority", F.col("blast_radius.affected").cast("bigint").alias("affected"), F.size("blame_chain").alias("blamed"))
+    """Failed checks of orders with whom they hurt, where they go, what the graph has downstream, and the commits (orders) to the tables upstream of each column."""
+    o, c = parquet(spark, d, "orders"), parquet(spark, d, "customer")
+    column = lambda k: F.element_at(F.array(*[F.lit(f"table::{n}") for n in _FED]), (F.col(k) % 4 + 1).cast("int"))
+    recent = o.where("o_orderdate >= timestamp'1998-06-01 00:00:00'").select("o_orderkey", F.concat(F.lit("raw"), F.date_format("o_orderdate", "yyyyMM"), F.lit("_"), (F.col("o_orderkey") % 4).cast("string")).alias("raw"))
+    edges = recent.select("raw", column("o_orderkey").alias("target")).withColumnRenamed("raw", "source")
+    edges = edges.unionByName(c.select(column("c_nationkey").alias("source"), F.concat(F.lit("nation"), "c_nationkey").alias("target"))).unionByName(c.select(F.concat(F.lit("nation"), "c_nationkey").alias("source"), F.concat(F.lit("view"), "c_custkey").alias("target")))
+    nodes = edges.select(F.col("source").alias("node_id")).union(edges.select("target")).distinct()
+    commits = recent.select(F.col("raw").alias("file_path"), F.concat(F.lit("o"), "o_orderkey").alias("commit_hash"), F.lit("a@b.c").alias("author_email"), F.format_string("2025-01-01 %012d", "o_orderkey").alias("commit_timestamp"), F.lit("m").alias("commit_message"))
+    v = attribute.violations(checks.check_table(o, ORDERS), "orders", _subscriptions(spark, d), nodes, edges, commits)
+    return v.select("check_id", "records_failing", "routing.priority", F.col("blast_radius.affected").cast("bigint").alias("affected"), F.size("blame_chain").cast("bigint").alias("blamed"), F.get("blame_chain", F.lit(1))["commit_hash"].alias("newest"), F.size("blast_radius.affected_nodes").cast("bigint").alias("nodes"))
 
 
 def _day_snapshots(spark, d):

@@ -1,0 +1,145 @@
+"""Registered queries of logs, lines that don't fit, check texts, nested clauses and what else goes beyond single checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clausewright.operators import nested, report, texts
+from clausewright.plans.catalogue import _contract
+from clausewright.plans.registry import query, scratch
+from clausewright.sources import readers, sinks
+from clausewright.sources.readers import parquet
+
+# ---- logs and lines
+
+
+@query("SELECT CAST(event_id % 6 + 1 AS BIGINT) AS commit, row_number() OVER (PARTITION BY event_id % 6 ORDER BY event_id DESC) AS place, event_id, CASE WHEN event_type <> 'view' THEN 'user' || user_id END AS check_id FROM events")
+def log_order_events(spark, d):
+    """Six appends to one log, each with its rows from the last event to the first, null keys among them, read again in order."""
+    path = f"{scratch(spark)}/log"
+    e = parquet(spark, d, "events").select("event_id", F.when(F.col("event_type") != "view", F.concat(F.lit("user"), "user_id")).alias("check_id"))
+    for i in range(6):
+        sinks.append_log(e.where(F.col("event_id") % 6 == i), path, order=[F.desc("event_id")])
+    kept = readers.logged(spark, path, "event_id bigint, check_id string")
+    return kept.select("log_pos.commit", F.expr("row_number() over (partition by log_pos.commit order by log_pos)").alias("place"), "event_id", "check_id")
+
+
+@query("WITH l AS (SELECT *, CASE event_type WHEN 'error' THEN 'HIGH' WHEN 'click' THEN 'CRITICAL' WHEN 'view' THEN NULL ELSE 'ODD' END AS severity, event_id % 2 AS c FROM events) SELECT event_id, severity, 'Affects ' || user_id % 5 || ' downstream node(s): ' || list_aggregate(list_slice(list_transform(range(user_id % 5), lambda i: 'n' || i), 1, 3), 'string_agg', ', ') AS impact FROM l WHERE user_id % 5 > 0 ORDER BY CASE WHEN severity = 'CRITICAL' THEN 0 WHEN severity = 'HIGH' THEN 1 WHEN severity IS NULL THEN 3 ELSE 4 END, c, event_id LIMIT 500")
+def top_logged_events(spark, d):
+    """The gravest violations of a log of two appends, earlier ones first, with what they affect; no severity counts as LOW, above an odd one."""
+    path = f"{scratch(spark)}/log"
+    severity = F.when(F.col("event_type") == "error", "HIGH").when(F.col("event_type") == "click", "CRITICAL").when(F.col("event_type") != "view", "ODD")
+    nodes = F.transform(F.sequence(F.lit(0), (F.col("user_id") % 5).cast("int") - 1), lambda i: F.concat(F.lit("n"), i))
+    e = parquet(spark, d, "events").where("user_id % 5 > 0").select(F.col("event_id").cast("string").alias("violation_id"), severity.alias("severity"), F.struct(nodes.alias("affected_nodes")).alias("blast_radius"), "event_id")
+    for i in range(2):
+        sinks.append_log(e.where(F.col("event_id") % 2 == i).drop("event_id"), path, order=[F.col("violation_id").cast("bigint")])
+    top = report.summary_of(report.top_violations(readers.violation_log(spark, path), n=500))
+    return top.select(F.col("violation_id").cast("bigint").alias("event_id"), "severity", F.col("downstream_impact").alias("impact"))
+
+
+@query("SELECT coalesce(CAST(user_id AS VARCHAR), 'nobody') AS user, count(*) AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_type <> 'view' UNION ALL SELECT DISTINCT CAST(NULL AS BIGINT) FROM events WHERE event_type = 'view') q GROUP BY user_id")
+def log_once_users(spark, d):
+    """Two appends without repeats, views without a user: each user once, and null once."""
+    path = f"{scratch(spark)}/log"
+    e = parquet(spark, d, "events").select(F.when(F.col("event_type") != "view", F.col("user_id")).alias("user_id"))
+    sinks.append_once(e.where("user_id is null or user_id % 2 = 0"), path, "user_id")
+    sinks.append_once(e, path, "user_id")
+    return readers.logged(spark, path, "user_id bigint").groupBy(F.coalesce(F.col("user_id").cast("string"), F.lit("nobody")).alias("user")).agg(F.count("*").alias("n"))
+
+
+def _odd_lines(spark, d) -> str:
+    """Events as lines of JSON: errors are cut short, clicks have words for a value, views a key that no schema knows; blank lines and lists between them."""
+    path = f"{scratch(spark)}/lines"
+    e = parquet(spark, d, "events")
+    extra = F.when(F.col("event_type") == "view", F.lit(', "user": 7}')).when(F.col("event_type") == "error", "").otherwise("}")
+    value = F.when(F.col("event_type") == "click", F.lit('"many"')).otherwise(F.col("value").cast("string"))
+    line = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "value": '), value, extra)
+    e.select(line.alias("value")).unionByName(e.where("event_id % 10 = 0").select(F.lit(" ").alias("value"))).unionByName(e.where("event_id % 10 = 1").select(F.lit("[1]").alias("value"))).write.text(path)
+    return path
+
+
+_ODD = "event_id bigint, value double"
+
+
+@query("SELECT 'good' AS part, count(*) AS n, sum(event_id) AS ids FROM events WHERE event_type NOT IN ('error', 'click') UNION ALL SELECT 'bad', (SELECT count(*) FROM events WHERE event_type IN ('error', 'click')) + (SELECT count(*) FROM events WHERE event_id % 10 = 1), 0")
+def jsonl_type_errors_events(spark, d):
+    """Lines that parse but don't fit are left out of the rows, of every count of them, and are among the rejects."""
+    path = _odd_lines(spark, d)
+    good = readers.jsonl(spark, path, _ODD, require_rows=True)
+    return good.agg(F.lit("good").alias("part"), F.count("*").alias("n"), F.sum("event_id").alias("ids")).unionByName(readers.malformed(spark, path, _ODD).agg(F.lit("bad").alias("part"), F.count("*").alias("n"), F.lit(0).cast("bigint").alias("ids")))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_type <> 'click' THEN value END AS value, CASE WHEN event_type = 'click' THEN 'value=\"many\"' ELSE '' END AS wrong, CASE WHEN event_type = 'view' THEN 'user=7' ELSE '' END AS unknown, false AS broken FROM events WHERE event_type <> 'error' UNION ALL SELECT NULL, NULL, NULL, NULL, true FROM events WHERE event_type = 'error' UNION ALL SELECT NULL, NULL, NULL, NULL, true FROM events WHERE event_id % 10 = 1")
+def json_records_events(spark, d):
+    """Every line apart: what fits, values of another type, unknown keys, broken lines."""
+    said = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    r = readers.records(spark, _odd_lines(spark, d), _ODD)
+    return r.select(F.col("record.event_id").cast("string").alias("event_id"), "record.value", said("wrong").alias("wrong"), said("unknown").alias("unknown"), "broken")
+
+
+# ---- check texts and nested clauses
+
+_TEXTS = {
+    "missing_count(o_totalprice) = 0": "count(*) - count(o_totalprice)",
+    "duplicate_count(o_custkey) = 0": "count(o_custkey) - count(DISTINCT o_custkey)",
+    "max(o_totalprice) <= 300000": "count(*) FILTER (WHERE o_totalprice > 300000)",
+    "min(o_totalprice) > 1000 where o_orderstatus = 'P'": "count(*) FILTER (WHERE o_totalprice <= 1000 AND o_orderstatus = 'P')",
+    "row_count >= 1": "0",
+    "avg(o_totalprice) between 1 and 2": "0",
+    "max_length(o_orderpriority) <= 8": "count(*) FILTER (WHERE length(o_orderpriority) > 8)",
+    "distinct_count(o_orderstatus) = 3": "0",
+    "missing_percent(o_orderdate) < 1": "count(*) - count(o_orderdate)",
+}
+_MEASURED = {
+    "missing_count(o_totalprice) = 0": "count(*) - count(o_totalprice) = 0",
+    "duplicate_count(o_custkey) = 0": "count(o_custkey) = count(DISTINCT o_custkey)",
+    "max(o_totalprice) <= 300000": "max(o_totalprice) <= 300000",
+    "min(o_totalprice) > 1000 where o_orderstatus = 'P'": "min(o_totalprice) FILTER (WHERE o_orderstatus = 'P') > 1000",
+    "row_count >= 1": "count(*) >= 1",
+    "avg(o_totalprice) between 1 and 2": "avg(o_totalprice) BETWEEN 1 AND 2",
+    "max_length(o_orderpriority) <= 8": "max(length(o_orderpriority)) <= 8",
+    "distinct_count(o_orderstatus) = 3": "count(DISTINCT o_orderstatus) = 3",
+    "missing_percent(o_orderdate) < 1": "100.0 * (count(*) - count(o_orderdate)) / count(*) < 1",
+}
+
+
+def _quoted(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+@query(" UNION ALL ".join(f"SELECT {_quoted(t)} AS check_text, CASE WHEN {_MEASURED[t]} THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN {_MEASURED[t]} THEN 0 ELSE {n} END AS records_failing FROM orders" for t, n in _TEXTS.items()) + " UNION ALL SELECT 'N/A', 'ERROR', 0")
+def check_texts_orders(spark, d):
+    """Check texts run as one scan, and as one more for each metric that needs distinct values; a text on a column that isn't there is an error."""
+    c = {"id": "orders", "quality": {"type": "SodaChecks", "specification": {"checks for orders": [*_TEXTS, "missing_count(o_clerk) = 0"]}}}
+    return texts.check_texts(parquet(spark, d, "orders"), c).select(F.col("expected").alias("check_text"), "status", "records_failing")
+
+
+_INSIDE = {
+    "orders[].status.enum": "SELECT count(*) FROM orders WHERE o_orderstatus = 'P'",
+    "orders[].lines[].price.range": "SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_extendedprice > 50000",
+    "orders[].lines[].part.unique": "SELECT coalesce(sum(c - k), 0) FROM (SELECT o_custkey, count(*) AS c, count(DISTINCT l_partkey) AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey) q",
+    "orders[].lines[].taxes{}.rate.range": "SELECT count(*) FILTER (WHERE l_tax > 0.05) + count(*) FILTER (WHERE l_discount > 0.05) FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
+    "orders[].lines[].ship.flag.pattern": "SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag NOT IN ('A', 'N')",
+    "orders[].lines[].ship.status.required": "SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'F'",
+    "orders[].clerk.exists": "SELECT 0",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS part, CAST(({q}) AS BIGINT) AS records_failing, CASE WHEN '{k}' LIKE '%exists' THEN 'ERROR' WHEN ({q}) > 0 THEN 'FAIL' ELSE 'PASS' END AS status" for k, q in _INSIDE.items()))
+def nested_customers(spark, d):
+    """Customers with their orders with their lines, each with taxes by kind: clauses three levels down and in a map, without exploding anything."""
+    line = F.struct(
+        F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("price"), F.struct(F.col("l_returnflag").alias("flag"), F.when(F.col("l_linestatus") != "F", F.col("l_linestatus")).alias("status")).alias("ship"),
+        F.create_map(F.lit("tax"), F.struct(F.col("l_tax").alias("rate")), F.lit("discount"), F.struct(F.col("l_discount").alias("rate"))).alias("taxes"),
+    )
+    lines = parquet(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))
+    o = parquet(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(lines, "o_orderkey", "left")
+    customers = o.groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderstatus").alias("status"), "lines")).alias("orders"))
+    number = lambda **k: {"type": "number"} | k
+    inner = {
+        "part": {"type": "integer", "unique": True}, "price": number(maximum=50000), "ship": {"type": "object", "properties": {"flag": {"type": "string", "pattern": "^[AN]$"}, "status": {"type": "string", "required": True}}},
+        "taxes": {"type": "object", "additionalProperties": {"type": "object", "properties": {"rate": number(minimum=0, maximum=0.05)}}},
+    }
+    order = {"status": {"type": "string", "enum": ["F", "O"]}, "lines": {"type": "array", "items": inner}, "clerk": {"type": "string", "required": True}}
+    found = nested.nested_checks(customers, _contract("customers", orders={"type": "array", "items": order}))
+    return found.select(F.regexp_replace("check_id", "^customers\\.", "").alias("part"), "records_failing", "status")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.functions.storage import cut
-from clausewright.operators import checks
+from clausewright.operators import checks, nested, texts
 from clausewright.operators.drift import BASELINES, LEAST, advance, drift, moments_parts
 from clausewright.sources.readers import with_row_order
 
@@ -27,11 +27,12 @@ def fused_parts(df: DataFrame, contract: dict) -> list[tuple[Column, Column]]:
     return out
 
 
-def validate(df: DataFrame, contract: dict, mode: str = "ENFORCE", baselines: DataFrame | None = None, strict: bool = False, freeze: bool = False) -> tuple[DataFrame, DataFrame]:
+def validate(df: DataFrame, contract: dict, mode: str = "ENFORCE", baselines: DataFrame | None = None, strict: bool = False, freeze: bool = False, quality: bool = False) -> tuple[DataFrame, DataFrame]:
     """RESULT rows of every check in the given mode, and the baselines after the run.
 
     Clauses, checks inside a record and moments are one aggregation over one scan, whose one row is checkpointed. Besides, there are
-    plans for unique columns beyond three, for sequences, which need the order of the file, and for the items of arrays if strict."""
+    plans for unique columns, for sequences, which need the order of the file, for what is inside nested columns if strict, and for
+    the contract's check texts if quality."""
     before = baselines if baselines is not None else df.sparkSession.createDataFrame([], BASELINES)
     clause_aggs, clause_rows, apart = checks.table_parts(df.schema, contract)
     inside = fused_parts(df, contract)
@@ -43,7 +44,9 @@ def validate(df: DataFrame, contract: dict, mode: str = "ENFORCE", baselines: Da
     if {"aggregate_id", "sequence_number", "occurred_at", "recorded_at"} <= set(df.columns):
         parts.append(checks.monotonic(with_row_order(df), contract["id"], ["row_order"]))
     if strict:
-        parts.append(checks.strict_nested(df, contract))
+        parts.append(nested.nested_checks(df, contract))
+    if quality:
+        parts.append(texts.check_texts(df, contract))
     return checks.enforce(reduce(DataFrame.unionByName, parts), mode), advance(now, before, freeze)
 
 

@@ -11,6 +11,9 @@ import yaml
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from clausewright.sources import log
 
 # Schemas of the contract-domain datasets.
 SCHEMAS: dict[str, str] = {
@@ -38,24 +41,63 @@ def parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def jsonl(spark: SparkSession, path: str, schema: str | None = None, missing_ok: bool = False, require_rows: bool = False) -> DataFrame:
-    """One JSON object a line; blank and malformed lines are left out. missing_ok: no file is an empty table, which needs a schema."""
-    reader = spark.read.option("mode", "DROPMALFORMED")
+_CORRUPT, _LINE = "_corrupt_record", "_line"
+
+
+def _lines(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
+    """The fields of every line that isn't blank, the line, and what of it doesn't fit the schema, or null.
+
+    The whole schema is parsed whatever columns are asked for later, so that all questions are answered over the same lines."""
+    kind = T.StructType(list((T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields)).add(_CORRUPT, "string")
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S")).withColumnRenamed("value", _LINE)
+    # A generator, so that a filter on what it makes doesn't parse the line once more.
+    parsed = lines.select(_LINE, F.inline(F.array(F.from_json(_LINE, kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))))
+    # A line of another kind than an object parses to nulls.
+    return parsed.withColumn(_CORRUPT, F.when(F.col(_LINE).rlike(r"^\s*\{"), F.col(_CORRUPT)).otherwise(F.col(_LINE)))
+
+
+def jsonl(spark: SparkSession, path: str | list[str], schema: str | None = None, missing_ok: bool = False, require_rows: bool = False) -> DataFrame:
+    """One JSON object a line; blank lines, and those that don't parse or don't fit the schema, are left out: malformed() has them.
+
+    Without a schema that of all lines is inferred. missing_ok: no file is an empty table, which needs a schema. require_rows raises
+    if no line is left."""
     try:
-        df = (reader.schema(schema) if schema else reader).json(path)
+        known = schema or T.StructType([f for f in spark.read.json(path).schema.fields if f.name != _CORRUPT])
+        df = _lines(spark, path, known).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT, _LINE)
     except AnalysisException:
         if not (missing_ok and schema):
             raise
         return spark.createDataFrame([], schema)
-    if require_rows and not df.limit(1).count():
+    if require_rows and df.isEmpty():
         raise ValueError(f"no records in {path}")
     return df
 
 
 def malformed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """line: the lines that jsonl() leaves out, but for blank ones."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.where(F.try_parse_json("value").isNull() | F.from_json("value", schema).isNull()).withColumnRenamed("value", "line")
+    return _lines(spark, path, schema).where(F.col(_CORRUPT).isNotNull()).select(F.col(_LINE).alias("line"))
+
+
+def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """line, record, wrong, unknown, broken: every line that isn't blank, and what fits of it and what doesn't, apart.
+
+    record has the fields of the schema, null where there is none or none that can be cast. wrong maps the fields whose value can't
+    be cast, unknown those that the schema doesn't have, to their JSON. broken is true for lines that aren't an object at all, one
+    with a key twice among them; record is null then. The lines are parsed once, as variants."""
+    kind = T.StructType.fromDDL(schema)
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S")).withColumnRenamed("value", "line")
+    parsed = lines.select("line", F.explode(F.array(F.expr("try_variant_get(try_parse_json(line), '$', 'map<string, variant>')"))).alias("m"))
+    value = lambda f: F.try_element_at("m", F.lit(f.name))
+    cast = lambda f: F.try_variant_get(value(f), "$", f.dataType.simpleString())
+    there = F.col("m").isNotNull()
+    text = lambda v: F.coalesce(F.to_json(v), F.lit("null"))
+    names = F.array(*[F.lit(f.name) for f in kind])
+    wrong = [F.when(value(f).isNotNull() & ~F.is_variant_null(value(f)) & cast(f).isNull(), F.struct(F.lit(f.name).alias("k"), text(value(f)).alias("v"))) for f in kind]
+    unknown = F.map_filter("m", lambda k, v: ~F.array_contains(names, k))
+    return parsed.select(
+        "line", F.when(there, F.struct(*[cast(f).alias(f.name) for f in kind])).alias("record"), F.when(there, F.map_from_entries(F.filter(F.array(*wrong), lambda x: x.isNotNull()))).alias("wrong"),
+        F.when(there, F.transform_values(unknown, lambda k, v: text(v))).alias("unknown"), F.col("m").isNull().alias("broken"),
+    )
 
 
 def with_row_order(df: DataFrame, name: str = "row_order") -> DataFrame:
@@ -140,10 +182,21 @@ def latest_report(folder: str) -> str | None:
     return str(found[-1]) if found else None
 
 
+VIOLATION = (
+    "violation_id string, check_id string, contract_id string, column_name string, check_type string, severity string, status string, message string, records_failing bigint, detected_at string, "
+    "blame_chain array<struct<rank:int,file_path:string,commit_hash:string,author:string,commit_timestamp:string,commit_message:string,confidence_score:double>>, "
+    "blast_radius struct<affected_nodes:array<string>,affected_pipelines:array<string>,estimated_records:bigint,blast_radius_source:string>"
+)
+
+
+def logged(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of an append-only log of JSON lines, in the order of log_pos; no log is an empty one."""
+    return log.read(spark, path, schema, jsonl)
+
+
 def violation_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log with the place of each line as log_pos."""
-    schema = "violation_id string, check_id string, contract_id string, column_name string, check_type string, severity string, status string, message string, records_failing bigint, detected_at string"
-    return jsonl(spark, path, schema, missing_ok=True).withColumn("log_pos", F.monotonically_increasing_id())
+    """The log of violations with the place of each as log_pos."""
+    return logged(spark, path, VIOLATION)
 
 
 def document(path: str) -> dict:
@@ -153,8 +206,8 @@ def document(path: str) -> dict:
 
 def rate_history(spark: SparkSession, path: str, contract_id: str) -> list[float]:
     """Violation rates of former runs of one contract, oldest first."""
-    rows = jsonl(spark, path, "run_date string, contract_id string, violation_rate double", missing_ok=True).where(F.col("contract_id") == contract_id)
-    return [r[0] for r in rows.orderBy("run_date").select("violation_rate").collect()]
+    rows = logged(spark, path, "run_date string, contract_id string, violation_rate double").where(F.col("contract_id") == contract_id)
+    return [r[0] for r in rows.orderBy("run_date", "log_pos").select("violation_rate").collect()]
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

@@ -7,9 +7,12 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from clausewright.functions.storage import cut
 from clausewright.operators.report import markdown
+from clausewright.sources import log
 from clausewright.sources.readers import jsonl
 
 
@@ -45,19 +48,32 @@ def merged_baselines(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new, ["contract_id", "column"], "left_anti").unionByName(new.select(*old.columns))
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
-
-
-def append_once(rows: DataFrame, path: str, key: str = "check_id") -> int:
-    """Appends the rows whose key the log doesn't have, and returns their number."""
-    logged = jsonl(rows.sparkSession, path, f"{key} string", missing_ok=True).select(key).distinct()
-    fresh = rows.dropDuplicates([key]).join(logged, key, "left_anti").cache()
-    n = fresh.count()
-    if n:
-        append_log(fresh, path)
-    fresh.unpersist()
-    return n
+def append_log(rows: DataFrame, path: str, order: list[Column | str] | None = None) -> int:
+    """Appends to a log, as one commit: all rows or none."""
+    return log.append(rows, path, order)
+
+
+def append_once(rows: DataFrame, path: str, key: str = "check_id", order: list[Column | str] | None = None) -> int:
+    """Appends the rows whose key the log doesn't have, and returns their number.
+
+    A null key is a key like any other. Of rows with one key the first in that order goes, or else the one whose JSON is the least. If
+    another writer commits meanwhile, the rows are compared with the log anew."""
+    spark = rows.sparkSession
+    kind = rows.schema[key].dataType.simpleString()
+    by = F.struct(*order) if order else F.to_json(F.struct(*rows.columns))
+    first = rows.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*rows.columns), by).alias("_r")).select("_r.*")
+    while True:
+        last = max(log.commits(spark, path), default=0)
+        known = log.read(spark, path, f"{key} {kind}", jsonl, upto=last).select(F.col(key).alias("_k")).distinct()
+        # Written with the lineage cut, so that what is counted is what is appended.
+        fresh = cut(first.join(known, F.col(key).eqNullSafe(F.col("_k")), "left_anti"))
+        n = fresh.count()
+        try:
+            if n:
+                log.append(fresh, path, order, after=last)
+            return n
+        except log.Conflict:
+            continue
 
 
 def centroid(rows: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright.operators import ai, attribute, checks, contract, drift, evolve, lineage, profile, report
+from clausewright.operators import ai, attribute, checks, contract, drift, evolve, lineage, nested, profile, report
 from clausewright.plans import phases
 from clausewright.sources import readers, sinks
 
@@ -170,7 +170,7 @@ def test_depth_pipelines_and_blame_of_model_checks(spark):
     got = attribute.ai_blame(commits, F.lit("2025-01-31 00:00:00").cast("timestamp")).orderBy("rank").collect()
     assert [(r.commit_hash, r.confidence_score) for r in got] == [("h3", 0.5), ("h1", 0.9)]
     m = one(attribute.mitigation(F.lit("range")))
-    assert len(m.steps) == 4 and one(attribute.mitigation(F.lit("odd"))).guidance == attribute.MITIGATION["default"][0]
+    assert len(m.steps) == 3 and one(attribute.mitigation(F.lit("odd"))).guidance == attribute.MITIGATION["default"][0]
 
 
 def test_profile_of_many_strings_and_light(spark):
@@ -350,7 +350,7 @@ def test_sources_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("k1", 1), ("k1", 2), ("k2", 3)], "check_id string, n int")
     assert sinks.append_once(rows, log) == 2 and sinks.append_once(rows, log) == 0
     sinks.append_log(rows, log)
-    assert readers.jsonl(spark, log, "check_id string, n int").count() == 5
+    assert readers.logged(spark, log, "check_id string, n int").count() == 5
     (tmp_path / "x.bin").write_bytes(b"abc")
     assert readers.digests(spark, str(tmp_path / "x.bin")).first().sha256 == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
     assert readers.jsonl(spark, str(tmp_path / "none"), "a int", missing_ok=True).count() == 0
@@ -378,5 +378,5 @@ def test_stream(spark, tmp_path):
 
 def test_strict_nested(extractions):
     c = contract.build_contract(extractions(), "w", "extractions")
-    bad = statuses(checks.strict_nested(checks.inject_scale_fault(extractions()), c))
+    bad = statuses(nested.nested_checks(checks.inject_scale_fault(extractions()), c))
     assert bad["w.extracted_facts[].confidence.range"] == "FAIL" and bad["w.entities[].type.enum"] == "PASS"
