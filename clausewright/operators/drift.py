@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,18 @@ def drift(current: DataFrame, baselines: DataFrame) -> DataFrame:
     )
 
 
+def successive(runs: DataFrame, order: str = "run") -> DataFrame:
+    """contract_id, column, order, deviation, status of the runs whose mean has moved from the baseline in force: the run before, of those with at least LEAST values, unless an earlier one was constant, which stays the baseline for good.
+
+    runs: contract_id, column, order, mean, stddev, n."""
+    by = Window.partitionBy("contract_id", "column").orderBy(order)
+    fit = runs.where((F.col("n") >= LEAST) & F.col("mean").isNotNull())
+    constant = F.max((F.coalesce("stddev", F.lit(0.0)) == 0).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    met = fit.select("*", F.lag("mean").over(by).alias("b_mean"), F.lag("stddev").over(by).alias("b_std"), constant.alias("stuck")).where("stuck = 0")
+    dev = F.abs(F.col("mean") - F.col("b_mean")) / F.col("b_std")
+    return met.withColumn("deviation", dev).where(F.col("deviation") > WARN_FROM).select("contract_id", "column", order, "deviation", F.when(F.col("deviation") > FAIL_FROM, "FAIL").otherwise("WARN").alias("status"))
+
+
 def advance(current: DataFrame, baselines: DataFrame, freeze: bool = False) -> DataFrame:
     """The baselines after a run: current moments replace those there were, but for constant ones, which stay; new columns are added. freeze keeps all there were."""
     c, b = current.alias("c"), baselines.select("contract_id", "column", "mean", "stddev", "n").alias("b")

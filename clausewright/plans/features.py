@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausewright.operators import nested, report, texts
+from clausewright.operators import drift, nested, report, texts
 from clausewright.plans.catalogue import _contract
 from clausewright.plans.registry import query, scratch
 from clausewright.sources import readers, sinks
 from clausewright.sources.readers import parquet
+from clausewright.streaming import stateful
 
 # ---- logs and lines
 
@@ -61,7 +62,7 @@ def _odd_lines(spark, d) -> str:
 _ODD = "event_id bigint, value double"
 
 
-@query("SELECT 'good' AS part, count(*) AS n, sum(event_id) AS ids FROM events WHERE event_type NOT IN ('error', 'click') UNION ALL SELECT 'bad', (SELECT count(*) FROM events WHERE event_type IN ('error', 'click')) + (SELECT count(*) FROM events WHERE event_id % 10 = 1), 0")
+@query("SELECT 'good' AS part, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_type NOT IN ('error', 'click') UNION ALL SELECT 'bad', (SELECT count(*) FROM events WHERE event_type IN ('error', 'click')) + (SELECT count(*) FROM events WHERE event_id % 10 = 1), 0")
 def jsonl_type_errors_events(spark, d):
     """Lines that parse but don't fit are left out of the rows, of every count of them, and are among the rejects."""
     path = _odd_lines(spark, d)
@@ -143,3 +144,54 @@ def nested_customers(spark, d):
     order = {"status": {"type": "string", "enum": ["F", "O"]}, "lines": {"type": "array", "items": inner}, "clerk": {"type": "string", "required": True}}
     found = nested.nested_checks(customers, _contract("customers", orders={"type": "array", "items": order}))
     return found.select(F.regexp_replace("check_id", "^customers\\.", "").alias("part"), "records_failing", "status")
+
+
+# ---- streams
+
+
+def _streamed(spark, rows, order: str, make, parts: int = 5):
+    """make(stream) of a table that comes as files, one a micro-batch, in ranges of a column."""
+    path = scratch(spark)
+    cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]))).first()[0]
+    part = sum(((F.col(order) > x).cast("int") for x in cuts), F.lit(0))
+    for i in range(parts):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    with stateful.with_store(spark):
+        q = make(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("SELECT user_id, event_id, value, before FROM (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) q WHERE value <= before")
+def stream_sequences_events(spark, d):
+    """Values that don't exceed their user's last, over a stream in five micro-batches."""
+    e = parquet(spark, d, "events").select("user_id", "event_id", "value")
+    return _streamed(spark, e, "event_id", lambda s: stateful.sequences(s, "user_id", "value", "event_id"))
+
+
+_RUNS = "SELECT event_type AS c, CAST(CAST(ts AS DATE) AS VARCHAR) AS run, avg(value * (1 + day(ts) % 3 * 2)) AS mean, stddev_samp(value * (1 + day(ts) % 3 * 2)) / 5 AS stddev, count(value) AS n FROM events GROUP BY 1, 2"
+
+
+def _daily_runs(spark, d):
+    """Moments of each type of event by day, on a scale that changes from day to day."""
+    scaled = F.col("value") * (1 + F.day("ts") % 3 * 2)
+    e = parquet(spark, d, "events").groupBy(F.lit("events").alias("contract_id"), F.col("event_type").alias("column"), F.to_date("ts").cast("string").alias("run"))
+    return e.agg(F.avg(scaled).alias("mean"), (F.stddev_samp(scaled) / 5).alias("stddev"), F.count("value").alias("n"))
+
+
+_DRIFTS = f"SELECT c AS column_name, run, round(dev, 6) AS deviation, CASE WHEN dev > 3 THEN 'FAIL' ELSE 'WARN' END AS status FROM (SELECT c, run, abs(mean - lag(mean) OVER w) / lag(stddev) OVER w AS dev FROM ({_RUNS}) r WHERE n >= 5 WINDOW w AS (PARTITION BY c ORDER BY run)) q WHERE dev > 2"
+
+
+@query(_DRIFTS)
+def stream_drifts_events(spark, d):
+    """Days whose mean has moved from the day before, as a stream of runs."""
+    runs = _daily_runs(spark, d).withColumn("at", F.unix_timestamp(F.to_date("run")))
+    out = _streamed(spark, runs, "at", lambda s: stateful.drifts(s))
+    return out.select(F.col("column").alias("column_name"), "run", F.round("deviation", 6).alias("deviation"), "status")
+
+
+@query(_DRIFTS)
+def drifts_in_runs_events(spark, d):
+    found = drift.successive(_daily_runs(spark, d))
+    return found.select(F.col("column").alias("column_name"), "run", F.round("deviation", 6).alias("deviation"), "status")
