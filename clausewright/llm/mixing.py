@@ -34,6 +34,8 @@ GROUP = 4096
 FAN = 1024
 #: Documents of each group kept for the next level or the landing, besides the two that a flight leaves.
 RESERVE = 12
+#: Equal rows that one task numbers or repeats.
+CHUNK = 4096
 #: Share of a source's target by which the words of the ways to choose from may miss the sum due.
 SLACK = 0.0005
 SEED = 7
@@ -162,13 +164,25 @@ def _fly(units: DataFrame, group: Column, level: int, last: bool) -> DataFrame:
     return units.withColumn("g", group.cast("long")).groupBy("source", "g").applyInArrow(run, units.schema)
 
 
+def repeated(rows: DataFrame, times: Column, number: str) -> DataFrame:
+    """Each row as often as it says, numbered from 0. A row that comes more than CHUNK times is dealt to tasks in chunks, so no task or array holds all of one row's repeats."""
+    counted = rows.withColumn("_times", times.cast("long")).where("_times > 0")
+    few = counted.where(F.col("_times") <= CHUNK).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
+    chunks = counted.where(F.col("_times") > CHUNK).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / CHUNK))))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(n, "_chunk").withColumn(number, F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least(F.col("_times"), (F.col("_chunk") + 1) * CHUNK) - 1)))
+    return few.drop("_times").unionByName(dealt.drop("_times", "_chunk"))
+
+
 def mix(sizes: DataFrame, keys: tuple[str, ...] = ("doc_id",), weights: tuple[float, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
     """The columns `keys`, then source, size, source_size, target, copies and taken, for each row of sizes (keys, source, size).
 
     Rows are units: repeated rows are drawn one by one, null keys and sources are like any other, a null size is 0, documents of no words are
     never taken, an empty table gives an empty one. Other columns are left out, so their names can't clash; keys may be of any
-    type and come back as they were. The draw depends on keys, sources and sizes alone, not on the order of rows or partitions."""
+    type that can be grouped and come back as they were. The draw depends on keys, sources and sizes alone, not on the order of rows
+    or partitions. Rows that are equal in all three are counted and then numbered, so they are spread over as many flights as others."""
     sizes = sizes.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("key"), "source", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
+    sizes = staged(repeated(sizes.groupBy("key", "source", "size").agg(F.count("*").alias("n")), F.col("n"), "i").drop("n"), "numbered")
     targets = staged(source_targets(sizes, weights, most, share), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = (
@@ -177,9 +191,9 @@ def mix(sizes: DataFrame, keys: tuple[str, ...] = ("doc_id",), weights: tuple[fl
         .withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
         .withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("long"))
         .withColumn("chance", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
-        .withColumn("order", F.xxhash64("key", "size"))
+        .withColumn("order", F.when(F.col("i") == 0, F.xxhash64("key", "size")).otherwise(F.xxhash64("key", "size", "i")))
         .withColumn("bucket", F.pmod(F.col("order"), F.ceil(F.col("n_docs") / GROUP)))
-        .drop("rate")
+        .drop("rate", "i")
     )
     most_docs = targets.agg(F.max("n_docs")).first()[0] or 0
     levels = 1 + (0 if most_docs <= GROUP else math.ceil(math.log(math.ceil(most_docs / GROUP), FAN)))
@@ -200,6 +214,7 @@ def mix(sizes: DataFrame, keys: tuple[str, ...] = ("doc_id",), weights: tuple[fl
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, as mix() says with its defaults."""
     docs = read(spark, sf_dir, "documents")
     sizes = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     return mix(sizes).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -212,11 +227,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     drawn one by one and come out as often as the draw says in all. Texts are shuffled once, when the decisions meet them."""
     columns = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), row_key(docs).alias("k"), F.col("source"), F.col("text"))
-    sizes = keyed.select("k", "source", n_words(F.col("text")).alias("size")).groupBy("k", "source", "size").agg(F.count("*").alias("n"))
-    units = staged(sizes.select("k", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")), "sizes")
-    drawn = staged(mix(units, ("k", "i")).groupBy("k").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "drawn")
+    drawn = mix(staged(keyed.select("k", "source", n_words(F.col("text")).alias("size")), "sizes"), ("k",))
+    drawn = staged(drawn.groupBy("k").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "drawn")
     whole = keyed.select("row", "k")
     once = whole.join(drawn.where("rows = 1").hint("shuffle_hash"), "k")
     alike = whole.join(drawn.where("rows > 1").hint("shuffle_hash"), "k").groupBy("k").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
-    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return once.select("row", "copies").unionByName(alike.select("row", "copies")).select("row", again.alias("copy")).select("row.*")
+    return repeated(once.select("row", "copies").unionByName(alike.select("row", "copies")), F.col("copies"), "copy").select("row.*")

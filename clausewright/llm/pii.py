@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +16,16 @@ from pyspark.sql import functions as F
 from clausewright.llm.common import read
 
 #: The first four are base kinds: their spans are kept whatever their score. The others need MIN_SCORE.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret", "passport", "birth", "account")
 BASE_KINDS = KINDS[:4]
 MIN_SCORE = 0.6
+#: Kinds that are looked for only where no other span is.
+LOOSE = KINDS[6:]
 #: Characters before and after a span in which a context word counts.
 NEAR = 48
 
 # Score of a well-formed span of a kind, and words that raise it by 0.3.
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn": 0.4}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn": 0.4, "secret": 0.4, "passport": 0.4, "birth": 0.3, "account": 0.3}
 CONTEXT = {
     "email": r"e-?mail|contact|write|@",
     "ip": r"\bip\b|address|host|server|login",
@@ -30,6 +33,10 @@ CONTEXT = {
     "phone": r"phone|tel\b|tel\.|call|mobile|fax|telefon|téléphone|teléfono",
     "iban": r"iban|account|bank|konto|compte|cuenta",
     "ssn": r"\bssn\b|social security",
+    "secret": r"token|secret|passw|credential|bearer|(?:api|access|private|auth)[ _-]?key",
+    "passport": r"passport|passeport|reisepass|pasaporte",
+    "birth": r"\bborn\b|birth|\bdob\b|geboren|nacid|\bnée?\b",
+    "account": r"account|\bacct\b|konto|cuenta|routing",
 }
 _CONTEXT = {k: re.compile(v, re.I) for k, v in CONTEXT.items()}
 
@@ -43,7 +50,13 @@ _IBAN_FOUR = re.compile(r"\x20?[A-Z0-9]{4}")
 _IBAN_TAIL = re.compile(r"\x20?[A-Z0-9]{1,3}")
 _EDGE = re.compile(r"\b")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-_DIGIT = re.compile("[0-9]")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}+(?![A-Za-z0-9+/_-])")
+# How keys of well-known services begin.
+_SERVICE = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_|sk-|xox[abpr]-|AIza")
+_PASSPORT = re.compile(r"\b[A-Z]{1,2}[0-9]{6,8}\b")
+_DATE = re.compile(r"\b(?:([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{1,2})[./]([0-9]{1,2})[./]([0-9]{4}))\b")
+_ACCOUNT = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{6,17}(?![0-9A-Za-z]|[.-][0-9])")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _DOUBLED = [sum(divmod(2 * d, 10)) for d in range(10)]
 
@@ -65,6 +78,7 @@ class Span(NamedTuple):
     start: int
     end: int
     score: float
+    context: bool
 
 
 def luhn(digits: str) -> bool:
@@ -165,6 +179,21 @@ def _proposals(text: str):
     if "-" in text:
         for m in _SSN.finditer(text):
             yield "ssn", *m.span(), 0.0
+    for m in _TOKEN.finditer(text):
+        if (known := _SERVICE.match(m[0])) or (_DIGIT.search(m[0]) and _LETTER.search(m[0])):
+            yield "secret", *m.span(), 0.3 if known else 0.0
+    for m in _PASSPORT.finditer(text):
+        yield "passport", *m.span(), 0.0
+    for m in _DATE.finditer(text):
+        if _is_date(m):
+            yield "birth", *m.span(), 0.0
+    for m in _ACCOUNT.finditer(text):
+        yield "account", *m.span(), 0.0
+
+
+def _is_date(m: re.Match) -> bool:
+    year, a, b = map(int, (m[1], m[2], m[3]) if m[1] else (m[6], m[5], m[4]))
+    return 1900 <= year <= 2100 and any(1 <= month <= 12 and 1 <= day <= 31 for month, day in ((a, b), (b, a)))
 
 
 def _only_digits(s: str) -> str:
@@ -172,16 +201,34 @@ def _only_digits(s: str) -> str:
 
 
 def find_spans(text: str) -> list[Span]:
-    """All spans by kind as in KINDS, then start; offsets are code points, ends exclusive."""
-    found = []
+    """All spans by kind as in KINDS, then start; offsets are code points, ends exclusive.
+
+    A span's score is that of its kind, more where a checksum or a known beginning speaks for it, and 0.3 more with a word of the
+    kind's context nearby. Kinds that look like much else, from ssn on, need that word; of them a span that begins within one of
+    another kind is left out."""
+    found: list[Span] = []
     for kind, a, b, more in _proposals(text):
         around = text[max(0, a - NEAR) : a] + " " + text[b : b + NEAR]
-        score = min(1.0, PRIOR[kind] + more + 0.3 * bool(_CONTEXT[kind].search(around)))
-        if kind in BASE_KINDS or score >= MIN_SCORE:
-            found.append(Span(kind, a, b, round(score, 3)))
+        context = bool(_CONTEXT[kind].search(around))
+        score = min(1.0, PRIOR[kind] + more + 0.3 * context)
+        if kind in BASE_KINDS or score >= MIN_SCORE - 1e-9 and not (kind in LOOSE and _within(found, a)):
+            found.append(Span(kind, a, b, round(score, 3), context))
     return sorted(found, key=lambda s: (KINDS.index(s.kind), s.start))
 
 
+def _within(found: list[Span], place: int) -> bool:
+    """Whether a span found before covers the place. Spans of a kind come in order and apart, so the last that starts before it tells."""
+    at = 0
+    while at < len(found):
+        order = KINDS.index(found[at].kind)
+        end = bisect_right(found, order, at, key=lambda s: KINDS.index(s.kind))
+        i = bisect_right(found, place, at, end, key=lambda s: s.start) - 1
+        if i >= at and found[i].end > place:
+            return True
+        at = end
+    return False
+
+
 def redact(text: str, spans: list[Span]) -> str:
     """The text with each span, or run of overlapping spans, replaced by the name of the first one's kind."""
     out, at = [], 0
@@ -193,13 +240,13 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, spans array<struct<kind,start,end,score>> and redacted, one row for each row of docs.
+    """doc_id, spans array<struct<kind,start,end,score,context>> and redacted, one row for each row of docs.
 
     A null or empty text has no spans; its redacted text is null or empty as it was. Null and repeated doc_ids stay."""
     import pyarrow as pa
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("context", pa.bool_())]))
 
     def run(batches):
         for batch in batches:
@@ -208,19 +255,21 @@ def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
             clean = [redact(t, s) if s else t for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[x._asdict() for x in s] for s in spans], struct), pa.array(clean, pa.string())], ["doc_id", "spans", "redacted"])
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>, redacted string")
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double,context:boolean>>, redacted string")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents as pii_spans() finds them; scores tells each span's score and whether a context word stood by, in the same order."""
     found = pii_spans(read(spark, sf_dir, "documents")).select("doc_id", "spans")
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select("doc_id", *[n(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    said = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["score"], s["context"].cast("string"))), ",")
+    return found.select("doc_id", *[n(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), said.alias("scores"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its spans replaced by their kinds and n_chars counted anew."""
+    """Every document, its spans replaced by their kinds and n_chars counted anew; a null text, and its n_chars, stay as they are."""
     import pyarrow as pa
 
     place = docs.columns.index("text")
