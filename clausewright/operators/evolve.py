@@ -67,8 +67,59 @@ def _values(a: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.sort_array(a), ", "), F.lit("]"))
 
 
-def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """CHANGE rows between two CLAUSES tables, ordered by column."""
+#: Share of values in common from which columns may be one, and how far their shares of nulls, and the means of their values' hashes (0 to 1), may be apart.
+COMMON, NULLS_APART, MEANS_APART = 0.5, 0.05, 0.02
+
+
+def value_sketches(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """column, type, theta, nulls, mean, error of each of the columns (name -> contract type), from one aggregation.
+
+    theta keeps the smallest hashes of the values, a few thousand at most, and mean is that of all values' hashes on a scale of 0 to 1:
+    it tells apart columns with the same few values in other shares. error is its standard error."""
+    aggs, rows = [], []
+    for i, (c, kind) in enumerate(columns.items()):
+        text = F.col(f"`{c}`").cast("string")
+        u = F.when(text.isNotNull(), F.pmod(F.xxhash64(text), F.lit(1 << 31)) / float(1 << 31))
+        aggs += [F.theta_sketch_agg(text).alias(f"t{i}"), F.avg(text.isNull().cast("double")).alias(f"n{i}"), F.avg(u).alias(f"m{i}"), (F.stddev_pop(u) / F.sqrt(F.nullif(F.count(u), F.lit(0)))).alias(f"e{i}")]
+        rows.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("type"), F.col(f"t{i}").alias("theta"), F.col(f"n{i}").alias("nulls"), F.col(f"m{i}").alias("mean"), F.col(f"e{i}").alias("error")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def renames(old: DataFrame, new: DataFrame, removed: dict[str, str], added: dict[str, str]) -> list[tuple[str, str]]:
+    """The removed columns of old and added ones of new (name -> contract type) that are one under two names, best first.
+
+    Columns are alike if they have one type, most of their values in common, in like shares, and about as many nulls. Each is matched once,
+    the best pairs first, ties by name. What is compared are sketches, a row for each column."""
+    if not removed or not added:
+        return []
+    side = lambda df, cs, x: value_sketches(df, cs).select("type", *[F.col(c).alias(f"{c}_{x}") for c in ("column", "theta", "nulls", "mean", "error")])
+    size = F.theta_sketch_estimate
+    common = size(F.theta_intersection("theta_a", "theta_b")) / F.nullif(size(F.theta_union("theta_a", "theta_b")), F.lit(0))
+    apart = F.abs(F.col("mean_a") - F.col("mean_b"))
+    noise = 4 * F.sqrt(F.col("error_a") * F.col("error_a") + F.col("error_b") * F.col("error_b"))
+    met = side(old, removed, "a").join(side(new, added, "b"), "type").withColumn("common", common)
+    met = met.where((F.col("common") >= COMMON) & (F.abs(F.col("nulls_a") - F.col("nulls_b")) <= NULLS_APART) & (apart <= MEANS_APART + noise))
+    taken: dict[str, str] = {}
+    for r in sorted(met.select("column_a", "column_b", (F.col("common") - apart).alias("score")).collect(), key=lambda r: (-r["score"], r["column_a"], r["column_b"])):
+        if r["column_a"] not in taken and r["column_b"] not in taken.values():
+            taken[r["column_a"]] = r["column_b"]
+    return list(taken.items())
+
+
+def diff_tables(old: DataFrame, new: DataFrame, old_clauses: DataFrame, new_clauses: DataFrame) -> DataFrame:
+    """CHANGE rows between the CLAUSES of two tables, with columns that the data shows to be renamed as such."""
+    a, b = ({r["column"]: r["type"] for r in c.select("column", "type").collect()} for c in (old_clauses, new_clauses))
+    return diff(old_clauses, new_clauses, renames(old, new, {c: t for c, t in a.items() if c not in b}, {c: t for c, t in b.items() if c not in a}))
+
+
+def diff(old: DataFrame, new: DataFrame, renamed: list[tuple[str, str]] = ()) -> DataFrame:
+    """CHANGE rows between two CLAUSES tables, ordered by column. A renamed column (old name, new name) is a change of its own, and is compared under its new name; else it is one removed and one added."""
+    if renamed:
+        names = F.create_map(*[F.lit(x) for pair in renamed for x in pair])
+        moved = old.sparkSession.createDataFrame([("rename_column", a, a, b) for a, b in renamed], "change_type string, column string, old_value string, new_value string")
+        moved = moved.join(F.broadcast(taxonomy(old.sparkSession)), "change_type").select("change_type", "column", "old_value", "new_value", "backward_compatible", "required_action", "risk_level")
+        same = old.withColumn("column", F.coalesce(F.try_element_at(names, F.col("column")), "column"))
+        return moved.unionByName(diff(same, new)).orderBy("column", "change_type")
     o, n = old.alias("o"), new.alias("n")
     met = o.join(n, F.col("o.column") == F.col("n.column"), "full_outer")
     both = F.col("o.column").isNotNull() & F.col("n.column").isNotNull()

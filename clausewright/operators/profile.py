@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clausewright.functions.expressions import FORMATS, col, digest, is_integral, is_nested, is_numeric, missing, numeric
+from clausewright.operators.quantiles import exact_quantiles
 
 PROFILE = (
     "column string, dtype string, total bigint, non_null bigint, null_fraction double, min double, max double, mean double, stddev double, "
     "p25 double, p50 double, p75 double, p95 double, p99 double, cardinality bigint, keys array<string>, warning string"
 )
 
+POINTS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+
 #: Share of a column's strings that must match a format.
 FORMAT_SHARE = 0.8
 
@@ -58,9 +61,10 @@ def _warning(name: str, lo: Column, hi: Column, mean: Column) -> Column:
 def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True, light: bool = False) -> DataFrame:
     """PROFILE rows of the columns, from one pass; beyond one string column, exact distinct counts are a plan for each, which reads that column alone, as one aggregation would repeat every row for every such column.
 
-    exact=False takes approximate quantiles and distinct counts, whose memory doesn't grow with the values. light leaves out deviations, quantiles and distinct counts, which clauses without formats and enums don't need."""
+    Exact quantiles are worked out when this is called, by a few scans that count (quantiles.exact_quantiles), so no task buffers a
+    column's values. exact=False takes approximate quantiles and distinct counts, from the one pass. light leaves out deviations, quantiles and distinct counts, which clauses without formats and enums don't need."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    points = F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.95, 0.99)])
+    quantiles = exact_quantiles(df, [f.name for f in fields if kind_of(f.dataType)[0] in ("integer", "float")], list(POINTS.values())) if exact and not light else {}
     aggs: list[Column] = [F.count(F.lit(1)).alias("total")]
     strings = [f.name for f in fields if kind_of(f.dataType)[0] == "string"]
     apart = strings if exact and len(strings) > 1 and not light else []
@@ -74,12 +78,13 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
         cardinality = null("bigint")
         if dtype in ("integer", "float"):
             x = numeric(c, f.dataType)
-            quantile = F.percentile(x, points) if exact else F.percentile_approx(x, points, F.lit(10_000))
-            for name, a in (("min", F.min(x)), ("max", F.max(x)), ("mean", F.avg(x)), *([] if light else [("stddev", F.stddev_samp(x)), ("q", quantile)])):
+            for name, a in (("min", F.min(x)), ("max", F.max(x)), ("mean", F.avg(x)), *([] if light else [("stddev", F.stddev_samp(x))])):
                 aggs.append(a.alias(tag + name))
+            if not light and not exact:
+                aggs.append(F.percentile_approx(x, F.array(*map(F.lit, POINTS.values())), F.lit(10_000)).alias(tag + "q"))
             measured |= {m: F.col(tag + m) for m in ("min", "max", "mean")}
             if not light:
-                measured |= {"stddev": F.col(tag + "stddev")} | {p: F.get(F.col(tag + "q"), F.lit(k)) for k, p in enumerate(("p25", "p50", "p75", "p95", "p99"))}
+                measured |= {"stddev": F.col(tag + "stddev")} | {p: F.lit(quantiles[f.name][k]) if exact else F.get(F.col(tag + "q"), F.lit(k)) for k, p in enumerate(POINTS)}
         elif dtype == "string" and not light and f.name not in apart:
             aggs.append(_distinct(f, exact).alias(tag + "d"))
             cardinality = F.col(tag + "d")

@@ -35,6 +35,17 @@ def health_score(reports: DataFrame, violations: DataFrame) -> DataFrame:
     return s.select("score", F.when(F.col("score") >= 90, "Healthy: contracts hold.").when(F.col("score") < 60, "Poor: act on the violations now.").otherwise("Fair: some contracts need attention.").alias("narrative"))
 
 
+def cube(results: DataFrame, by: list[str], status: str = "status", severity: str = "severity") -> DataFrame:
+    """by, level, checks, passed, failed, score: check results summed up at every level of the columns `by` at once, with the score of each, penalties for its own failures.
+
+    level has a bit for each column that is summed over, the first column's the highest (grouping_id); such a column is null. One
+    aggregation, combined before the exchange."""
+    bad = F.col(status) == "FAIL"
+    counts = [F.count("*").alias("checks"), F.count_if(F.col(status) == "PASS").alias("passed"), F.count_if(bad).alias("failed"), *[F.count_if(bad & (F.col(severity) == s)).alias(f"_{s}") for s in PENALTY]]
+    summed = results.cube(*by).agg(F.grouping_id().alias("level"), *counts)
+    return summed.select(*by, "level", "checks", "passed", "failed", score(F.col("passed"), F.col("checks"), F.col("_CRITICAL"), F.col("_HIGH")).alias("score"))
+
+
 def top_by_rank(df: DataFrame, rank: Column, order: list[str | Column], n: int = 3) -> DataFrame:
     return df.orderBy(rank, *order).limit(n)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausewright.operators import drift, nested, report, texts
+from clausewright.operators import contract, drift, evolve, nested, profile, quantiles, report, sketches, temporal, texts
 from clausewright.plans.catalogue import _contract
 from clausewright.plans.registry import query, scratch
 from clausewright.sources import readers, sinks
@@ -195,3 +195,101 @@ def stream_drifts_events(spark, d):
 def drifts_in_runs_events(spark, d):
     found = drift.successive(_daily_runs(spark, d))
     return found.select(F.col("column").alias("column_name"), "run", F.round("deviation", 6).alias("deviation"), "status")
+
+
+# ---- renames
+
+
+def _pair_sql(old: str, new: str, a: str, b: str, type_: str) -> str:
+    """A pair of columns that have at least half of their values in common, in shares that differ little."""
+    return f"""SELECT '{old}' AS column_name, '{new}' AS new_value FROM (SELECT count(*) FILTER (WHERE p.v IS NOT NULL AND q.v IS NOT NULL) * 1.0 / count(*) AS common, sum(abs(coalesce(p.s, 0) - coalesce(q.s, 0))) / 2 AS apart
+FROM (SELECT v, count(*) * 1.0 / sum(count(*)) OVER () AS s FROM (SELECT CAST({a} AS VARCHAR) AS v FROM orders) x GROUP BY v) p FULL OUTER JOIN (SELECT v, count(*) * 1.0 / sum(count(*)) OVER () AS s FROM (SELECT CAST({b} AS VARCHAR) AS v FROM orders WHERE o_orderkey % 5 <> 0) x GROUP BY v) q ON p.v = q.v) m WHERE common >= 0.5 AND apart < 0.3"""
+
+
+_URGENCY = "CASE WHEN o_orderkey % 9 = 0 THEN '1-URGENT' WHEN o_orderkey % 9 = 1 THEN '2-HIGH' WHEN o_orderkey % 9 = 2 THEN '3-MEDIUM' WHEN o_orderkey % 9 = 3 THEN '4-NOT SPECIFIED' ELSE '5-LOW' END"
+_PAIRS = [("o_totalprice", "price", "o_totalprice", "o_totalprice", "number"), ("o_custkey", "agent", "o_custkey", "o_custkey + 1000000", "integer"), ("o_orderpriority", "urgency", "o_orderpriority", _URGENCY, "string"), ("o_orderpriority", "state", "o_orderpriority", "o_orderstatus", "string"), ("o_orderstatus", "urgency", "o_orderstatus", _URGENCY, "string"), ("o_orderstatus", "state", "o_orderstatus", "o_orderstatus", "string")]
+
+
+@query(" UNION ALL ".join(_pair_sql(*p) for p in _PAIRS))
+def schema_renames_orders(spark, d):
+    """Four columns are gone and four came: two are old ones under new names, two look alike but have other values, or the same in other shares."""
+    o = parquet(spark, d, "orders")
+    old = o.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    new = o.where("o_orderkey % 5 <> 0").select("o_orderkey", (F.col("o_custkey") + 1000000).alias("agent"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("state"), F.expr(_URGENCY).alias("urgency"))
+    of = lambda t: contract.clauses_of(profile.profile(t, light=True))
+    changes = evolve.diff_tables(old, new, of(old), of(new)).where("change_type = 'rename_column'")
+    return changes.select(F.col("column").alias("column_name"), "new_value")
+
+
+# ---- sketches and quantiles
+
+
+@query("SELECT column_name, total, non_null, lo, hi, round(mean, 6) AS mean, round(sd, 6) AS stddev, true AS p50_near, true AS p95_near, true AS distinct_near FROM (SELECT 'l_quantity' AS column_name, count(*) AS total, count(l_quantity) AS non_null, min(l_quantity) AS lo, max(l_quantity) AS hi, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd FROM lineitem UNION ALL SELECT 'l_extendedprice', count(*), count(l_extendedprice), min(l_extendedprice), max(l_extendedprice), avg(l_extendedprice), stddev_samp(l_extendedprice) FROM lineitem) q")
+def merged_profile_lines(spark, d):
+    """A profile merged from parts by return flag, the second run reading only the parts that the first one didn't have; sketches against exact values within their errors."""
+    path = f"{scratch(spark)}/parts"
+    t = parquet(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    sketches.profile_new(t.where("l_returnflag <> 'R'"), "l_returnflag", path)
+    p = sketches.profile_new(t, "l_returnflag", path)
+    rank = (lambda c, v: F.avg((F.col(c) < v).cast("double")), lambda c, v: F.avg((F.col(c) <= v).cast("double")))
+    out = None
+    for r in p.collect():
+        lt50, le50, lt95, le95, n = t.agg(*[f(r["column"], r[q]) for q in ("p50", "p95") for f in rank], F.count_distinct(r["column"])).first()
+        one = spark.range(1).select(
+            F.lit(r["column"]).alias("column_name"), F.lit(r["total"]).alias("total"), F.lit(r["non_null"]).alias("non_null"), F.lit(r["min"]).alias("lo"), F.lit(r["max"]).alias("hi"), F.round(F.lit(r["mean"]), 6).alias("mean"), F.round(F.lit(r["stddev"]), 6).alias("stddev"),
+            F.lit(lt50 - 0.005 <= 0.5 <= le50 + 0.005).alias("p50_near"), F.lit(lt95 - 0.005 <= 0.95 <= le95 + 0.005).alias("p95_near"), F.lit(abs(r["cardinality"] - n) <= 0.08 * n).alias("distinct_near"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, {', '.join(f'quantile_cont(CAST({c} AS DOUBLE), {p}) AS q{i}' for i, p in enumerate((0.001, 0.5, 0.999)))} FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_partkey")))
+def exact_quantiles_lines(spark, d):
+    """Quantiles by counting: a column of few values, each of which repeats, and columns of many."""
+    got = quantiles.exact_quantiles(parquet(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_partkey"], [0.001, 0.5, 0.999])
+    return spark.createDataFrame([(c, *q) for c, q in got.items()], "column_name string, q0 double, q1 double, q2 double")
+
+
+# ---- time
+
+
+@query("SELECT e.event_id AS event_id, e.user_id AS user_id, coalesce(CAST(r.event_id AS VARCHAR), 'none') AS last_click FROM (SELECT * FROM events WHERE event_type <> 'click') e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ALL) r ON e.user_id = r.user_id AND e.ts >= r.ts")
+def as_of_events(spark, d):
+    """Each event with the click in force at its time: the user's last one."""
+    e = parquet(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    met = temporal.as_of(e.where("event_type <> 'click'"), e.where("event_type = 'click'").select("user_id", "ts", "event_id"), ["user_id"], "ts", "ts", "click")
+    return met.select("event_id", "user_id", F.coalesce(F.col("click.event_id").cast("string"), F.lit("none")).alias("last_click"))
+
+
+@query("SELECT a.event_id AS event_id, b.event_id AS commit_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 2 DAY WHERE a.event_type = 'error' AND b.event_type = 'purchase'")
+def commits_before_errors(spark, d):
+    """Purchases as a user's commits, those in the two days before each error."""
+    e = parquet(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    met = temporal.within(e.where("event_type = 'error'"), e.where("event_type = 'purchase'"), ["user_id"], "ts", "ts", 2 * 86400)
+    return met.select("event_id", F.col("found.event_id").alias("commit_id"))
+
+
+_BASELINES = "SELECT event_type AS c, date_trunc('day', ts) + INTERVAL 1 DAY AS since, avg(value) AS mean FROM events GROUP BY 1, 2"
+
+
+@query(f"SELECT e.event_id AS event_id, round(coalesce(b.mean, -1), 6) AS baseline FROM events e ASOF LEFT JOIN ({_BASELINES}) b ON e.event_type = b.c AND e.ts >= b.since")
+def baseline_in_force_events(spark, d):
+    """Each event with the baseline in force at its time: its type's mean of the last day that was over. Three types have all rows."""
+    e = parquet(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    b = e.groupBy("event_type", (F.date_trunc("day", "ts") + F.expr("interval 1 day")).alias("since")).agg(F.avg("value").alias("mean"))
+    met = temporal.as_of(e.select("event_id", "event_type", "ts"), b, ["event_type"], "ts", "since", "b")
+    return met.select("event_id", F.round(F.coalesce("b.mean", F.lit(-1.0)), 6).alias("baseline"))
+
+
+# ---- reports at every level
+
+_LEVEL = ("contract_id", "kind", "severity", "day")
+_RESULTS = "SELECT o_orderpriority AS contract_id, CASE WHEN o_custkey % 2 = 0 THEN 'range' ELSE 'enum' END AS kind, CASE WHEN o_orderstatus <> 'P' THEN 'LOW' WHEN o_custkey % 2 = 0 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, strftime(o_orderdate, '%Y') AS day, CASE WHEN o_orderstatus = 'P' THEN 'FAIL' ELSE 'PASS' END AS status FROM orders"
+
+
+@query(f"SELECT coalesce(contract_id, '*') AS contract_id, coalesce(kind, '*') AS kind, coalesce(severity, '*') AS severity, coalesce(day, '*') AS day, CAST(GROUPING(contract_id, kind, severity, day) AS BIGINT) AS level, count(*) AS checks, count(*) FILTER (WHERE status = 'FAIL') AS failed, CAST(greatest(0, least(100, round_even(100.0 * count(*) FILTER (WHERE status = 'PASS') / count(*) - 20 * count(*) FILTER (WHERE status = 'FAIL' AND severity = 'CRITICAL') - 5 * count(*) FILTER (WHERE status = 'FAIL' AND severity = 'HIGH'), 0))) AS BIGINT) AS score FROM ({_RESULTS}) r GROUP BY CUBE (contract_id, kind, severity, day)")
+def report_cube_orders(spark, d):
+    """Orders as check results, summed up at all sixteen levels of contract, kind, severity and year, with the score of each."""
+    bad, even = F.col("o_orderstatus") == "P", F.col("o_custkey") % 2 == 0
+    r = parquet(spark, d, "orders").select(F.col("o_orderpriority").alias("contract_id"), F.when(even, "range").otherwise("enum").alias("kind"), F.when(~bad, "LOW").when(even, "HIGH").otherwise("CRITICAL").alias("severity"), F.date_format("o_orderdate", "yyyy").alias("day"), F.when(bad, "FAIL").otherwise("PASS").alias("status"))
+    return report.cube(r, list(_LEVEL)).select(*[F.coalesce(c, F.lit("*")).alias(c) for c in _LEVEL], "level", "checks", "failed", "score")

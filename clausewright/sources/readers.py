@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import subprocess
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
@@ -13,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewright.sources import log
+from clausewright.sources import git, log
+from clausewright.sources.git import COMMIT
 
 # Schemas of the contract-domain datasets.
 SCHEMAS: dict[str, str] = {
@@ -34,7 +34,6 @@ CATALOG: dict[str, tuple[str, str]] = {
     "runs": ("langsmith-traces", "platform-team"),
 }
 SUBSCRIPTION = "contract_id string, subscriber_id string, subscriber_team string, fields_consumed array<string>, breaking_fields array<struct<field:string,reason:string>>, validation_mode string, registered_at string, contact string"
-COMMIT = "file_path string, commit_hash string, author_email string, commit_timestamp string, commit_message string"
 
 
 def parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -215,31 +214,14 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def _git(args: list[str], repo: str) -> str:
-    try:
-        return subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True, timeout=15, check=True).stdout
-    except (subprocess.SubprocessError, OSError):
-        return ""
+def commits(spark: SparkSession, repo: str, files: list[str], days: int = 14) -> DataFrame:
+    """COMMIT rows of the files' recent history, following renames, each file read by a task of its own; none if git can't say."""
+    git.register(spark)
+    return spark.read.format("git_log").option("repo", repo).option("files", json.dumps(files)).option("days", days).load()
 
 
-def commits(spark: SparkSession, repo: str, files: list[str], days: int = 14) -> DataFrame:
-    """COMMIT rows of the files' recent history, following renames; none if git can't say."""
-    rows = []
-    for f in files:
-        for line in _git(["log", "--follow", f"--since={days} days ago", "--format=%H%x1f%ae%x1f%ai%x1f%s", "--", f], repo).splitlines():
-            rows.append((f, *line.split("\x1f", 3)))
-    return spark.createDataFrame(rows, COMMIT)
-
-
-def blamed_lines(spark: SparkSession, repo: str, path: str, first: int, last: int) -> DataFrame:
-    """commit_hash, author_email, line of a range of a file's lines."""
-    rows, commit, mail = [], "", ""
-    for line in _git(["blame", "-L", f"{first},{last}", "--line-porcelain", "--", path], repo).splitlines():
-        head = line.split(" ")
-        if len(head) >= 3 and len(head[0]) == 40:
-            commit = head[0]
-        elif line.startswith("author-mail "):
-            mail = line.removeprefix("author-mail ").strip("<>")
-        elif line.startswith("\t"):
-            rows.append((commit, mail, line[1:]))
-    return spark.createDataFrame(rows, "commit_hash string, author_email string, line string")
+def blamed_lines(spark: SparkSession, repo: str, path: str, first: int = 1, last: int | None = None, lines: int = git.LINES) -> DataFrame:
+    """line_number, commit_hash, author_email, line of a range of a file's lines, so many of them a task."""
+    git.register(spark)
+    reader = spark.read.format("git_blame").option("repo", repo).option("file", path).option("first", first).option("lines", lines)
+    return (reader.option("last", last) if last else reader).load()
