@@ -256,6 +256,11 @@ def search(queries: DataFrame, index: DataFrame, n_shards: int, k: int) -> DataF
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found of each embedding whose vec_id is divisible by 50, among all others.
+
+    Vectors that are null, zero or have null or non-finite components, and rows without vec_id, take no part; rows equal in vec_id and
+    vector count once, and a vec_id with several vectors is a candidate with each, its best counting. Ties in cosine go to the smaller
+    vec_id. Vectors of different lengths don't meet. With fewer candidates all are returned; an empty table gives an empty result."""
     k = 5
     rows = staged(usable(read(spark, sf_dir, "embeddings")), "vectors")
     index, n_shards = build_index(rows, k)

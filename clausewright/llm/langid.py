@@ -3,8 +3,8 @@
 Each language is a tree of byte contexts of 0 to ORDER bytes with symbol counts; a byte's code length is that of the longest
 context known, or its escape and the next shorter one's, down to 8 bits (escape method C, no exclusions). The statistics are
 frozen after training, so every code length is worked out once, for all languages at a time; scoring looks up each position's
-bytes and adds. Training takes about SAMPLE_BYTES of text a language, a documented bound on a classifier's training rows; all of
-each text is scored. A model is at most MODEL_ROWS counts: beyond, the rarest contexts go first."""
+bytes and adds. Training takes about SAMPLE_BYTES of text a language, and TOTAL_BYTES of all together, dealt evenly: documented bounds
+on a classifier's training rows, so the model is bounded too, and nothing of it is cut. All of each text is scored."""
 
 from __future__ import annotations
 
@@ -21,8 +21,8 @@ from clausewright.llm.common import read, staged
 ORDER = 3
 #: Bytes of training text a language, on average; whole documents are drawn by a hash of their ids.
 SAMPLE_BYTES = 4_000_000
-#: Counts of a model that is sent to the workers, of all languages together; about 400 MB of tables.
-MODEL_ROWS = 12_000_000
+#: Bytes of training text of all languages together: with more than a dozen of them each has a smaller sample.
+TOTAL_BYTES = 48_000_000
 #: A language's share of this many bins, drawn by hash.
 BINS = 1_000_000
 #: Languages whose sizes are broadcast; more are joined by a shuffle.
@@ -198,26 +198,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
-    """lang, order, gram, n from labelled rows doc_id, text, lang. Each language has its own share of rows, drawn by a hash of doc_id and text, so that it has about sample_bytes; what reaches the driver is at most MODEL_ROWS counts, whatever the table's size and the number of languages.
-
-    Counts below the least number that leaves no more are dropped. A context occurs at least as often as any that it ends, so what stays is a tree as before."""
+    """lang, order, gram, n from labelled rows doc_id, text, lang. Each language has its own share of rows, drawn by a hash of doc_id and text, so that it has about sample_bytes, or its even part of TOTAL_BYTES if that is less; so what reaches the driver is bounded, whatever the table's size and the number of languages."""
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    keep = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(BINS)) < F.ceil(F.lit(float(sample_bytes) * BINS) / F.greatest(F.col("bytes"), F.lit(1)))
     # Two values a language; a shuffled join, for too many of them, would send every text to its language's task before the draw.
     sizes = staged(sizes, "sizes")
-    few = sizes.count() <= LANGS
+    n_langs = sizes.count()
+    few, share = n_langs <= LANGS, min(float(sample_bytes), TOTAL_BYTES / max(1, n_langs))
+    keep = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(BINS)) < F.ceil(F.lit(share * BINS) / F.greatest(F.col("bytes"), F.lit(1)))
     drawn = usable.join(F.broadcast(sizes) if few else sizes, "lang").where(keep).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)).alias("part"))
     counted = drawn.groupBy("lang", "part").applyInPandas(
         lambda pdf: count_grams(pdf["text"].tolist()).assign(lang=pdf["lang"].iloc[0])[["lang", "order", "gram", "n"]],
         "lang string, order int, gram long, n long",
     )
-    sums = staged(counted.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")), "grams")
-    least, rows = 1, sums.count()
-    while rows > MODEL_ROWS:
-        least *= 2
-        rows = sums.where(F.col("n") >= least).count()
-    return sums.where(F.col("n") >= least).toPandas()
+    return counted.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).toPandas()
 
 
 #: The model that a worker process has at hand.
@@ -246,6 +240,7 @@ def identify(docs: DataFrame, counts: pd.DataFrame) -> DataFrame:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learnt from those not held out, as train() and identify() say. A null doc_id isn't held out; rows with a null text or lang aren't learnt from; without any every document is `und`."""
     docs = read(spark, sf_dir, "documents")
     counts = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     found = identify(docs, counts)

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from clausewright.llm.common import read
 from clausewright.llm.licence_texts import NOTICES, SPELLINGS, TEXTS
 
-#: A line that is a copyright notice: the word or sign, and then a sign, a year, a placeholder or "by"; not one that goes on about copyright.
-COPYRIGHT = r"(?md)^[^a-z0-9©(\n]*((copyright|copr)[\x20\t:.]*(\(c\)|©|&copy;|by\x20|[0-9<\[{]|year)|\(c\)[\x20\t]*(copyright|[0-9<\[{])|©)[^\n]*"
+#: A line that is a copyright notice: the word or sign, maybe after "portions", and then a sign, a year, a placeholder or "by", or up to
+#: six words of a name and one that ends a holder's name, such as inc. or foundation; not one that goes on about copyright holders.
+COPYRIGHT = r"(?md)^[^a-z0-9©(\n]*((portions[\x20\t]+|some parts[\x20\t]+)?(copyright|copr)[\x20\t:.,]*(\(c\)|©|&copy;|by\x20|[0-9<\[{]|year|(the[\x20\t]+)?([^\x20\t\n,]+[\x20\t,]+){1,6}(inc|llc|ltd|gmbh|corp|corporation|foundation|et al|authors|other contributors|https?:)\b)|\(c\)[\x20\t]*(copyright|[0-9<\[{])|©)[^\n]*"
 RIGHTS = r"(?md)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 #: Known texts that are broadcast, as a digest and a name each; notices that are part of the expression.

@@ -142,7 +142,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only the documents that no rule rejects, with their own columns."""
+    """Only the documents that no rule rejects, with their own columns. Null and empty texts have no words and are dropped; equal rows stay or go alike."""
     columns = docs.columns
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text"))
     return measures(numbered, keep=("row",)).where(~base_failed() & verdict()).select("row.*")

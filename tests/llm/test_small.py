@@ -312,11 +312,15 @@ def test_langid(spark, tmp_path):
 
 
 def test_langid_model_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MODEL_ROWS", 500)
+    monkeypatch.setattr(langid, "TOTAL_BYTES", 4000)
     monkeypatch.setattr(langid, "LANGS", 1)
-    rows = [(None, cases.prose(i, 200), "xy"[i % 2], "a", 1) for i in range(10)]
+    rows = [(None, cases.prose(i, 60), "xy"[i % 2], "a", 1) for i in range(300)]
     counts = langid.train(cases.documents(spark, rows).select("doc_id", "text", "lang"))
-    assert 0 < len(counts) <= 500 and set(counts["lang"]) == {"x", "y"}
+    # Order 0 counts every byte of what was drawn: about 2,000 a language, by whole documents.
+    drawn = counts[counts["order"] == 0].groupby("lang")["n"].sum()
+    assert set(drawn.index) == {"x", "y"} and all(300 < n < 8000 for n in drawn)
+    whole = langid.train(cases.documents(spark, rows).select("doc_id", "text", "lang"), 300)
+    assert whole[whole["order"] == 0]["n"].sum() < drawn.sum()
     langid.Model(counts).predict(["hello"])
 
 
@@ -619,6 +623,19 @@ def test_equal_rows_are_spread_over_flights(spark, monkeypatch):
     assert {r.k: r["count"] for r in again} == {"x": 120, "y": 2, None: 50}
 
 
+@pytest.mark.parametrize(
+    "head", ["Copyright OpenJS Foundation and other contributors, https://openjsf.org/", "Copyright Google Inc.", "Portions Copyright (c) 2021 Bar", "Copyright The Go Authors. All rights reserved.", "  * Copyright, Example Systems Ltd", "Copyright (c) 2020 A B"]
+)
+def test_licence_heads_without_a_year(spark, head):
+    from clausewright.llm.licence_texts import TEXTS
+
+    known = [(k, t) for k, t in TEXTS if k == "MIT"][:1]
+    text = f"MIT License\n\n{head}\n\n" + known[0][1]
+    odd = known[0][1].replace("The above copyright notice", "The above\ncopyright notice") + "\ncopyright " + "," * 5000
+    got = {r.doc_id: r.license for r in licences.scan(spark.createDataFrame([(1, text), (2, odd)], "doc_id long, text string")).collect()}
+    assert got[1] == "MIT" and got[2] in (None, "MIT")
+
+
 def cases_n():
     from pyspark.sql import functions as F
 
