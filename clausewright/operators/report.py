@@ -140,6 +140,11 @@ def pass_rates(reports: DataFrame) -> DataFrame:
     return newest.select("contract_id", rate.cast("bigint").alias("pass_rate"))
 
 
+def of_contract(reports: DataFrame, contract_id: str) -> DataFrame:
+    """The reports of one contract, oldest first."""
+    return reports.where(F.col("contract_id") == contract_id).orderBy("run_timestamp")
+
+
 def by_contract(reports: DataFrame) -> DataFrame:
     return reports.groupBy("contract_id").agg(F.sort_array(F.collect_list(F.struct("run_timestamp", "total_checks", "passed"))).alias("reports"))
 

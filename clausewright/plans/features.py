@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausewright.operators import contract, drift, evolve, nested, profile, quantiles, report, sketches, temporal, texts
-from clausewright.plans.catalogue import _contract
+from clausewright.plans.catalogue import _CHANGES, _FIELD, _ROOTS, _contract, _diff, _subscriptions
 from clausewright.plans.registry import query, scratch
 from clausewright.sources import readers, sinks
 from clausewright.sources.readers import parquet
@@ -293,3 +293,34 @@ def report_cube_orders(spark, d):
     bad, even = F.col("o_orderstatus") == "P", F.col("o_custkey") % 2 == 0
     r = parquet(spark, d, "orders").select(F.col("o_orderpriority").alias("contract_id"), F.when(even, "range").otherwise("enum").alias("kind"), F.when(~bad, "LOW").when(even, "HIGH").otherwise("CRITICAL").alias("severity"), F.date_format("o_orderdate", "yyyy").alias("day"), F.when(bad, "FAIL").otherwise("PASS").alias("status"))
     return report.cube(r, list(_LEVEL)).select(*[F.coalesce(c, F.lit("*")).alias(c) for c in _LEVEL], "level", "checks", "failed", "score")
+
+
+# ---- contracts of well-known columns, texts for consumers
+
+
+@query("SELECT part, n AS records_failing FROM (SELECT unnest(['scores{}.score.range', 'token_count.input.range', 'token_count.output.range', 'edges[].relationship.enum', 'edges[].confidence.range']) AS part, unnest([count(*) FILTER (WHERE o_orderstatus = 'P'), count(*) FILTER (WHERE o_custkey < 10), 0, count(*) FILTER (WHERE o_orderpriority = '1-URGENT'), count(*) FILTER (WHERE o_totalprice / 300000 > 1)]) AS n FROM orders) q")
+def known_sub_schemas_orders(spark, d):
+    """Orders as records with well-known nested columns, whose contract, built from them, has the clauses known for those names; and what of them breaks it."""
+    o = parquet(spark, d, "orders")
+    score = lambda x: F.struct(x.cast("bigint").alias("score"), F.array(F.col("o_orderstatus")).alias("evidence"), F.lit("").alias("notes"))
+    status = F.when(F.col("o_orderstatus") == "P", 9).when(F.col("o_orderstatus") == "F", 1).otherwise(5)
+    edge = F.struct(F.lit("a").alias("source"), F.lit("b").alias("target"), F.when(F.col("o_orderpriority") == "1-URGENT", "KNOWS").otherwise("CALLS").alias("relationship"), (F.col("o_totalprice") / 300000).alias("confidence"))
+    r = o.select(F.create_map(F.lit("status"), score(status), F.lit("fixed"), score(F.lit(3))).alias("scores"), F.struct((F.col("o_custkey") - 10).alias("input"), F.lit(1).cast("bigint").alias("output")).alias("token_count"), F.array(edge).alias("edges"))
+    found = nested.nested_checks(r, contract.build_contract(r, "k", "t"))
+    return found.select(F.regexp_replace("check_id", "^k\\.", "").alias("part"), "records_failing")
+
+
+@query(f"""WITH c AS (SELECT * FROM ({_CHANGES}) x WHERE change_type IN ('remove_column', 'add_required_column')), s AS (SELECT n_name, {_FIELD} AS field FROM nation)
+SELECT n_name AS subscriber_id, column_name, CASE change_type WHEN 'remove_column' THEN 'Depends on ''' || column_name || ''', which is gone; reads and joins on it find nothing.' ELSE 'Doesn''t fill ''' || column_name || ''' yet; records without it are rejected.' END AS failure_mode,
+CASE change_type WHEN 'remove_column' THEN 'Take ''' || column_name || ''' out of ' || n_name || ' before deployment; agree on a window with  ().' ELSE 'Fill ''' || column_name || ''' in all records of ' || n_name || '; backfill old ones or give a default.' END AS consumer_action
+FROM s, c WHERE {_ROOTS.format(f='field')} = column_name OR contains(field, column_name) OR contains(column_name, {_ROOTS.format(f='field')}) OR column_name = 'o_orderpriority'""")
+def consumer_texts_orders(spark, d):
+    """What a removed and a new required column mean to each subscriber, and what it is to do."""
+    found = evolve.consumer_failures(_diff(spark, d), _subscriptions(spark, d), "orders").where("change_type in ('remove_column', 'add_required_column')")
+    return found.select("subscriber_id", F.col("column").alias("column_name"), "failure_mode", "consumer_action")
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS run_timestamp, count(*) AS total_checks FROM orders WHERE o_orderpriority = '2-HIGH' GROUP BY 1")
+def reports_of_one_contract(spark, d):
+    monthly = parquet(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("contract_id"), F.date_format("o_orderdate", "yyyy-MM").alias("run_timestamp")).agg(F.count("*").alias("total_checks"))
+    return report.of_contract(monthly, "2-HIGH").select("run_timestamp", "total_checks")

@@ -41,7 +41,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 def documents(spark: SparkSession) -> str:
-    """The same for small documents that the driver alone writes and reads."""
+    """A folder for small documents, which the driver alone writes and reads: one of its own where the shared one isn't a path of its file system."""
     import tempfile
 
     path = scratch(spark).removeprefix("file:")

@@ -154,24 +154,28 @@ def baselines(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "contract_id string, column string, mean double, stddev double, n bigint")
 
 
+def _documents(spark: SparkSession, paths: list[Path], schema: str) -> DataFrame:
+    """report, d: documents of a few KB each, read where the driver reads, which may be a folder of its own; those that don't parse or fit are left out."""
+    kind = T.StructType(list(T.StructType.fromDDL(schema).fields)).add(_CORRUPT, "string")
+    rows = spark.createDataFrame([(p.name, p.read_text(encoding="utf-8", errors="replace")) for p in paths], "report string, text string")
+    parsed = rows.select("report", F.explode(F.array(F.from_json("text", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))).alias("d"))
+    return parsed.where(F.col(f"d.{_CORRUPT}").isNull() & F.col("d").isNotNull())
+
+
+REPORT = "report_id string, contract_id string, run_timestamp string, total_checks bigint, passed bigint, failed bigint, warned bigint, errored bigint, results array<struct<check_id:string,column_name:string,check_type:string,status:string,severity:string,records_failing:bigint,message:string>>"
+
+
 def reports(spark: SparkSession, folder: str, pattern: str = "*.json", leave_out: tuple[str, ...] = ("ai_metrics.json",)) -> DataFrame:
     """All JSON reports of a folder, one document a file; unreadable ones are left out."""
-    paths = [str(p) for p in sorted(Path(folder).glob(pattern)) if p.name not in leave_out]
-    schema = "report_id string, contract_id string, run_timestamp string, total_checks bigint, passed bigint, failed bigint, warned bigint, errored bigint, results array<struct<check_id:string,column_name:string,check_type:string,status:string,severity:string,records_failing:bigint,message:string>>"
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths)
+    paths = [p for p in sorted(Path(folder).glob(pattern)) if p.name not in leave_out]
+    return _documents(spark, paths, REPORT).select(*[f"d.{f.name}" for f in T.StructType.fromDDL(REPORT)])
 
 
 def evolution_reports(spark: SparkSession, folder: str) -> DataFrame:
     """The changes of all migration reports of a folder, in the order of files and of each file's list: contract_id, change_type, column, old_value, new_value, backward_compatible, required_action, risk_level, report, report_order."""
     change = "change_type string, column string, old_value string, new_value string, backward_compatible boolean, required_action string, risk_level string"
-    paths = [str(p) for p in sorted(Path(folder).glob("schema_evolution_*.json"))]
     schema = f"contract_id string, verdict string, changes array<struct<{', '.join(x.replace(' ', ':') for x in change.split(', '))}>>"
-    if not paths:
-        return spark.createDataFrame([], f"contract_id string, {change}, report string, report_order struct<report:string,pos:int>")
-    read = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths)
-    rows = read.select("contract_id", F.col("_metadata.file_name").alias("report"), F.posexplode("changes").alias("pos", "c"))
+    rows = _documents(spark, sorted(Path(folder).glob("schema_evolution_*.json")), schema).select("d.contract_id", "report", F.posexplode("d.changes").alias("pos", "c"))
     return rows.select("contract_id", "c.*", "report", F.struct("report", "pos").alias("report_order"))
 
 
