@@ -73,7 +73,9 @@ def _estimate(x: Column, shares: list[float]) -> Column:
 
 
 def _quantiles(df: DataFrame, columns: list[str], points: list[float]) -> dict[str, list[float | None]]:
-    x = {c: numeric(col(c), df.schema[c].dataType) for c in columns}
+    # The values once, as many counts are taken of each.
+    df = df.select(*[numeric(col(c), df.schema[c].dataType).alias(f"x{i}") for i, c in enumerate(columns)])
+    x = {c: F.col(f"x{i}") for i, c in enumerate(columns)}
     step = 2.0 / ACCURACY
     # The first estimates are over all values, before their number is known.
     first = [p + d for p in points for d in (-step, step)]
