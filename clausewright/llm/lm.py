@@ -1,19 +1,19 @@
 """Language-model scores from a trigram trie that is spread over the cluster.
 
 Texts are cut into blocks of about BLOCK bytes, each with its own small vocabulary. A block sends its distinct words, then its
-distinct runs of two and three words, to shards; a shard adds up the training counts of all blocks and builds an Elias-Fano trie of
-its part (context words, monotone pointers, successors told relative to the shorter context from the third level on, quantised
-probabilities and back-off weights). It answers each run that the blocks asked for by a search among its context's successors.
+distinct contexts of two words with all that they go on with, to shards; a shard adds up the training counts of all blocks and builds an
+Elias-Fano trie of its part (context words, monotone pointers, successors told relative to the shorter context from the third level on,
+quantised probabilities and back-off weights). It answers each run that the blocks asked for by a search among its context's successors.
 Nothing of the model is collected or broadcast: what moves is a block's distinct words and runs, once to the shards and once
-back. Blocks lie in buckets on the shared folder, so they are read three times but never shuffled. A word with a large share of all
-tokens is spread over all shards as a context of pairs; contexts of two words are each in one shard.
+back. Blocks lie in buckets on the shared folder, so they are read three times but never shuffled. A context of two words lies in one
+shard with all its successors, so their counts add up to its own, and pairs need no messages besides. One of two words that each have a
+large share of all tokens has only its sum there, and its successors are spread over all shards.
 
-The third level is over the words that make at least a share of THIRD of all training tokens each, and the beginning of a text:
-a context of two such words has the runs that go on with such a word, and how often it goes on with any other, x(t u).
-
-p(w | t u) = (c(t u w) + (x(t u) + KAPPA) p(w | u)) / (c(t u) + KAPPA), c(t u w) being 0 for any other w, p(w | u) = (c(u w) + KAPPA p(w)) / (c(u) + KAPPA), p(w) = (c(w) + 1) / (N + V + 1).
-A trie has the first summand of each as a probability and (x + KAPPA) / (c + KAPPA) as a context's back-off weight. Words are told apart
-by 64-bit codes.
+p(w | t u) = (c(t u w) + KAPPA p(w | u)) / (c(t u) + KAPPA), p(w | u) = (c(u w) + KAPPA p(w)) / (c(u) + KAPPA), p(w) = (c(w) + 1) / (N + V + 1).
+A trie has the shares c(t u) / N and c(t u w) / N of pairs and triples, which blocks divide by their contexts', and KAPPA / (c + KAPPA)
+as a pair's back-off weight. Words are told apart by 64-bit codes. All words are in the third level. A caller may restrict it to words that make at least
+a share `third` of all training tokens each, and the beginning of a text: then c(t u w) is 0 for any other w, and how often such a context
+goes on with them is added to KAPPA in the weight; a context that has another word has the weight 1.
 
 The number of shards grows with the blocks, as a shard has to fit in memory, but the messages of a block don't: no sender parts what it
 sends in more than 2^FAN_BITS. Where there are more shards, messages go by relays, one for each beginning of the shards' numbers and each
@@ -36,23 +36,25 @@ from clausewright.llm.common import mix64, read, shared_folder, staged, tokens
 KAPPA = 50.0
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 6 << 20
-#: Least share of the training tokens of a word of the third level, so there are at most 1 / THIRD of them.
-THIRD = 3e-5
+#: Least share of the training tokens of a word of the third level. 0: all words are, as in the query; a caller may ask for fewer.
+THIRD = 0.0
+#: A context of two words that each have more than this share of a shard's mean load is spread over all shards.
+HOT = 0.25
+#: What contexts go on with, besides words (2 * id, and 1 more where the context is spread; ids from 1): words that aren't in the third
+#: level, and words that are told where they lie by themselves.
+_OTHER, _APART = 0, 1
 #: Shards, and from how many blocks a shard there are more of them.
 SHARDS, EACH = 256, 2
 #: Bits of a shard's number that a step of a message's way decides at most.
 FAN_BITS = 8
-#: A context with more than this share of a shard's mean load is spread over all shards.
-HOT = 0.25
 
 _END = np.uint64(0xE0F)
-_START = -1
 
 _BLOCK_SCHEMA = "block long, doc_ids array<long>, n array<long>, held array<boolean>, words binary, local binary"
 _WORD_SCHEMA = "shard int, block long, ids binary, counts binary"
 _PART_SCHEMA = "shard int, block long, ids binary, counts binary, tokens long, kinds long"
-_ASK_SCHEMA = "shard int, block long, first binary, contexts binary, runs binary, totals binary, words binary, counts binary"
-_TOLD_SCHEMA = "block long, shard int, q binary, b binary"
+_ASK_SCHEMA = "shard int, block long, first binary, second binary, each binary, words binary, counts binary"
+_TOLD_SCHEMA = "block long, shard int, p binary, b binary, q binary"
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -170,7 +172,10 @@ def _add_words(made: DataFrame, n_shards: int, n_blocks: int) -> tuple[DataFrame
     def shard(table):
         d = table.to_pydict()
         _, total, at, edges = _word_sums(d)
-        ids, number = at * n_shards + d["shard"][0], d["shard"][0]
+        # Frequent words have small ids, which take less room in messages.
+        number, rank = d["shard"][0], np.empty(len(total), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+        ids = rank[at] * n_shards + number
         rows = [{"shard": number, "block": k, "ids": _zip(ids[a:b]), "counts": _zip(total[at[a:b]])} for k, a, b in zip(d["block"], edges[:-1], edges[1:])]
         return _batch(_PART_SCHEMA, [*rows, {"shard": number, "tokens": int(total.sum()), "kinds": int((total > 0).sum())}])
 
@@ -195,73 +200,92 @@ def _add_words(made: DataFrame, n_shards: int, n_blocks: int) -> tuple[DataFrame
     return _through(_block_words(made, _digits(n_shards)[0]), n_shards, n_blocks, relay, shard, back, _PART_SCHEMA)
 
 
+def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first of each distinct (x, y) is, in their order, and which of them each is."""
+    top = lambda z: int(z.max()).bit_length() if len(z) else 0
+    if top(x) + top(y) > 63:
+        x, y = (np.unique(z, return_inverse=True)[1].astype(np.int64) for z in (x, y))
+    code = (x << top(y)) | y
+    order = np.argsort(code)
+    code = code[order]
+    new = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _home(words: np.ndarray) -> np.ndarray:
+    """Whether a run lies with its context, and not by itself."""
+    return (words <= _APART) | (words & 1 == 0)
+
+
 class _Dealt:
-    """Distinct runs of two or three words (ids from 1, 0 for none) in the order in which they are sent, by the first bits of their shards.
-
-    A pair lies with its context, or by itself where `totals`, the counts of the contexts, say that the context is hot; a triple with its
-    context of two words. Messages of triples are told by 1 before those bits."""
-
-    def __init__(self, gram: list, totals: np.ndarray | None, n_tokens: int, n_shards: int, bits: int):
-        self.gram, self.totals, self.bits = gram, totals, bits
-        raw = [x.astype(np.uint64) - np.uint64(1) for x in gram]
-        key = mix64(raw[0] * np.uint64(2))
-        if len(gram) == 3:
-            key = mix64(key + raw[1])
-        else:
-            key = np.where(totals > HOT * n_tokens / n_shards, mix64(key + raw[1]), key)
+    """Distinct contexts of two words (ids from 1, 0 for none) in order, and the runs of contexts (places) and words that they go on with,
+    in the order in which they are sent, by the first bits of their shards. A spread context's words lie by themselves."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, context: np.ndarray, words: np.ndarray, n_shards: int, bits: int):
+        one = np.uint64(1)
+        key = mix64(mix64((first.astype(np.uint64) - one) << one) + second.astype(np.uint64) - one)[context]
+        home = _home(words)
+        key[~home] = mix64(key[~home] + words[~home].astype(np.uint64))
         to = (key % np.uint64(n_shards)).astype(np.int64) >> (n_shards.bit_length() - 1 - bits)
-        self.order = np.lexsort((*gram[::-1], to))
-        self.to, at = np.unique(to[self.order], return_index=True)
-        self.edges = np.append(at, len(to))
+        by_context = np.argsort(context, kind="stable")
+        to = to[by_context]
+        order = np.argsort(to.astype(np.uint16) if bits <= 16 else to, kind="stable")
+        self.run_order, to = by_context[order], to[order]
+        # An entry is a context in a message.
+        context = context[self.run_order]
+        entry = np.flatnonzero((np.diff(to, prepend=-1) != 0) | (np.diff(context, prepend=-1) != 0))
+        self.context, self.each = context[entry], np.diff(np.append(entry, len(context)))
+        self.home = np.logical_or.reduceat(home[self.run_order], entry)
+        at = np.flatnonzero(np.diff(to[entry], prepend=-1))
+        self.to, self.edges = to[entry][at], np.append(at, len(entry))
+        self.run_edges = np.append(entry, len(context))[self.edges]
+        self.first, self.second, self.words = first, second, words
 
     def messages(self, sender: int, counts: np.ndarray):
-        for s, i, j in zip(self.to.tolist(), self.edges[:-1], self.edges[1:]):
-            o = self.order[i:j]
-            g = [x[o] for x in self.gram]
-            first = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in g[:-1]], axis=0)]))
-            row = {"shard": s + ((len(g) == 3) << self.bits), "block": sender, "contexts": _zip(g[-2][first]), "runs": _zip(np.diff(np.append(first, len(o)))), "words": _zip(g[-1]), "counts": _zip(counts[o])}
-            yield row | ({"first": _zip(g[0][first])} if len(g) == 3 else {"totals": _zip(self.totals[o][first])})
-
-    def told(self, rows: dict, column: str) -> np.ndarray:
-        """What was said of the runs, in their own order."""
-        mine = (i for i, x in enumerate(rows[column]) if x is not None and (rows["shard"][i] >> self.bits) == (len(self.gram) == 3))
-        at = sorted(mine, key=lambda i: rows["shard"][i])
-        out = np.zeros(len(self.order), np.int64)
-        if at:
-            out[self.order] = np.concatenate([_unzip(rows[column][i]) for i in at])
+        first, second, words, counts = self.first[self.context], self.second[self.context], self.words[self.run_order], counts[self.run_order]
+        for s, i, j, a, b in zip(self.to.tolist(), self.edges[:-1], self.edges[1:], self.run_edges[:-1], self.run_edges[1:]):
+            yield {"shard": s, "block": sender, "first": _zip(np.diff(first[i:j], prepend=0)), "second": _zip(second[i:j]), "each": _zip(self.each[i:j]), "words": _zip(words[a:b]), "counts": _zip(counts[a:b])}
+
+    def told(self, rows: dict) -> list[np.ndarray]:
+        """What was said of the contexts where they lie, p and b, and of the runs, q, in their own order."""
+        at = sorted((i for i, x in enumerate(rows["q"]) if x is not None), key=lambda i: rows["shard"][i])
+        p, b, said = (np.concatenate([_unzip(rows[column][i]) for i in at]) for column in ("p", "b", "q"))
+        out = [np.zeros(len(self.first), np.int64), np.zeros(len(self.first), np.int64), np.zeros(len(self.words), np.int64)]
+        out[0][self.context[self.home]], out[1][self.context[self.home]], out[2][self.run_order] = p[self.home], b[self.home], said
         return out
 
 
 class _Sums:
-    """The distinct runs of many messages in order, with their counts and, of pairs, the counts of their contexts."""
+    """The distinct contexts of many messages in order, what each goes on with, and how often."""
 
-    def __init__(self, d: dict, three: bool):
+    def __init__(self, d: dict):
         get = lambda name: [_unzip(x) for x in d[name]]
-        runs, words, counts = get("runs"), get("words"), np.concatenate(get("counts"))
-        spread = lambda name: np.concatenate([np.repeat(c, r) for c, r in zip(get(name), runs)])
-        w = np.concatenate(words)
-        asked = np.stack([spread("first"), spread("contexts"), w] if three else [spread("contexts"), w], 1)
-        order = np.lexsort(asked.T[::-1])
-        new = np.concatenate([[True], (asked[order][1:] != asked[order][:-1]).any(1)])
-        at = np.flatnonzero(new)
-        #: Where each message begins, and where each of its runs is among the distinct ones.
-        self.edges, self.place = np.cumsum([0, *map(len, words)]), np.empty(len(order), np.int64)
-        self.place[order] = np.cumsum(new) - 1
-        self.distinct, self.total = asked[order][at], np.add.reduceat(counts[order], at)
-        self.totals = None if three else spread("totals")[order][at]
-
-    def answers(self, d: dict, q: np.ndarray, b: np.ndarray):
-        q, b = q[self.place], b[self.place]
-        return _batch(_TOLD_SCHEMA, [{"block": k, "shard": s, "q": _zip(q[i:j]), "b": _zip(b[i:j])} for k, s, i, j in zip(d["block"], d["shard"], self.edges[:-1], self.edges[1:])])
-
-
-def _run_relays(n_tokens: int, n_shards: int):
+        first, second, words = [np.cumsum(x) for x in get("first")], get("second"), get("words")
+        #: Where each message's contexts and runs begin, and which of the distinct ones each of them is.
+        self.edges, self.run_edges = (np.cumsum([0, *map(len, x)]) for x in (second, words))
+        first, second, words = map(np.concatenate, (first, second, words))
+        at, self.place = _distinct(first, second)
+        self.first, self.second = first[at], second[at]
+        context = np.repeat(self.place, np.concatenate(get("each")))
+        at, self.run_place = _distinct(context, words)
+        self.context, self.words = context[at], words[at]
+        self.total = np.bincount(self.run_place, weights=np.concatenate(get("counts"))).astype(np.int64)
+
+    def answers(self, d: dict, p: np.ndarray, b: np.ndarray, q: np.ndarray):
+        p, b, q = p[self.place], b[self.place], q[self.run_place]
+        edges = zip(d["block"], d["shard"], self.edges[:-1], self.edges[1:], self.run_edges[:-1], self.run_edges[1:])
+        return _batch(_TOLD_SCHEMA, [{"block": k, "shard": s, "p": _zip(p[i:j]), "b": _zip(b[i:j]), "q": _zip(q[x:y])} for k, s, i, j, x, y in edges])
+
+
+def _run_relays(n_shards: int):
     """Relays of runs and their way back."""
 
     def added(table, bits):
         d = table.to_pydict()
-        sums = _Sums(d, d["first"][0] is not None)
-        return d, sums, _Dealt(list(sums.distinct.T), sums.totals, n_tokens, n_shards, bits)
+        sums = _Sums(d)
+        return d, sums, _Dealt(sums.first, sums.second, sums.context, sums.words, n_shards, bits)
 
     def relay(bits):
         def run(table):
@@ -273,8 +297,7 @@ def _run_relays(n_tokens: int, n_shards: int):
     def back(bits):
         def run(own, answers):
             d, sums, dealt = added(own, bits)
-            told = answers.to_pydict()
-            return sums.answers(d, dealt.told(told, "q"), dealt.told(told, "b"))
+            return sums.answers(d, *dealt.told(answers.to_pydict()))
 
         return run
 
@@ -282,83 +305,76 @@ def _run_relays(n_tokens: int, n_shards: int):
 
 
 class _Opened:
-    """A block with its words' global ids and counts, its distinct pairs and triples, and the shards and order in which they are asked."""
+    """A block with its words' counts, its distinct pairs and what they go on with, and the shards and order in which they are asked.
+
+    Each text is told from a 0 before its first word on, so every pair of neighbours, the 0 and itself among them, is a context that goes on
+    with the next word, or with _OTHER at the text's end; what a pair goes on with adds up to its own count."""
 
     def __init__(self, own: dict, parts: dict, n_shards: int, bits: int, n_tokens: int, n_texts: int, third: float):
         at = sorted((i for i, x in enumerate(parts["ids"]) if x is not None), key=lambda i: parts["shard"][i])
         self.block, self.doc_ids = own["block"][0], own["doc_ids"][0]
         self.n, self.held = np.array(own["n"][0]), np.array(own["held"][0], bool)
-        self.local = _unzip(own["local"][0])
         ids = np.concatenate([_unzip(parts["ids"][i]) for i in at])
-        self.count = np.concatenate([_unzip(parts["counts"][i]) for i in at])
-        starts = np.concatenate([[0], np.cumsum(self.n)[:-1]])
-        k = len(ids) + 1
-        # Places in the block's vocabulary from 1; 0 stands before a text begins.
-        before = np.concatenate([[0], self.local[:-1] + 1])
-        before[starts] = 0
-        earlier = np.concatenate([[0], before[:-1]])
-        earlier[starts] = 0
-        named = np.concatenate([[_START], ids])
-        pairs, self.pair = np.unique(before * k + self.local, return_inverse=True)
-        u, self.w = np.divmod(pairs, k)
-        totals = np.concatenate([[n_texts], self.count])[u]
-        two = [named[u] + 1, ids[self.w] + 1]
-        often = np.concatenate([[True], self.count >= third * n_tokens])
-        at = np.flatnonzero(often[earlier] & often[before])
-        contexts, context = np.unique(earlier[at] * k + before[at], return_inverse=True)
-        goes_on = self.local[at] + 1
-        triples, of = np.unique(context * k + np.where(often[goes_on], goes_on, 0), return_inverse=True)
-        self.triple = np.full(len(self.local), -1)
-        self.triple[at] = of
-        c, v = np.divmod(triples, k)
-        t_local, u_local = np.divmod(contexts[c], k)
-        # Any other word is 0 - 1, as is the beginning of a text as a context.
-        three = [named[t_local] + 1, named[u_local] + 1, named[v] + 1]
-        self.asks = [_Dealt(two, totals, n_tokens, n_shards, bits), _Dealt(three, None, n_tokens, n_shards, bits)]
+        # Words are places among the block's ids in order, from 1.
+        order, place = np.argsort(ids), np.empty(len(ids), np.int64)
+        place[order] = np.arange(1, len(ids) + 1)
+        ids = np.concatenate([[0], ids[order] + 1])
+        self.count = np.concatenate([[n_texts], np.concatenate([_unzip(parts["counts"][i]) for i in at])[order]])
+        starts = np.cumsum(self.n) - self.n
+        self.stream = np.insert(place[_unzip(own["local"][0])], starts, 0)
+        before = np.where(self.stream > 0, np.concatenate([[0], self.stream[:-1]]), 0)
+        goes_on = np.append(self.stream[1:], 0)
+        if third > 0:
+            often = self.count >= third * n_tokens
+            often[0] = True
+            goes_on = np.where(often[before] & often[self.stream] & often[goes_on], goes_on, 0)
+        at, self.pair = _distinct(before, self.stream)
+        self.u, self.w = before[at], self.stream[at]
+        at, self.run = _distinct(self.pair, goes_on)
+        context, goes_on = self.pair[at], goes_on[at]
+        spread = np.minimum(self.count[self.u], self.count[self.w]) > HOT * n_tokens / n_shards
+        self.apart, each = np.flatnonzero(spread), np.where(goes_on > 0, 2 * ids[goes_on] + spread[context], _OTHER)
+        self.context, self.words = np.append(context, self.apart), np.append(each, np.full(len(self.apart), _APART))
+        self.dealt = _Dealt(ids[self.u], ids[self.w], self.context, self.words, n_shards, bits)
 
     def asked(self):
-        train = np.repeat(~self.held, self.n)
-        for dealt, seen in zip(self.asks, (self.pair, self.triple)):
-            yield from dealt.messages(self.block, np.bincount(seen[train & (seen >= 0)], minlength=len(dealt.order)))
+        train, n = np.repeat(~self.held, self.n + 1), len(self.context) - len(self.apart)
+        counts, away = np.bincount(self.run[train], minlength=n), ~_home(self.words[:n])
+        there = np.bincount(self.context[:n][away], weights=counts[away], minlength=len(self.u)).astype(np.int64)
+        yield from self.dealt.messages(self.block, np.append(counts, there[self.apart]))
 
 
-def _shard_trie(kappa: float, n_shards: int):
-    """What a shard does: adds up, builds its trie, answers with each run's probability and its context's back-off weight, quantised, from 1; 0 for none."""
-    from clausewright.llm.ef_trie import Trie
+def _shard_trie(kappa: float, n_tokens: int):
+    """What a shard does: adds up, builds its trie, answers with each context's share of all tokens and back-off weight, where all of it lies,
+    and with each run's share, quantised, from 1; 0 for none."""
+    from clausewright.llm.ef_trie import Trie, distinct
 
     def run(table):
         d = table.to_pydict()
-        three = d["shard"][0] >= n_shards
-        sums = _Sums(d, three)
-        distinct, total = sums.distinct, sums.total
-        first = np.flatnonzero(np.concatenate([[True], (distinct[1:, :-1] != distinct[:-1, :-1]).any(1)]))
-        each = np.diff(np.append(first, len(distinct)))
-        contexts = distinct[first, :-1]
-        # A pair's context may be spread over shards, so its count comes with it; a triple's is whole here.
-        c = np.add.reduceat(total, first) if three else sums.totals[first]
-        known = (distinct[:, -1] > 0) & (total > 0) if three else total > 0
-        weight = (np.add.reduceat(np.where(known, 0, total), first) + kappa) / (c + kappa) if three else kappa / (c + kappa)
-        q, b = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        if (c > 0).any():
-            trie = _trie(distinct[known], total[known] / (np.repeat(c, each)[known] + kappa), contexts[c > 0], weight[c > 0])
-            context = np.repeat(trie.find(contexts), each)
-            b = np.where(context >= 0, np.asarray(trie.q[-2])[np.maximum(context, 0)].astype(np.int64) + 1, 0)
+        sums = _Sums(d)
+        context, words, total, n = sums.context, sums.words, sums.total, len(sums.first)
+        add = lambda at: np.bincount(context[at], weights=total[at], minlength=n)
+        c, seen, known = add(_home(words)), add(total > 0) > 0, (words > _APART) & (total > 0)
+        weight = (add(words == _OTHER) + kappa) / (c + kappa)
+        contexts, grams = np.stack([sums.first, sums.second], 1), np.stack([sums.first[context], sums.second[context], words >> 1], 1)
+        p, b, q = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(len(grams), np.int64)
+        if seen.any():
+            trie = _trie(grams[known], total[known] / n_tokens, contexts[seen], c[seen] / n_tokens, weight[seen])
+            value = lambda level, node: np.where(node >= 0, np.asarray(level)[np.maximum(node, 0)].astype(np.int64) + 1, 0)
+            node = trie.find(contexts)
+            p, b = value(trie.q[1], node), value(trie.backoff, node)
             if known.any():
-                node = trie.find(distinct)
-                q = np.where(node >= 0, np.asarray(trie.q[-1])[np.maximum(node, 0)].astype(np.int64) + 1, 0)
-        return sums.answers(d, q, b)
+                q = np.where(words > _APART, value(trie.q[2], trie.find(grams)), 0)
+        return sums.answers(d, p, b, q)
 
-    def _trie(grams, p, contexts, weights):
-        if grams.shape[1] == 2:
-            return Trie.of([contexts, grams], [weights, p])
+    def _trie(grams, p, contexts, shares, weights):
         # The pairs that triples end in are there to tell successors by, and have no weight here unless they are contexts themselves.
-        base = int(max(contexts.max(), grams.max() if len(grams) else 0)) + 1
-        code = lambda x: x[:, 0] * base + x[:, 1]
-        codes = np.unique(np.concatenate([code(contexts), code(grams[:, 1:])]))
-        pairs, own = np.stack(np.divmod(codes, base), 1), np.ones(len(codes))
-        own[np.searchsorted(codes, code(contexts))] = weights
-        words = np.unique(pairs[:, 0])
-        return Trie.of([words[:, None], pairs, grams], [np.ones(len(words)), own, p])
+        pairs = np.concatenate([contexts, grams[:, 1:]])
+        at, which = _distinct(pairs[:, 0], pairs[:, 1])
+        pairs, share, weight = pairs[at], np.ones(len(at)), np.ones(len(at))
+        share[which[: len(contexts)]], weight[which[: len(contexts)]] = shares, weights
+        words = distinct(pairs[:, 0])
+        return Trie.of([words[:, None], pairs, grams], [np.ones(len(words)), share, p], weight)
 
     return run
 
@@ -383,7 +399,7 @@ def score(docs: DataFrame, training: Column, kappa: float = KAPPA, third: float
     doc_ids are like any other. With nothing to learn from, N and V are 0 and every score is 0."""
     import pyarrow as pa
 
-    from clausewright.llm.ef_trie import dequantise
+    from clausewright.llm.ef_trie import STEPS, dequantise
 
     third = THIRD if third is None else third
 
@@ -398,25 +414,28 @@ def score(docs: DataFrame, training: Column, kappa: float = KAPPA, third: float
     words = words.where("block is not null").select("block", "shard", "ids", "counts")
     with_block = lambda rows: made.groupBy("block").cogroup(rows.groupBy("block"))
     asked = with_block(words).applyInArrow(lambda own, rows: _batch(_ASK_SCHEMA, list(opened(own, rows.to_pydict()).asked())), _ASK_SCHEMA)
-    relay, back = _run_relays(n_tokens, n_shards)
-    told, _ = _through(asked, n_shards, n_blocks, relay, _shard_trie(kappa, n_shards), back, _TOLD_SCHEMA)
+    relay, back = _run_relays(n_shards)
+    told, _ = _through(asked, n_shards, n_blocks, relay, _shard_trie(kappa, n_tokens), back, _TOLD_SCHEMA)
 
     def finish(own, table):
         rows = table.to_pydict()
-        b = opened(own, rows)
-        value = lambda k, column, none: np.where((x := b.asks[k].told(rows, column)) > 0, dequantise(x - 1), none)
-        alone = (b.count + 1.0) / (n_tokens + n_kinds + 1.0)
-        p = (value(0, "q", 0.0) + value(0, "b", 1.0) * alone[b.w])[b.pair]
-        at = np.flatnonzero(b.triple >= 0)
-        p[at] = value(1, "q", 0.0)[b.triple[at]] + value(1, "b", 1.0)[b.triple[at]] * p[at]
-        p = p if n_tokens else np.ones(len(p))
-        first = np.concatenate([[0], np.cumsum(b.n)[:-1]])
+        o = opened(own, rows)
+        numbers = dequantise(np.arange(1 << 16))
+        share, weight, found = (np.append(none, numbers)[x] for x, none in zip(o.dealt.told(rows), (0.0, 1.0, 0.0)))
+        alone = (o.count + 1.0) / (n_tokens + n_kinds + 1.0)
+        two = (share * n_tokens + kappa * alone[o.w]) / (o.count[o.u] + kappa)
+        # A pair's count by the largest share that is told so, so that what sums to at most 1 still does.
+        three = found[: len(found) - len(o.apart)] * n_tokens / (share[o.context[: len(found) - len(o.apart)]] * 10 ** (1 / STEPS) * n_tokens + kappa)
+        at = np.flatnonzero(o.stream)
+        w = o.stream[at]
+        p = three[o.run[at - 1]] + weight[o.pair[at - 1]] * two[o.pair[at]] if n_tokens else np.ones(len(at))
+        first = np.cumsum(o.n) - o.n
         sums = lambda x: np.add.reduceat(x, first)
         return pa.table(
             {
-                "doc_id": pa.array(b.doc_ids, pa.int64()), "held_out": pa.array(b.held), "n_tokens": pa.array(b.n, pa.int64()),
-                "n_known": pa.array(sums((b.count > 0).astype(np.int64)[b.local])), "train_tokens": pa.array(np.full(len(b.n), n_tokens, np.int64)),
-                "base_score": pa.array(sums(np.log10(alone)[b.local])), "score": pa.array(sums(np.log10(p))),
+                "doc_id": pa.array(o.doc_ids, pa.int64()), "held_out": pa.array(o.held), "n_tokens": pa.array(o.n, pa.int64()),
+                "n_known": pa.array(sums((o.count > 0).astype(np.int64)[w])), "train_tokens": pa.array(np.full(len(o.n), n_tokens, np.int64)),
+                "base_score": pa.array(sums(np.log10(alone)[w])), "score": pa.array(sums(np.log10(p))),
             }
         )
 

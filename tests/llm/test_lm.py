@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from clausewright.llm import lm
-from clausewright.llm.ef_trie import EliasFano, Packed, Trie
+from clausewright.llm.ef_trie import EliasFano, Packed, Trie, dequantise
 from tests.llm import cases
 
 
@@ -55,6 +55,48 @@ def test_scores_equal_brute_force(spark, tmp_path, monkeypatch, shards, third, b
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in got)
 
 
+def test_third_level_has_rare_words(spark, tmp_path, monkeypatch):
+    """As it comes, the query knows every run of three words, also of words that make 1 / 40,000 of all tokens or less."""
+    odd = [f"w{i} rare{i % 3} {'left' if i % 2 else 'right'}{i % 3}" for i in range(12)]
+    given = [(i, f"{x} the end" if i % 4 else x, "en", "a", 1) for i, x in enumerate(odd * 2)] + [(100, "of the " * 25_000, "en", "a", 1)]
+    got = {r.doc_id: r.score for r in lm.op2_lm_score(spark, cases.folder(spark, tmp_path, given)).collect()}
+    monkeypatch.setattr(lm, "THIRD", 0.0)
+    whole = plain(given)
+    monkeypatch.setattr(lm, "THIRD", 3e-5)
+    cut = plain(given)
+    for d, w in zip(given, whole):
+        assert abs(got[d[0]] - w[4]) < 1e-3 * w[0]
+    assert sum(abs(w[4] - c[4]) > 2e-3 * w[0] for w, c in zip(whole, cut)) >= 6
+
+
+def test_common_pair_is_spread(spark, monkeypatch):
+    """A pair that goes on with thousands of words doesn't lie in one shard with all of them."""
+    monkeypatch.setattr(lm, "SHARDS", 16)
+    runs, through = collections.Counter(), lm._through
+
+    def noted(sent, *rest):
+        if "each" in sent.columns:
+            for r in sent.collect():
+                runs[r.shard] += len(lm._unzip(r.words))
+        return through(sent, *rest)
+
+    monkeypatch.setattr(lm, "_through", noted)
+    given = [(i, " ".join(f"of the w{i * 100 + j}" for j in range(100)), "en", "a", 1) for i in range(40)]
+    got = {r.doc_id: r.score for r in lm.score(cases.documents(spark, given), lm.F.crc32(lm.F.col("doc_id").cast("string").cast("binary")) % 7 != 2).collect()}
+    assert sum(runs.values()) >= 12_000 and max(runs.values()) < 2 * sum(runs.values()) / 16
+    assert all(abs(got[d[0]] - e[4]) < 1e-3 * e[0] for d, e in zip(given, plain(given)))
+
+
+def test_distinct_of_wide_ids():
+    rng = np.random.default_rng(5)
+    for top in (3, 2**20, 2**45):
+        x, y = rng.integers(0, 50, (2, 3000)) * top
+        at, which = lm._distinct(x, y)
+        want = sorted(set(zip(x.tolist(), y.tolist())))
+        assert list(zip(x[at].tolist(), y[at].tolist())) == want
+        assert (x[at][which] == x).all() and (y[at][which] == y).all()
+
+
 def test_messages_follow_bytes(spark, monkeypatch):
     """Eight times the blocks, and eight times the shards: no block sends more than 2^FAN_BITS messages of a kind at a step."""
     monkeypatch.setattr(lm, "SHARDS", 8)
@@ -130,3 +172,20 @@ def test_trie_of_three_levels():
         asked = np.random.default_rng(4).integers(0, 250, (3000, 3))
         known = set(map(tuple, grams[2].tolist()))
         assert ((trie.find(asked) >= 0) == [tuple(r) in known for r in asked.tolist()]).all()
+
+
+def test_trie_finds_few_rows_as_many():
+    """Few rows are searched in their ranges, many in levels decoded once."""
+    t = np.random.default_rng(7).zipf(1.3, 5000) % 300
+    grams = [np.unique(np.stack([t[j : len(t) - k + 1 + j] for j in range(k)], 1), axis=0) for k in (1, 2, 3)]
+    p = [np.full(len(g), 0.5) for g in grams]
+    weights = np.random.default_rng(8).random(len(grams[1]))
+    with tempfile.TemporaryDirectory() as d:
+        Trie.of(grams, p, weights).save(d)
+        trie = Trie.mapped(d)
+        assert np.abs(dequantise(trie.backoff[trie.find(grams[1])]) / weights - 1).max() < 0.002
+    for k in (1, 2, 3):
+        asked = np.concatenate([grams[k - 1][::37], np.random.default_rng(9).integers(0, 320, (60, k))])
+        many = trie.find(np.concatenate([asked] + [grams[k - 1]] * 2))[: len(asked)]
+        few = np.concatenate([trie.find(asked[i : i + 1]) for i in range(len(asked))])
+        assert (few == many).all() and (many >= 0).any() and (many < 0).any()
